@@ -34,7 +34,7 @@ VIEWS: dict[str, str] = {
         floor(s_suppkey/10e0)+cast(s_suppkey*389%97 as double)/97e0 y from supplier""",
     # unit squares covering the strip, ten per row; grp forms irregular regions
     "zone": """select s_suppkey zid, cast(s_nationkey%5 as int) grp,
-        cast(s_suppkey%10 as double) x0, floor(s_suppkey/10e0) y0,
+        cast(s_suppkey%10 as double) x0, floor(s_suppkey/10e0)+0e0 y0,
         cast(s_suppkey%10+1 as double) x1, floor(s_suppkey/10e0)+1e0 y1 from supplier""",
     # line from each customer's place half-way towards the next customer's place
     "lines": f"""select c_custkey lid, c_mktsegment seg,
