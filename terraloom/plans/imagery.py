@@ -120,9 +120,9 @@ _RES = with_views("img") + """, t as (select scene, r*3+a.range rr, c*3+b.range
         from t cross join range(2) i cross join range(2) j)"""
 
 
-@query("resample_bilinear", _RES + ' select w.scene, rr r, cc c, round(sum(wt*b1)/sum(wt),6) b1 from w join img on img.scene=w.scene and img.r=sr and img.c=sc group by 1,2,3')
+@query("resample_bilinear", _RES + ' select w.scene, rr r, cc c, round(sum(wt*b1)/sum(wt),9) b1 from w join img on img.scene=w.scene and img.r=sr and img.c=sc group by 1,2,3')
 def _(spark, sf):
-    return rd(rs.resample(view(spark, sf, "img").select("scene", "r", "c", "b1"), "b1", 3, "bilinear", ["scene"]), ["b1"])
+    return rd(rs.resample(view(spark, sf, "img").select("scene", "r", "c", "b1"), "b1", 3, "bilinear", ["scene"]), ["b1"], 9)
 
 
 @query("resample_nearest", with_views("img") + " select scene, r*2+a.range r, c*2+b.range c, b1 from img cross join range(2) a cross join range(2) b")
