@@ -196,7 +196,8 @@ def chao1_comparison(occ: DataFrame, since: int, label: str) -> DataFrame:
 
 def effort_per_period(occ: DataFrame, cell: Sequence[str] = CELL) -> DataFrame:
     """Records and distinct species, cells and methods per year."""
-    small = occ.where("yr is not null").groupBy("yr", "species", *cell, "method").agg(F.count("*").alias("rec"))
+    rec = F.sum("rec") if "rec" in occ.columns else F.count("*")
+    small = occ.where("yr is not null").groupBy("yr", "species", *cell, "method").agg(rec.alias("rec"))
     parts = {
         "species": small.groupBy("yr", "species").agg(F.sum("rec").alias("rec")).groupBy("yr").agg(
             F.sum("rec").alias("records"), F.count("species").alias("n_species")),

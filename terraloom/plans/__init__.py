@@ -1,6 +1,6 @@
 """Registered queries; importing the modules fills the registry."""
 
 from terraloom.plans.registry import ORACLES, QUERIES
-from terraloom.plans import ecology, imagery, tabular, vector, water  # noqa: F401
+from terraloom.plans import ecology, imagery, studies, tabular, vector, water  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

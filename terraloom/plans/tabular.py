@@ -92,10 +92,11 @@ def _(spark, sf):
     return pairs.select("stem", add("lr").alias("lr_sum"), add("hr").alias("hr_sum"), F.size("lr").cast("bigint").alias("n"))
 
 
-@query("resolve_columns", "select c_name nama, c_custkey norec, 'Unknown' nomenklatu from customer")
+@query("resolve_columns", "select c_name nama, row_number() over(order by c_custkey) norec, 'Unknown' nomenklatu from customer")
 def _(spark, sf):
     return ly.resolve_columns(table(spark, sf, "customer"), {
-        "nama": ["name", "c_name"], "norec": ["block_id", "c_custkey"], "nomenklatu": ["type", "classification"]}, {"nomenklatu": "Unknown"})
+        "nama": ["name", "c_name"], "norec": ["block_id", "rec_no"], "nomenklatu": ["type", "classification"]},
+        {"nomenklatu": "Unknown", "norec": ly.RUNNING}, ["c_custkey"])
 
 
 @query("write_stats_json", with_views("img") + " select scene, count(*) n from img group by 1")

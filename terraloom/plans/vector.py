@@ -113,9 +113,16 @@ def _(spark, sf):
 
 
 HEX = occ_cells(0.5)
-_SAT = """abs((q+r/2e0)*8.660254037844386e-1-(x0+x1)/2)<=4.330127018922193e-1+(x1-x0)/2 and abs(r*75e-2-(y0+y1)/2)<=5e-1+(y1-y0)/2
-    and abs(((q+r/2e0)*8.660254037844386e-1-(x0+x1)/2)*5e-1+(r*75e-2-(y0+y1)/2)*8.660254037844386e-1)<=4.330127018922193e-1+(x1-x0)/2*5e-1+(y1-y0)/2*8.660254037844386e-1
-    and abs(((q+r/2e0)*8.660254037844386e-1-(x0+x1)/2)*5e-1-(r*75e-2-(y0+y1)/2)*8.660254037844386e-1)<=4.330127018922193e-1+(x1-x0)/2*5e-1+(y1-y0)/2*8.660254037844386e-1"""
+
+
+def sat(size: float) -> str:
+    """Separating axes: does the hexagon (q, r) meet the box (x0, y0, x1, y1)?"""
+    h = 0.8660254037844386
+    cx, cy = f"((q+r/2e0)*{d(size * 2 * h)}-(x0+x1)/2)", f"(r*{d(size * 1.5)}-(y0+y1)/2)"
+    bw, bh = "(x1-x0)/2", "(y1-y0)/2"
+    return (f"abs({cx})<={d(size * h)}+{bw} and abs({cy})<={d(size)}+{bh} "
+            f"and abs({cx}*5e-1+{cy}*{d(h)})<={d(size * h)}+{bw}*5e-1+{bh}*{d(h)} "
+            f"and abs({cx}*5e-1-{cy}*{d(h)})<={d(size * h)}+{bw}*5e-1+{bh}*{d(h)}")
 
 
 def hexes(spark, sf, size=0.5):

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BinaryType
 
+from terraloom.scale import global_row_number
+
 # Canonical column names of an occurrence table, in file order.
 OCCURRENCE_COLUMNS = [
     "No", "Source", "Species", "Common_Name", "Status", "Year", "Month", "Month_Year", "Survey_Method",
@@ -111,11 +113,21 @@ def filter_collection(px: DataFrame, bbox: Sequence[float], date_from: str, date
         & (F.col("cloud") <= max_cloud))
 
 
-def resolve_columns(df: DataFrame, wanted: Mapping[str, Sequence[str]], defaults: Mapping[str, object]) -> DataFrame:
-    """The first alias present supplies each wanted column, else its default."""
+RUNNING = object()
+
+
+def resolve_columns(
+    df: DataFrame, wanted: Mapping[str, Sequence[str]], defaults: Mapping[str, object], order: Sequence[str] = ()
+) -> DataFrame:
+    """The first alias present supplies each wanted column, else its default.
+
+    A default of ``RUNNING`` numbers the rows 1..n in ``order``.
+    """
     cols = []
     for name, aliases in wanted.items():
         hit = next((a for a in [name, *aliases] if a in df.columns), None)
+        if hit is None and defaults.get(name) is RUNNING:
+            df, hit = global_row_number(df, list(order), "_running"), "_running"
         cols.append((F.col(hit) if hit else F.lit(defaults.get(name))).alias(name))
     return df.select(*cols)
 
