@@ -130,7 +130,7 @@ def hexes(spark, sf, size=0.5):
     return o, hg.build_grid(o)
 
 
-@query("build_grid_in_aoi", HEX + grid() + f""", {with_views('zone')[len('with recursive '):]} select distinct q, r from grid join (select * from zone where grp<3) on {_SAT}""")
+@query("build_grid_in_aoi", HEX + grid() + f""", {with_views('zone')[len('with recursive '):]} select distinct q, r from grid join (select * from zone where grp<3) on {sat(0.5)}""")
 def _(spark, sf):
     _, g = hexes(spark, sf)
     cells = sp.as_shape(g.withColumn("cell", F.struct("q", "r")), geo.ring_edges(cell_boundary(0.5)))
