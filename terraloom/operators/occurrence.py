@@ -49,6 +49,25 @@ def species_years(occ: DataFrame, by: Sequence[str] = CELL) -> DataFrame:
     return occ.groupBy(*by, "species", "yr").agg(*aggs).repartition(*(by or ["species"]))
 
 
+def profile(occ: DataFrame, by: Sequence[str] = CELL) -> DataFrame:
+    """Species-year rows with per-species and per-year totals beside them.
+
+    ``sp_first`` marks one row per (key, species) and ``yr_first`` one per (key, year), so
+    every statistic below is a single aggregation over one scan and one placement by key.
+    Windows hold at most species x years rows of a key.
+    """
+    species = W.partitionBy(*by, "species")
+    year = W.partitionBy(*by, "yr")
+    return species_years(occ, by).withColumns({
+        "sp_rec": F.sum("rec").over(species),
+        "sp_rid": F.min("rid").over(species),
+        "sp_first": (F.row_number().over(species.orderBy("yr")) == 1) & F.col("species").isNotNull(),
+        "yr_rec": F.sum("rec").over(year),
+        "yr_sp": F.count("species").over(year),
+        "yr_first": (F.row_number().over(year.orderBy("species")) == 1) & F.col("yr").isNotNull(),
+    })
+
+
 def survey_years(occ: DataFrame) -> list[int]:
     """Distinct years (bounded by the calendar)."""
     return [r[0] for r in occ.where("yr is not null").select("yr").distinct().orderBy("yr").collect()]
@@ -58,47 +77,51 @@ def trend_class(slope: Column, n: Column, default: str) -> Column:
     return F.when(n < 2, default).when(slope > 0.01, "Increasing").when(slope < -0.01, "Decreasing").otherwise("Stable")
 
 
-def _slope() -> Column:
-    """Least-squares slope of yearly richness ``sp`` on the year, from exact integer sums."""
-    n, x, y = F.count("*"), F.col("yr").cast("bigint"), F.col("sp").cast("bigint")
+def _slope(n: Column, x: Column, y: Column) -> Column:
+    """Least-squares slope from exact integer sums; rows with NULL x and y do not count."""
+    x, y = x.cast("bigint"), y.cast("bigint")
     top = n * F.sum(x * y) - F.sum(x) * F.sum(y)
     low = n * F.sum(x * x) - F.sum(x) * F.sum(x)
     return F.when(n >= 2, F.try_divide(top.cast("double"), low.cast("double"))).otherwise(F.lit(0e0))
 
 
+def _yearly() -> list[Column]:
+    """Slope of yearly richness and number of years of a profile."""
+    first = F.col("yr_first")
+    n = F.count_if(first)
+    return [_slope(n, F.when(first, F.col("yr")), F.when(first, F.col("yr_sp"))).alias("_s"), n.alias("n_years")]
+
+
 def linear_trend(occ: DataFrame, by: Sequence[str] = CELL, default: str = "No Data") -> DataFrame:
     """Richness trend over the years of each key; the class uses the unrounded slope."""
-    yearly = species_years(occ, by).where("yr is not null").groupBy(*by, "yr").agg(F.count("species").alias("sp"))
-    t = yearly.groupBy(*by).agg(_slope().alias("_s"), F.count("*").alias("n_years"))
+    t = profile(occ, by).groupBy(*by).agg(*_yearly()).where("n_years > 0")
     return t.select(
         *by, F.round("_s", 4).alias("trend_slope"), trend_class(F.col("_s"), F.col("n_years"), default).alias("trend"),
         "n_years",
     )
 
 
+def _per_year(col: str, years: Sequence[int], name: str) -> list[Column]:
+    return [
+        F.sum(F.when(F.col("yr_first") & (F.col("yr") == y), F.col(col)).otherwise(0)).alias(f"{name}_{y}") for y in years]
+
+
 def cell_summary(
     occ: DataFrame, grid: DataFrame, by: Sequence[str] = CELL, years: Sequence[int] | None = None
 ) -> DataFrame:
     """Per grid cell: records, richness, species, years, yearly records and trend; empty cells kept."""
     years = survey_years(occ) if years is None else years
-    sy = species_years(occ, by)
-    species = (
-        sy.groupBy(*by, "species").agg(F.sum("rec").alias("rec")).groupBy(*by).agg(
-            F.sum("rec").alias("total_records"),
-            F.count("species").alias("species_richness"),
-            F.array_join(F.array_sort(F.collect_list("species")), ", ").alias("species_list"),
-        )
-    )
-    yearly = sy.where("yr is not null").groupBy(*by, "yr").agg(F.sum("rec").alias("rec"), F.count("species").alias("sp"))
-    time = yearly.groupBy(*by).agg(
-        _slope().alias("_s"),
+    stats = profile(occ, by).groupBy(*by).agg(
+        F.sum("rec").alias("total_records"),
+        F.count_if("sp_first").alias("species_richness"),
+        species_list("species").alias("species_list"),
+        *_yearly(),
         F.min("yr").alias("first_year"),
         F.max("yr").alias("last_year"),
-        F.count("*").alias("n_years"),
-        *[F.sum(F.when(F.col("yr") == y, F.col("rec")).otherwise(0)).alias(f"records_{y}") for y in years],
+        *_per_year("yr_rec", years, "records"),
     )
     zero = {c: 0 for c in ["total_records", "species_richness", "n_years", *[f"records_{y}" for y in years]]}
-    out = grid.join(species, list(by), "left").join(time, list(by), "left").fillna({**zero, "species_list": "", "_s": 0.0})
+    out = grid.join(stats, list(by), "left").fillna({**zero, "species_list": "", "_s": 0.0})
     return out.withColumns({
         "trend_slope": F.round("_s", 4), "trend": trend_class(F.col("_s"), F.col("n_years"), "No Data"),
     }).drop("_s")
@@ -107,21 +130,22 @@ def cell_summary(
 def diversity(occ: DataFrame, by: Sequence[str] = CELL, common: Mapping[str, str] | None = None) -> DataFrame:
     """Shannon, Simpson, Pielou, Berger-Parker, dominant species and trend per key."""
     by = list(by)
-    counts = species_years(occ, by).groupBy(*by, "species").agg(F.sum("rec").alias("n"), F.min("rid").alias("first_rid"))
-    n = F.col("n")
-    base = counts.groupBy(*by).agg(
-        F.count("species").alias("s"),
-        F.sum("n").alias("n"),
+    first, n = F.col("sp_first"), F.when(F.col("sp_first"), F.col("sp_rec"))
+    order = F.when(first, F.struct(-F.col("sp_rec"), "sp_rid", "species"))
+    base = profile(occ, by).where("species is not null").groupBy(*by).agg(
+        F.count_if(first).alias("s"),
+        F.sum(n).alias("n"),
         F.sum(n * F.log(n)).alias("_nln"),
         F.sum(n * n).alias("_nn"),
-        F.max("n").alias("_max"),
-        F.min_by("species", F.struct(-n, "first_rid", "species")).alias("dominant_species"),
+        F.max(n).alias("_max"),
+        F.min_by("species", order).alias("dominant_species"),
+        *_yearly(),
     )
     total, s = F.col("n").cast("double"), F.col("s")
     h = F.when(s > 1, F.log(total) - F.col("_nln") / total).otherwise(F.lit(0e0))
     pairs = [F.lit(v) for kv in (common or {}).items() for v in kv]
     name = F.coalesce(F.element_at(F.create_map(*pairs), F.col("dominant_species")), F.lit("")) if pairs else F.lit("")
-    out = base.select(
+    return base.select(
         *by, "s", "n",
         F.round(h, 4).alias("shannon_h"),
         F.round(1 - F.col("_nn") / (total * total), 4).alias("simpson_d"),
@@ -129,9 +153,8 @@ def diversity(occ: DataFrame, by: Sequence[str] = CELL, common: Mapping[str, str
         F.round(F.col("_max") / total, 4).alias("berger_parker"),
         "dominant_species",
         name.alias("common_name"),
-    )
-    return out.join(linear_trend(occ, by, "Stable").drop("n_years"), by, "left").fillna(
-        {"trend": "Stable", "trend_slope": 0.0}
+        trend_class(F.col("_s"), F.col("n_years"), "Stable").alias("trend"),
+        F.round("_s", 4).alias("trend_slope"),
     )
 
 
@@ -147,14 +170,20 @@ def _chao1_columns(s: str = "s_obs", f1: str = "f1", f2: str = "f2") -> Column:
 def chao1(occ: DataFrame, by: Sequence[str] = CELL, years: bool = True, coverage: bool = False) -> DataFrame:
     """Chao1 estimate and completeness per key; optional survey years and sample coverage."""
     by = list(by)
-    sy = species_years(occ, by)
-    base = sy.groupBy(*by, "species").agg(F.sum("rec").alias("rec")).groupBy(*by).agg(
-        F.sum("rec").alias("n"),
-        F.count("species").alias("s_obs"),
-        F.count_if(F.col("rec") == 1).alias("f1"),
-        F.count_if(F.col("rec") == 2).alias("f2"),
-    )
-    est = base.withColumn("_c", _chao1_columns())
+    n = F.when(F.col("sp_first"), F.col("sp_rec"))
+    aggs = [
+        F.sum("rec").alias("n"), F.count_if("sp_first").alias("s_obs"),
+        F.count_if(n == 1).alias("f1"), F.count_if(n == 2).alias("f2"),
+    ]
+    if years:
+        years_seen = F.array_sort(F.collect_set("yr"))
+        aggs += [
+            F.count_if("yr_first").alias("years_surveyed"),
+            F.array_join(F.transform(years_seen, lambda y: y.cast("string")), ", ").alias("survey_years"),
+        ]
+    base = profile(occ, by) if "yr" not in by else species_years(occ, by).withColumns({
+        "sp_rec": F.col("rec"), "sp_first": F.col("species").isNotNull()})
+    est = base.groupBy(*by).agg(*aggs).withColumn("_c", _chao1_columns())
     cols = [
         F.round("_c", 2).alias("chao1"),
         F.when(F.col("_c") > 0, F.round(F.col("s_obs") / F.col("_c") * 100, 1)).otherwise(100e0).alias("completeness_pct"),
@@ -163,14 +192,7 @@ def chao1(occ: DataFrame, by: Sequence[str] = CELL, years: bool = True, coverage
         cols.append(F.round(1 - F.col("f1") / F.col("n"), 4).alias("coverage"))
     else:
         cols.append(F.round(F.col("_c") - F.col("s_obs"), 1).alias("undetected"))
-    out = est.select(*by, "n", "s_obs", "f1", "f2", *cols)
-    if years:
-        seen = sy.where("yr is not null").select(*by, "yr").distinct().groupBy(*by).agg(
-            F.count("*").alias("years_surveyed"),
-            F.array_join(F.transform(F.array_sort(F.collect_list("yr")), lambda y: y.cast("string")), ", ").alias("survey_years"),
-        )
-        out = out.join(seen, by, "left").fillna({"years_surveyed": 0, "survey_years": ""})
-    return out
+    return est.select(*by, "n", "s_obs", "f1", "f2", *cols, *(["years_surveyed", "survey_years"] if years else []))
 
 
 def chao1_per_period(occ: DataFrame) -> DataFrame:
@@ -198,15 +220,13 @@ def effort_per_period(occ: DataFrame, cell: Sequence[str] = CELL) -> DataFrame:
     """Records and distinct species, cells and methods per year."""
     rec = F.sum("rec") if "rec" in occ.columns else F.count("*")
     small = occ.where("yr is not null").groupBy("yr", "species", *cell, "method").agg(rec.alias("rec"))
-    parts = {
-        "species": small.groupBy("yr", "species").agg(F.sum("rec").alias("rec")).groupBy("yr").agg(
-            F.sum("rec").alias("records"), F.count("species").alias("n_species")),
-        "cells": small.select("yr", *cell).distinct().groupBy("yr").agg(F.count("*").alias("n_cells")),
-        "methods": small.select("yr", "method").distinct().groupBy("yr").agg(
-            F.count("method").alias("n_methods"),
-            F.array_join(F.array_sort(F.collect_list("method")), ", ").alias("method_list")),
-    }
-    return parts["species"].join(parts["cells"], "yr").join(parts["methods"], "yr")
+    return small.groupBy("yr").agg(
+        F.sum("rec").alias("records"),
+        F.count_distinct("species").alias("n_species"),
+        F.count_distinct(F.struct(*cell)).alias("n_cells"),
+        F.count_distinct("method").alias("n_methods"),
+        species_list("method").alias("method_list"),
+    )
 
 
 def temporal_matrix(
@@ -214,12 +234,9 @@ def temporal_matrix(
 ) -> DataFrame:
     """Records and species per cell and year, side by side."""
     years = survey_years(occ) if years is None else years
-    yearly = species_years(occ, by).where("yr is not null").groupBy(*by, "yr").agg(
-        F.sum("rec").alias("rec"), F.count("species").alias("sp"))
-    wide = yearly.groupBy(*by).agg(
-        *[F.sum(F.when(F.col("yr") == y, F.col("rec")).otherwise(0)).alias(f"records_{y}") for y in years],
-        *[F.sum(F.when(F.col("yr") == y, F.col("sp")).otherwise(0)).alias(f"species_{y}") for y in years],
-        F.sum("rec").alias("total_records"), F.count("*").alias("years_with_data"),
+    wide = profile(occ, by).where("yr_first").groupBy(*by).agg(
+        *_per_year("yr_rec", years, "records"), *_per_year("yr_sp", years, "species"),
+        F.sum("yr_rec").alias("total_records"), F.count("*").alias("years_with_data"),
     )
     out = grid.join(wide, list(by), "left")
     out = out.fillna(0, [c for c in wide.columns if c not in by])
@@ -338,7 +355,7 @@ def temporal_turnover(
     sets = sy.groupBy(*by, "yr").agg(F.collect_set("species").alias("sp"))
     prev = F.lag("sp").over(W.partitionBy(*by).orderBy("yr"))  # one row per calendar year
     step = sets.withColumn("prev", prev).select(
-        *by, "yr", F.size("sp").alias("sp"),
+        *by, "yr", F.col("sp").alias("sets"),
         F.size(F.array_except("sp", "prev")).alias("gained"),
         F.size(F.array_except("prev", "sp")).alias("lost"),
         F.size(F.array_union("prev", "sp")).alias("both"),
@@ -346,16 +363,16 @@ def temporal_turnover(
     )
     gone = F.when(F.col("has_prev"), F.col("gained") + F.col("lost"))
     time = step.groupBy(*by).agg(
-        _slope().alias("_s"),
+        _slope(F.count("*"), F.col("yr"), F.size("sets")).alias("_s"),
         F.min("yr").alias("first_detected"), F.max("yr").alias("last_detected"),
         F.count("*").alias("years_detected"),
         F.sum(F.when(F.col("has_prev"), F.col("gained")).otherwise(0)).alias("colonisations"),
         F.sum(F.when(F.col("has_prev"), F.col("lost")).otherwise(0)).alias("extinctions"),
         F.round(F.avg(gone / F.col("both")), 4).alias("mean_beta"),
-        *[F.sum(F.when(F.col("yr") == y, F.col("sp")).otherwise(0)).alias(f"rich_{y}") for y in years],
+        F.size(F.array_distinct(F.flatten(F.collect_list("sets")))).cast("bigint").alias("species_ever"),
+        *[F.sum(F.when(F.col("yr") == y, F.size("sets")).otherwise(0)).alias(f"rich_{y}") for y in years],
     )
-    ever = sy.groupBy(*by, "species").agg(F.count("*").alias("_")).groupBy(*by).agg(F.count("*").alias("species_ever"))
-    out = grid.join(time, by, "left").join(ever, by, "left")
+    out = grid.join(time, by, "left")
     zero = ["years_detected", "colonisations", "extinctions", "mean_beta", "species_ever", *[f"rich_{y}" for y in years]]
     out = out.fillna(0, zero)
     n = F.col("years_detected")

@@ -44,7 +44,19 @@ def _(spark, sf):
 
 
 _SIZE = 1.5
-@query("grid_analyses")
+_CHOSEN = "','".join(n for n in dict.fromkeys([*THREATENED, *COMMON]) if n != "Brand#3")
+_LAYERS = {
+    "grid": ["all_cells", "richness_summary", "temporal_traj", "temporal_matrix"],
+    "oc": ["diversity", "priority", "chao1", "isolation_risk"],
+    "(select q from grid anti join oc using(q,r))": ["corridor_gaps", "survey_gaps"],
+    "(select q from grid semi join oc using(q,r))": ["master_occupied"], "chosen": ["occurrences"], "(select * from zone where grp<3)": ["aoi"],
+}
+
+
+@query("grid_analyses", with_views("occ", "zone") + ", " + hexed("occ", _SIZE) + f""", chosen as (select * from occ_c where species in ('{_CHOSEN}')),
+    oc as (select distinct q, r from chosen), g0 as (select distinct q+dq q, r+dr r from (select distinct q, r from occ_c) cross join {disk(2)}),
+    grid as (select distinct q, r from g0 join (select * from zone where grp<3) on {sat(_SIZE)}) """ + " union all ".join(
+    f"select '{name}' layer, (select count(*) from {src}) n" for src, names in _LAYERS.items() for name in names))
 def _(spark, sf):
     src, out = store(spark), store(spark)
     jobs.master_layers(view(spark, sf, "occ"), aoi(spark, sf), _SIZE, src)
