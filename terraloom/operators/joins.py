@@ -45,17 +45,22 @@ def tolerance_join(
     rs, re_ = (F.datediff(F.col(f"r.{c}"), F.lit("1970-01-01")) for c in right_cols)
     width = 2 * days + 1
 
-    def buckets(day: Column) -> Column:
-        return F.array_distinct(F.array(F.floor((day - days) / width), F.floor((day + days) / width)))
+    def bucket(day: Column) -> Column:
+        return F.floor(day / width)
 
-    l2 = left.withColumn("_b", F.explode(F.array_distinct(F.concat(buckets(ls), buckets(le)))))
-    near = F.array_distinct(F.array(
-        F.floor(F.datediff(right_cols[0], F.lit("1970-01-01")) / width), F.floor(F.datediff(right_cols[1], F.lit("1970-01-01")) / width)))
-    r2 = right.select(F.struct(*right.columns).alias("r"), *on, F.explode(near).alias("_b"))
+    def around(day: Column) -> list[Column]:
+        return [bucket(day - days), bucket(day + days)]
+
+    lefts = F.array_distinct(F.array(*around(ls), *around(le)))
+    first, last = (F.datediff(c, F.lit("1970-01-01")) for c in right_cols)
+    rights = F.array_distinct(F.array(bucket(first), bucket(last)))
+    l2 = left.withColumn("_lb", lefts).withColumn("_b", F.explode("_lb"))
+    r2 = right.select(F.struct(*right.columns).alias("r"), *on, rights.alias("_rb")).withColumn("_b", F.explode("_rb"))
     hit = salted_join(l2, r2, [*on, "_b"], left.columns)
     ok = (F.abs(ls - re_) <= days) | (F.abs(le - rs) <= days)
-    # a pair can meet in two buckets; a pair is kept once, in its lowest common one
-    return hit.where(ok).groupBy(*left.columns, "r").agg(F.min("_b").alias("_b")).drop("_b")
+    # a pair can meet in two buckets; it is kept in the lowest one both sides carry
+    once = F.col("_b") == F.array_min(F.array_intersect("_lb", "_rb"))
+    return hit.where(ok & once).select(*left.columns, "r")
 
 
 def bbox_overlap_fraction(a: Sequence[str], b: Sequence[str]) -> Column:

@@ -205,42 +205,46 @@ def regular_dates(steps: DataFrame, first: str, step: str = "step") -> DataFrame
     return steps.withColumn("date", F.date_add(F.lit(first).cast("date"), F.col(step).cast("int")))
 
 
-def interpolate_linear(px: DataFrame, bands: Sequence[str], step_days: int, key: Sequence[str] = ("pix",), dt: str = "dt") -> DataFrame:
+def interpolate_linear(
+    px: DataFrame, bands: Sequence[str], step_days: int, key: Sequence[str] = ("pix",), dt: str = "dt",
+    span: tuple[str, str] | None = None,
+) -> DataFrame:
     """Regular series per pixel: linear between the nearest valid dates on both sides.
 
-    Steps run from the first date of the collection to one day before the last; a step
-    without both neighbours repeats the previous result.  One row per pixel and date is
-    expected, so a pixel's window is bounded by the calendar.
+    Steps run from the first date of the collection (or ``span``) to one day before the
+    last; a step without both neighbours repeats the previous result.  Each observation
+    itself produces the steps up to the next one, so pixels are placed once.  One row per
+    pixel and date is expected, which bounds a pixel's window by the calendar.
     """
     key = list(key)
-    span = px.agg(F.struct(F.min(dt).alias("a"), F.max(dt).alias("b"))).scalar()
-    steps = (
-        px.select(*key).distinct().withColumn("_s", span)
-        .where("datediff(_s.b, _s.a) >= 1")
-        .select(*key, "_s", F.explode(F.sequence(F.lit(0), F.datediff("_s.b", "_s.a") - 1, F.lit(step_days))).alias("step"))
-        .select(*key, "step", F.expr("date_add(_s.a, step)").alias(dt))
-    )
-    both = px.select(*key, F.lit(None).cast("int").alias("step"), dt, *bands).unionByName(
-        steps.select(*key, "step", dt, *[F.lit(None).cast("double").alias(b) for b in bands]))
-    day = F.unix_date(dt)
-    before = W.partitionBy(*key).orderBy(dt).rangeBetween(W.unboundedPreceding, 0)
+    if span:
+        ends = F.struct(F.lit(span[0]).cast("date").alias("a"), F.lit(span[1]).cast("date").alias("b"))
+    else:
+        ends = px.agg(F.struct(F.min(dt).alias("a"), F.max(dt).alias("b"))).scalar()
+    at = W.partitionBy(*key).orderBy(dt)
+    seen = at.rowsBetween(W.unboundedPreceding, 0)
     # the mirrored order keeps the look-ahead a running frame, linear in the series length
-    after = W.partitionBy(*key).orderBy(F.desc(dt)).rangeBetween(W.unboundedPreceding, 0)
-    cols = {}
+    ahead = W.partitionBy(*key).orderBy(F.desc(dt)).rowsBetween(W.unboundedPreceding, -1)
+    cols = {"_next": F.lead(dt).over(at), "_head": F.row_number().over(at) == 1}
     for b in bands:
-        seen = F.when(F.col(b).isNotNull(), F.struct(day.alias("t"), F.col(b).alias("v")))
-        # RANGE frames include peers, so an observation on the step itself counts on both sides
-        cols[f"_lo_{b}"] = F.max(seen).over(before)
-        cols[f"_hi_{b}"] = F.min(seen).over(after)
-    got = both.withColumns(cols).where("step is not null")
+        valid = F.when(F.col(b).isNotNull(), F.struct(F.unix_date(dt).alias("t"), F.col(b).alias("v")))
+        cols[f"_lo_{b}"] = F.max(valid).over(seen)
+        cols[f"_hi_{b}"] = F.min(valid).over(ahead)
+    rows = px.select(*key, dt, *bands).withColumns(cols).withColumn("_s", ends)
+    here, limit = F.datediff(dt, "_s.a"), F.datediff("_s.b", "_s.a") - 1
+    first = F.when(F.col("_head"), 0).otherwise((F.ceil(here / step_days) * step_days).cast("int"))
+    last = F.least(F.coalesce(F.datediff("_next", "_s.a") - 1, limit), limit)
+    steps = rows.withColumns({"_first": first, "_last": last}).where("_first <= _last").withColumn(
+        "step", F.explode(F.sequence("_first", "_last", F.lit(step_days))))
+    steps = steps.withColumn("_day", F.unix_date("_s.a") + F.col("step"))
     fill = W.partitionBy(*key).orderBy("step").rowsBetween(W.unboundedPreceding, 0)
-    out = {}
+    day, out = F.col("_day"), {}
     for b in bands:
         lo, hi = F.col(f"_lo_{b}"), F.col(f"_hi_{b}")
-        value = F.when(lo["t"] == hi["t"], lo["v"]).otherwise(
-            lo["v"] + (hi["v"] - lo["v"]) * (day - lo["t"]) / F.nullif(hi["t"] - lo["t"], F.lit(0)))
+        value = F.when(day == lo["t"], lo["v"]).when(
+            day > lo["t"], lo["v"] + (hi["v"] - lo["v"]) * (day - lo["t"]) / F.nullif(hi["t"] - lo["t"], F.lit(0)))
         out[b] = F.last(value, ignorenulls=True).over(fill)
-    return got.select(*key, "step", dt, *[v.alias(b) for b, v in out.items()])
+    return steps.select(*key, "step", F.date_from_unix_date("_day").alias(dt), *[v.alias(b) for b, v in out.items()])
 
 
 def composite(px: DataFrame, value: str, how: str, key: Sequence[str] = ("r", "c"), dt: str = "dt") -> DataFrame:

@@ -26,10 +26,21 @@ def as_shape(df: DataFrame, edges: Column) -> DataFrame:
     return df.withColumns(dict(zip(BOX, geo.edges_box(F.col("edges")))))
 
 
+def _slab(edges: Column, y0: Column, y1: Column, x0: Column) -> Column:
+    """Edges that can cross a ray running right from a point of the strip; exact for parity."""
+    return F.filter(edges, lambda e: (F.greatest(e["y0"], e["y1"]) >= y0) & (F.least(e["y0"], e["y1"]) <= y1) & (F.greatest(e["x0"], e["x1"]) >= x0))
+
+
 def points_in_polygons(points: DataFrame, polys: DataFrame, tile: float = 1.0) -> DataFrame:
-    """Points (x, y, ...) joined to the polygons (edges, box, ...) that contain them."""
+    """Points (x, y, ...) joined to the polygons (edges, box, ...) that contain them.
+
+    Each tile of a polygon carries only the edges its points can meet; a tile left of no
+    edge lies outside and is dropped.
+    """
     pts = points.withColumns({"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)})
-    cover = cover_tiles(polys, BOX, tile)
+    pad = tile * 1e-9
+    cover = cover_tiles(polys, BOX, tile).withColumn("edges", _slab(
+        F.col("edges"), F.col("ty") * tile - pad, (F.col("ty") + 1) * tile + pad, F.col("tx") * tile - pad)).where(F.size("edges") > 0)
     hit = salted_join(pts, cover, ["tx", "ty"], points.columns).where(geo.point_in_edges(F.col("x"), F.col("y"), F.col("edges")))
     return hit.drop("tx", "ty", "edges", *BOX)
 
@@ -53,18 +64,51 @@ def zonal_stats(points: DataFrame, polys: DataFrame, poly: str, value: str, tile
         F.min("_lo").alias("min"), F.max("_hi").alias("max"))
 
 
-def shape_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, test: Callable[[Column, Column], Column], tile: float = 1.0, pad: float = 0.0) -> DataFrame:
-    """Ids of shape pairs whose (padded) boxes meet and whose edges pass ``test``."""
+def _split_tiles(left: DataFrame, right: DataFrame, limit: int) -> DataFrame | None:
+    """Tiles whose candidate pairs exceed ``limit``, or None."""
+    per = lambda df, n: df.groupBy("tx", "ty").agg(F.count("*").alias(n))
+    hot = per(left, "na").join(per(right, "nb"), ["tx", "ty"]).where(F.col("na") * F.col("nb") > limit)
+    hot = materialize(hot.select("tx", "ty"))
+    return None if hot.isEmpty() else hot
+
+
+def shape_pairs(
+    a: DataFrame, b: DataFrame, a_id: str, b_id: str, test: Callable[[Column, Column], Column], tile: float = 1.0, pad: float = 0.0,
+    limit: int = 50_000_000, depth: int = 6,
+) -> DataFrame:
+    """Ids of shape pairs whose (padded) boxes meet and whose edges pass ``test``.
+
+    A tile with more than ``limit`` candidate pairs is divided 4 x 4, again and again up to
+    ``depth`` times, so a crowd in one tile is pulled apart before pairs are formed.
+    """
     grown = a.select(F.col(a_id).alias("a"), F.col("edges").alias("ea"), *[
         (F.col(c) - pad if c in ("x0", "y0") else F.col(c) + pad).alias(f"a{c}") for c in BOX])
     other = b.select(F.col(b_id).alias("b"), F.col("edges").alias("eb"), *[F.col(c).alias(f"b{c}") for c in BOX])
-    left = cover_tiles(grown, [f"a{c}" for c in BOX], tile)
-    right = cover_tiles(other, [f"b{c}" for c in BOX], tile)
+    abox, bbox = [f"a{c}" for c in BOX], [f"b{c}" for c in BOX]
     cx, cy = F.greatest("ax0", "bx0"), F.greatest("ay0", "by0")
     meet = (F.col("ax0") <= F.col("bx1")) & (F.col("bx0") <= F.col("ax1")) & (F.col("ay0") <= F.col("by1")) & (F.col("by0") <= F.col("ay1"))
-    once = (F.floor(cx / tile) == F.col("tx")) & (F.floor(cy / tile) == F.col("ty"))
-    hit = salted_join(left, right, ["tx", "ty"], ["a"]).where(meet & once)
-    return hit.where(test(F.col("ea"), F.col("eb"))).select("a", "b")
+
+    def pairs(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
+        once = (F.floor(cx / size) == F.col("tx")) & (F.floor(cy / size) == F.col("ty"))
+        return salted_join(left, right, ["tx", "ty"], ["a"]).where(meet & once).where(test(F.col("ea"), F.col("eb"))).select("a", "b")
+
+    left, right, size, done = cover_tiles(grown, abox, tile), cover_tiles(other, bbox, tile), tile, None
+    for _ in range(depth):
+        hot = _split_tiles(left, right, limit)
+        if hot is None:
+            break
+        calm = pairs(left.join(hot, ["tx", "ty"], "left_anti"), right, size)
+        done = calm if done is None else done.unionByName(calm)
+        size = size / 4
+
+        def finer(df: DataFrame, box: list[str]) -> DataFrame:
+            crowd = df.join(hot, ["tx", "ty"], "left_semi").withColumnsRenamed({"tx": "_px", "ty": "_py"})
+            parts = cover_tiles(crowd, box, size).where((F.floor(F.col("tx") / 4) == F.col("_px")) & (F.floor(F.col("ty") / 4) == F.col("_py")))
+            return parts.drop("_px", "_py")
+
+        left, right = finer(left, abox), finer(right, bbox)
+    rest = pairs(left, right, size)
+    return rest if done is None else done.unionByName(rest)
 
 
 def segment_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, test, tile: float = 1.0, pad: float = 0.0) -> DataFrame:
@@ -77,71 +121,101 @@ def within_distance(a: DataFrame, b: DataFrame, a_id: str, b_id: str, d: float)
     return segment_pairs(a, b, a_id, b_id, lambda p, q: geo.segments_d2(p, q) <= d * d, tile=max(d, 1e-9), pad=d)
 
 
-def count_within(points: DataFrame, around: DataFrame, d: float) -> DataFrame:
-    """For each point of ``points`` (x, y) the number of rows of ``around`` within ``d``.
+class TileTree:
+    """Hierarchy of occupied tiles over shapes with boxes rx0..ry1.
 
-    Both sides are reduced to distinct positions; partial counts are formed before the
-    shuffle, so candidate pairs never leave the task that makes them.
+    Level by level 4 x 4 until a tile holds at most ``leaf`` shapes, however clustered they
+    are (down to 4^12 tiles per side); each tile knows its tight box and its weight ``n``.
     """
-    spots = around.groupBy(F.col("x").alias("bx"), F.col("y").alias("by")).agg(F.count("*").alias("n"))
-    spots = spots.withColumns({"tx": F.floor(F.col("bx") / d), "ty": F.floor(F.col("by") / d)})
-    here = points.select("x", "y").distinct()
-    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    near = here.withColumn("_i", F.explode(step)).withColumn("_j", F.explode(step)).withColumns(
-        {"tx": F.floor(F.col("x") / d) + F.col("_i"), "ty": F.floor(F.col("y") / d) + F.col("_j")})
-    d2 = (F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by"))
-    got = salted_join(near, spots, ["tx", "ty"], ["x", "y"]).where(d2 <= d * d).groupBy("x", "y").agg(F.sum("n").alias("n_within"))
-    return points.join(got, ["x", "y"], "left").fillna(0, ["n_within"])
+
+    def __init__(self, shapes: DataFrame, leaf: int = 32, weight: str = "1"):
+        self.shapes = shapes
+        mx, my = (F.col("rx0") + F.col("rx1")) / 2, (F.col("ry0") + F.col("ry1")) / 2
+        ext = shapes.agg(F.min(mx), F.min(my), F.max(mx), F.max(my), F.count("*")).first()
+        self.empty = not ext[4]
+        if self.empty:
+            return
+        side = max(ext[2] - ext[0], ext[3] - ext[1], 1e-9) * (1 + 1e-9)
+
+        def placed(level: int) -> DataFrame:
+            cell = side / 4**level
+            return shapes.withColumns({"tx": F.floor((mx - ext[0]) / cell), "ty": F.floor((my - ext[1]) / cell)})
+
+        edge = [F.min("rx0").alias("rx0"), F.min("ry0").alias("ry0"), F.max("rx1").alias("rx1"), F.max("ry1").alias("ry1")]
+        self.depth = max(1, math.ceil(math.log(max(ext[4] / leaf, 1), 16)))
+        while self.depth < 12 and placed(self.depth).groupBy("tx", "ty").agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] > leaf:
+            self.depth += 1
+        level = materialize(placed(self.depth).groupBy("tx", "ty").agg(*edge, F.sum(F.expr(weight)).alias("n")))
+        levels = {self.depth: level}
+        for d in range(self.depth - 1, 0, -1):
+            level = level.groupBy(F.floor(F.col("tx") / 4).alias("tx"), F.floor(F.col("ty") / 4).alias("ty")).agg(*edge, F.sum("n").alias("n"))
+            levels[d] = level
+        self.levels = levels
+        self.ends = placed(self.depth).withColumnsRenamed({"tx": "_tx", "ty": "_ty"})
+
+    def children(self, level: int) -> DataFrame:
+        return self.levels[level].select(
+            F.floor(F.col("tx") / 4).alias("_tx"), F.floor(F.col("ty") / 4).alias("_ty"), "tx", "ty", "n", *[f"r{c}" for c in BOX])
+
+
+def _gap2() -> Column:
+    gap = lambda c: F.greatest(F.col(f"r{c}0") - F.col(f"{c}1"), F.col(f"{c}0") - F.col(f"r{c}1"), F.lit(0e0))
+    return gap("x") * gap("x") + gap("y") * gap("y")
+
+
+def _far2() -> Column:
+    far = lambda c: F.greatest(F.col(f"r{c}1") - F.col(f"{c}0"), F.col(f"{c}1") - F.col(f"r{c}0"))
+    return far("x") * far("x") + far("y") * far("y")
+
+
+def _root(left: DataFrame) -> DataFrame:
+    return left.select(*BOX).distinct().withColumns({"_tx": F.lit(0).cast("bigint"), "_ty": F.lit(0).cast("bigint")})
+
+
+def count_within(points: DataFrame, around: DataFrame, d: float, leaf: int = 32) -> DataFrame:
+    """For each point (x, y) the number of rows of ``around`` within ``d``: ``n_within``.
+
+    Tiles wholly inside the circle are counted by their weight, tiles outside are dropped,
+    and only tiles the circle cuts are opened; a crowd is never paired row by row.
+    """
+    spots = materialize(around.groupBy(F.col("x").alias("rx0"), F.col("y").alias("ry0")).agg(F.count("*").alias("n")).withColumns(
+        {"rx1": F.col("rx0"), "ry1": F.col("ry0")}))
+    tree = TileTree(spots, leaf, "n")
+    if tree.empty:
+        return points.withColumn("n_within", F.lit(0).cast("bigint"))
+    seen, whole = _root(point_box(points)), None
+    for level in range(1, tree.depth + 1):
+        step = salted_join(seen, tree.children(level), ["_tx", "_ty"], BOX).withColumns({"_near": _gap2(), "_far": _far2()})
+        step = step.where(F.col("_near") <= d * d)
+        inside = step.where(F.col("_far") <= d * d).groupBy(*BOX).agg(F.sum("n").alias("n"))
+        whole = inside if whole is None else whole.unionByName(inside)
+        seen = materialize(step.where(F.col("_far") > d * d).select(*BOX, F.col("tx").alias("_tx"), F.col("ty").alias("_ty")))
+    last = salted_join(seen, tree.ends, ["_tx", "_ty"], BOX).where(_gap2() <= d * d).groupBy(*BOX).agg(F.sum("n").alias("n"))
+    total = whole.unionByName(last).groupBy("x0", "y0").agg(F.sum("n").alias("n_within")).withColumnsRenamed({"x0": "x", "y0": "y"})
+    return points.join(total, ["x", "y"], "left").fillna(0, ["n_within"])
 
 
 def nearest(left: DataFrame, right: DataFrame, right_id: str, leaf: int = 32) -> DataFrame:
     """Each left segment with its nearest right segment: adds ``near_id`` and ``near_dist``.
 
-    Both sides have x0, y0, x1, y1 (a point repeats its coordinates).  Right shapes form a
-    hierarchy of occupied tiles that divides 4 x 4 per level until tiles are small, however
-    clustered the data; left shapes walk down it, keeping only tiles that can still hold
-    the nearest shape.  Work per left shape is a few tiles per level; exact for any
-    distance.  Ties go to the smallest id.
+    Both sides have x0, y0, x1, y1 (a point repeats its coordinates).  Left shapes walk
+    down the tile tree of the right side, keeping only tiles that can still hold the
+    nearest shape: a few tiles per level, exact for any distance.  Ties go to the smallest
+    id.
     """
     shapes = materialize(right.groupBy(*[F.col(c).alias(f"r{c}") for c in BOX]).agg(F.min(right_id).alias("rid")))
-    mx, my = (F.col("rx0") + F.col("rx1")) / 2, (F.col("ry0") + F.col("ry1")) / 2
-    ext = shapes.agg(F.min(mx), F.min(my), F.max(mx), F.max(my), F.count("*")).first()
-    if not ext[4]:
+    tree = TileTree(shapes, leaf)
+    if tree.empty:
         return left.withColumns({"near_id": F.lit(None).cast("bigint"), "near_dist": F.lit(None).cast("double")})
-    side = max(ext[2] - ext[0], ext[3] - ext[1], 1e-9) * (1 + 1e-9)
-    depth = max(1, math.ceil(math.log(max(ext[4] / leaf, 1), 16)))
-
-    def placed(level: int) -> DataFrame:
-        cell = side / 4**level
-        return shapes.withColumns({"tx": F.floor((mx - ext[0]) / cell), "ty": F.floor((my - ext[1]) / cell)})
-
-    def tiles(level: int) -> DataFrame:
-        return placed(level).groupBy("tx", "ty").agg(
-            F.min("rx0").alias("rx0"), F.min("ry0").alias("ry0"), F.max("rx1").alias("rx1"), F.max("ry1").alias("ry1"), F.count("*").alias("n"))
-
-    while depth < 12 and tiles(depth).agg(F.max("n")).first()[0] > leaf:
-        depth += 1
-    levels = {depth: materialize(tiles(depth))}
-    for level in range(depth - 1, 0, -1):
-        levels[level] = levels[level + 1].groupBy(F.floor(F.col("tx") / 4).alias("tx"), F.floor(F.col("ty") / 4).alias("ty")).agg(
-            F.min("rx0").alias("rx0"), F.min("ry0").alias("ry0"), F.max("rx1").alias("rx1"), F.max("ry1").alias("ry1"))
-
-    gap = lambda c: F.greatest(F.col(f"r{c}0") - F.col(f"{c}1"), F.col(f"{c}0") - F.col(f"r{c}1"), F.lit(0e0))
-    far = lambda c: F.greatest(F.col(f"r{c}1") - F.col(f"{c}0"), F.col(f"{c}1") - F.col(f"r{c}0"))
-    sq = lambda f: f("x") * f("x") + f("y") * f("y")
-    seen = left.select(*BOX).distinct().withColumns({
-        "_tx": F.lit(0).cast("bigint"), "_ty": F.lit(0).cast("bigint"), "_lim": F.lit(float("inf"))})
-    for level in range(1, depth + 1):
-        parts = levels[level].select(
-            F.floor(F.col("tx") / 4).alias("_tx"), F.floor(F.col("ty") / 4).alias("_ty"), "tx", "ty", *[f"r{c}" for c in BOX])
-        step = salted_join(seen, parts, ["_tx", "_ty"], BOX).withColumns({"_near": sq(gap), "_far": sq(far) * (1 + 1e-9)})
+    seen = _root(left).withColumn("_lim", F.lit(float("inf")))
+    for level in range(1, tree.depth + 1):
+        step = salted_join(seen, tree.children(level), ["_tx", "_ty"], BOX).withColumns({"_near": _gap2(), "_far": _far2() * (1 + 1e-9)})
         step = step.where(F.col("_near") <= F.col("_lim")).groupBy(*BOX).agg(
             F.min("_far").alias("_lim"), F.collect_list(F.struct("tx", "ty", "_near")).alias("_t"))
         seen = step.select(*BOX, "_lim", F.explode("_t").alias("_t")).where(F.col("_t._near") <= F.col("_lim")).select(
             *BOX, F.col("_t.tx").alias("_tx"), F.col("_t.ty").alias("_ty"), "_lim")
-    ends = placed(depth).withColumnsRenamed({"tx": "_tx", "ty": "_ty"})
     a, b = F.struct(*BOX), F.struct(*[F.col(f"r{c}").alias(c) for c in BOX])
-    best = salted_join(seen, ends, ["_tx", "_ty"], BOX).groupBy(*BOX).agg(
+    best = salted_join(seen, tree.ends, ["_tx", "_ty"], BOX).groupBy(*BOX).agg(
         F.min(F.struct(geo.segments_d2(a, b).alias("d2"), "rid")).alias("_b"))
     return left.join(best, BOX).withColumns(
         {"near_id": F.col("_b.rid"), "near_dist": F.sqrt("_b.d2")}).drop("_b")
@@ -192,6 +266,9 @@ def rasterize(polys: DataFrame, value: Column, order: Column, cell: float, exten
     px = (
         p.where((near(F.col("y0")) <= last("y1")) & (near(F.col("x0")) <= last("x1")))
         .withColumn("r", F.explode(F.sequence(near(F.col("y0")), last("y1"))))
+        .withColumn("edges", _slab(F.col("edges"), (F.col("r") + 0.5) * cell, (F.col("r") + 0.5) * cell, F.col("x0")))
+        # pixel rows of one large polygon are spread before its pixels are made
+        .repartition("r", "_o")
         .withColumn("c", F.explode(F.sequence(near(F.col("x0")), last("x1"))))
     )
     inside = px.where(geo.point_in_edges((F.col("c") + 0.5) * cell, (F.col("r") + 0.5) * cell, F.col("edges")))

@@ -137,12 +137,10 @@ def _(spark, sf):
     return ly.pick_properties(table(spark, sf, "customer"), ["c_custkey", "c_name"])
 
 
-@query("flatten_collections", "select o_orderkey, l_linenumber line, l_quantity qty from orders join lineitem on l_orderkey=o_orderkey")
+@query("flatten_collections", """select o_orderkey, 'price' field, o_totalprice "value" from orders union all select o_orderkey, 'customer', cast(o_custkey as double) from orders""")
 def _(spark, sf):
-    # the lines of one order form its (small) feature collection
-    li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
-        F.collect_list(F.struct(F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("qty"))).alias("features"))
-    nested = table(spark, sf, "orders").select("o_orderkey").join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "features")
+    item = lambda n, c: F.struct(F.lit(n).alias("field"), F.col(c).cast("double").alias("value"))
+    nested = table(spark, sf, "orders").select("o_orderkey", F.array(item("price", "o_totalprice"), item("customer", "o_custkey")).alias("features"))
     return ly.flatten_collections(nested, "features")
 
 
@@ -426,11 +424,14 @@ def _(spark, sf):
     return tb.key_intersection(table(spark, sf, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf, "lineitem").select("l_suppkey"))
 
 
-@query("array_sets", """with a as (select l_orderkey, list_sort(list(distinct l_suppkey)) s, list_sort(list(distinct l_partkey)) p from lineitem group by 1)
-    select l_orderkey, cast(len(list_filter(s, lambda x: not list_contains(p,x))) as int) only_s, cast(len(list_intersect(s,p)) as int) common, cast(len(list_distinct(list_concat(s,p))) as int) any from a""".replace(" any from", " either from"))
+@query("array_sets", with_views("occ") + """, a as (select yr, list(distinct species) filter(method<'3') s, list(distinct species) filter(method>='3' and rid%10<3) p from occ group by 1)
+    select yr, cast(len(list_filter(s, lambda x: not list_contains(p,x))) as int) only_s, cast(len(list_intersect(s,p)) as int) common, cast(len(list_distinct(list_concat(s,p))) as int) either from a""")
 def _(spark, sf):
-    a = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("s"), F.collect_set("l_partkey").alias("p"))
-    return a.select("l_orderkey", F.size(F.array_except("s", "p")).alias("only_s"), F.size(F.array_intersect("s", "p")).alias("common"), F.size(F.array_union("s", "p")).alias("either"))
+    # species sets: bounded by the species list
+    a = view(spark, sf, "occ").groupBy("yr").agg(
+        F.collect_set(F.when(F.col("method") < "3", F.col("species"))).alias("s"),
+        F.collect_set(F.when((F.col("method") >= "3") & (F.col("rid") % 10 < 3), F.col("species"))).alias("p"))
+    return a.select("yr", F.size(F.array_except("s", "p")).alias("only_s"), F.size(F.array_intersect("s", "p")).alias("common"), F.size(F.array_union("s", "p")).alias("either"))
 
 
 @query("first_per_group", "select o_custkey, arg_min(o_orderkey,row(o_orderdate,o_orderkey)) o_orderkey, min(o_orderdate) o_orderdate from orders group by 1")

@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import Window as W
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for tables that cut lineage (``spark.checkpoint.dir``)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,9 +26,10 @@ def work_dir(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="terraloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="terraloom-")
+    return _local_dirs[app]
 
 
 def materialize(df: DataFrame) -> DataFrame:

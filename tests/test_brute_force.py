@@ -46,6 +46,26 @@ def test_nearest_in_clustered_data(spark):
     assert np.allclose(picked, d.min(axis=1), atol=1e-12)
 
 
+def test_count_within_a_crowd(spark):
+    rng = np.random.default_rng(12)
+    pts = np.vstack([rng.normal(3, 1e-5, (500, 2)), rng.uniform(0, 10, (150, 2)), np.full((200, 2), 7.0)])
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(pts)), "x": pts[:, 0], "y": pts[:, 1]}))
+    got = sp.count_within(df, df, 0.8, leaf=8).toPandas().sort_values("id")["n_within"]
+    d = np.hypot(pts[:, None, 0] - pts[None, :, 0], pts[:, None, 1] - pts[None, :, 1])
+    assert (got.to_numpy() == (d <= 0.8).sum(axis=1)).all()
+
+
+def test_crowded_tiles_are_divided(spark):
+    rng = np.random.default_rng(13)
+    a = np.vstack([rng.uniform(0, 1, (120, 4)), rng.uniform(5, 9, (10, 4))])
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(a)), "x0": a[:, 0], "y0": a[:, 1], "x1": a[:, 2], "y1": a[:, 3]}))
+    seg = sp.as_shape(df, F.array(geo.edge(*[F.col(c) for c in sp.BOX])))
+    one = sp.shape_pairs(seg, seg, "id", "id", lambda p, q: geo.segments_cross(p[0], q[0]), limit=2000)
+    two = sp.shape_pairs(seg, seg, "id", "id", lambda p, q: geo.segments_cross(p[0], q[0]))
+    got = sorted(map(tuple, one.collect()))
+    assert got == sorted(map(tuple, two.collect())) and len(got) == len(set(got)) > 100
+
+
 def test_nearest_with_no_right_side(spark):
     q = sp.point_box(spark.createDataFrame([(1, 0.0, 0.0)], "id int, x double, y double"))
     assert sp.nearest(q, q.where("id > 5").withColumnRenamed("id", "rid"), "rid").first()["near_id"] is None
