@@ -274,22 +274,21 @@ def student_p(rho: Column, df_: Column) -> Column:
 
 def spearman_trend(occ: DataFrame, common: Mapping[str, str] | None = None) -> DataFrame:
     """Rank correlation of yearly record counts with the year, per species with 3 years or more."""
-    by_year = species_years(occ, [])
-    yearly = by_year.where("yr is not null").select("species", "yr", F.col("rec").alias("n"))
+    # records without a year still belong to the species total
+    by_year = species_years(occ, []).withColumn("total_records", F.sum("rec").over(W.partitionBy("species")))
+    yearly = by_year.where("yr is not null").select("species", "yr", "total_records", F.col("rec").alias("n"))
     per = W.partitionBy("species")  # one row per calendar year
     ranked = yearly.withColumns({
         "ry": F.rank().over(per.orderBy("yr")).cast("double"),
         "rn": F.rank().over(per.orderBy("n")) + (F.count("*").over(W.partitionBy("species", "n")) - 1) / 2e0,
     })
-    # records without a year still belong to the species total
-    totals = by_year.groupBy("species").agg(F.sum("rec").alias("total_records"))
     rho = ranked.groupBy("species").agg(
-        F.count("*").alias("n_years"),
+        F.count("*").alias("n_years"), F.first("total_records").alias("total_records"),
         F.when(F.min("n") == F.max("n"), F.lit(None).cast("double")).otherwise(F.corr("ry", "rn")).alias("_rho"),
     ).where("n_years >= 3")
     pairs = [F.lit(v) for kv in (common or {}).items() for v in kv]
     name = F.coalesce(F.element_at(F.create_map(*pairs), F.col("species")), F.lit("")) if pairs else F.lit("")
-    return rho.join(totals, "species").select(
+    return rho.select(
         "species", name.alias("common_name"), "n_years", "total_records",
         F.round("_rho", 4).alias("rho"),
         F.round(student_p(F.col("_rho"), F.col("n_years") - 2), 4).alias("p_value"),

@@ -153,9 +153,16 @@ class TileTree:
         self.levels = levels
         self.ends = placed(self.depth).withColumnsRenamed({"tx": "_tx", "ty": "_ty"})
 
-    def children(self, level: int) -> DataFrame:
-        return self.levels[level].select(
+    def start(self, left: DataFrame) -> DataFrame:
+        """Distinct left boxes beside each of the (at most 16) top tiles."""
+        top = self.levels[1].agg(F.collect_list(F.struct("tx", "ty", "n", *[f"r{c}" for c in BOX]))).scalar()
+        return left.select(*BOX).distinct().withColumn("_top", F.explode(top)).select(*BOX, "_top.*")
+
+    def descend(self, seen: DataFrame, level: int) -> DataFrame:
+        """Candidates of the level above (_tx, _ty) beside their child tiles."""
+        parts = self.levels[level].select(
             F.floor(F.col("tx") / 4).alias("_tx"), F.floor(F.col("ty") / 4).alias("_ty"), "tx", "ty", "n", *[f"r{c}" for c in BOX])
+        return salted_join(seen, parts, ["_tx", "_ty"], BOX)
 
 
 def _gap2() -> Column:
@@ -168,10 +175,6 @@ def _far2() -> Column:
     return far("x") * far("x") + far("y") * far("y")
 
 
-def _root(left: DataFrame) -> DataFrame:
-    return left.select(*BOX).distinct().withColumns({"_tx": F.lit(0).cast("bigint"), "_ty": F.lit(0).cast("bigint")})
-
-
 def count_within(points: DataFrame, around: DataFrame, d: float, leaf: int = 32) -> DataFrame:
     """For each point (x, y) the number of rows of ``around`` within ``d``: ``n_within``.
 
@@ -183,9 +186,10 @@ def count_within(points: DataFrame, around: DataFrame, d: float, leaf: int = 32)
     tree = TileTree(spots, leaf, "n")
     if tree.empty:
         return points.withColumn("n_within", F.lit(0).cast("bigint"))
-    seen, whole = _root(point_box(points)), None
+    seen, whole = None, None
     for level in range(1, tree.depth + 1):
-        step = salted_join(seen, tree.children(level), ["_tx", "_ty"], BOX).withColumns({"_near": _gap2(), "_far": _far2()})
+        step = tree.start(point_box(points)) if seen is None else tree.descend(seen, level)
+        step = step.withColumns({"_near": _gap2(), "_far": _far2()})
         step = step.where(F.col("_near") <= d * d)
         inside = step.where(F.col("_far") <= d * d).groupBy(*BOX).agg(F.sum("n").alias("n"))
         whole = inside if whole is None else whole.unionByName(inside)
@@ -207,9 +211,10 @@ def nearest(left: DataFrame, right: DataFrame, right_id: str, leaf: int = 32) ->
     tree = TileTree(shapes, leaf)
     if tree.empty:
         return left.withColumns({"near_id": F.lit(None).cast("bigint"), "near_dist": F.lit(None).cast("double")})
-    seen = _root(left).withColumn("_lim", F.lit(float("inf")))
+    seen = None
     for level in range(1, tree.depth + 1):
-        step = salted_join(seen, tree.children(level), ["_tx", "_ty"], BOX).withColumns({"_near": _gap2(), "_far": _far2() * (1 + 1e-9)})
+        step = tree.start(left).withColumn("_lim", F.lit(float("inf"))) if seen is None else tree.descend(seen, level)
+        step = step.withColumns({"_near": _gap2(), "_far": _far2() * (1 + 1e-9)})
         step = step.where(F.col("_near") <= F.col("_lim")).groupBy(*BOX).agg(
             F.min("_far").alias("_lim"), F.collect_list(F.struct("tx", "ty", "_near")).alias("_t"))
         seen = step.select(*BOX, "_lim", F.explode("_t").alias("_t")).where(F.col("_t._near") <= F.col("_lim")).select(
