@@ -130,9 +130,17 @@ def _(spark, sf):
     return rs.resample(view(spark, sf, "img").select("scene", "r", "c", "b1"), "b1", 2, "nearest", ["scene"])
 
 
-@query("resample_cubic")
+def _cubic(x: str) -> str:
+    return f"(case when {x}<=1 then 15e-1*{x}*{x}*{x}-25e-1*{x}*{x}+1 when {x}<2 then -5e-1*{x}*{x}*{x}+25e-1*{x}*{x}-4*{x}+2 else 0e0 end)"
+
+
+@query("resample_cubic", with_views("img") + f""", t as (select scene, r*3+a.range rr, c*3+b.range cc, ((r*3+a.range)+5e-1)/3e0-5e-1 pr, ((c*3+b.range)+5e-1)/3e0-5e-1 pc from img cross join range(3) a cross join range(3) b),
+    w as (select t.*, cast(floor(pr) as bigint)+i.range-1 sr, cast(floor(pc) as bigint)+j.range-1 sc from t cross join range(4) i cross join range(4) j),
+    k as (select *, {_cubic('abs(pr-sr)')}*{_cubic('abs(pc-sc)')} wt from w)
+    select k.scene, rr r, cc c, round(sum(wt*(b1*{d(0.7390851332)}))/sum(wt),8) b1 from k join img on img.scene=k.scene and img.r=sr and img.c=sc group by 1,2,3""")
 def _(spark, sf):
-    return rd(rs.resample(view(spark, sf, "img").select("scene", "r", "c", "b1"), "b1", 3, "cubic", ["scene"]), ["b1"])
+    img = view(spark, sf, "img").select("scene", "r", "c", (F.col("b1") * 0.7390851332).alias("b1"))
+    return rd(rs.resample(img, "b1", 3, "cubic", ["scene"]), ["b1"], 8)
 
 
 _SHADOW = with_views("img") + f""", f as (select scene, r, c, b1>75e-2 cloud, b2<3e-1 dark, cast(scene*37%360 as double) az from img),
@@ -181,7 +189,19 @@ def _(spark, sf):
     return rs.overlay_cells(dem.where("z > 1e2").select("r", "c", "z"), dem.where("cls < 6").select("r", "c", "cls"), "difference")
 
 
-@query("contour")
+def _cross(name: str, a: str, b: str, x0: str, y0: str, dx: int, dy: int) -> str:
+    t = f"(lv-{a})/({b}-{a})"
+    return f"case when ({a}>=lv)<>({b}>=lv) then row({x0}+{dx}*{t},{y0}+{dy}*{t}) end {name}"
+
+
+@query("contour", with_views("dem") + f""", q as (select a.r, a.c, a.z z00, b.z z01, x.z z10, y.z z11 from dem a join dem b on b.r=a.r and b.c=a.c+1 join dem x on x.r=a.r+1 and x.c=a.c join dem y on y.r=a.r+1 and y.c=a.c+1),
+    l as (select *, g.range*1e2 lv from q cross join range(0,20) g where g.range between floor(least(z00,z01,z10,z11)/1e2)+1 and floor(greatest(z00,z01,z10,z11)/1e2)),
+    e as (select *, {_cross('tp', 'z00', 'z01', 'c', 'r', 1, 0)}, {_cross('bo', 'z10', 'z11', 'c', '(r+1)', 1, 0)},
+        {_cross('le', 'z00', 'z10', 'c', 'r', 0, 1)}, {_cross('ri', 'z01', 'z11', '(c+1)', 'r', 0, 1)} from l),
+    f as (select lv, list_filter([tp,ri,bo,le], lambda p: p is not null) ps, (z00>=lv)=((z00+z01+z10+z11)/4>=lv) same, tp, ri, bo, le from e),
+    s as (select lv, ps[1] p, ps[2] q from f where len(ps)=2 union all select lv, tp, case when same then ri else le end from f where len(ps)=4
+        union all select lv, case when same then bo else bo end, case when same then le else ri end from f where len(ps)=4)
+    select lv "level", round(p[1],6) x0, round(p[2],6) y0, round(q[1],6) x1, round(q[2],6) y1 from s""")
 def _(spark, sf):
     return rd(rs.contour(view(spark, sf, "dem").select("r", "c", "z"), "z", 100.0), ["x0", "y0", "x1", "y1"])
 
@@ -360,7 +380,15 @@ def _(spark, sf):
     return rs.cutout(patch_table(spark, sf).drop("b2"), ["b1"], 10, 3, 5)
 
 
-@query("random_patches")
+_TRY = ("cast(scene as varchar)", "cast(p.range as varchar)", "cast(t.range as varchar)")
+
+
+@query("random_patches", with_views("img") + f""", dm as (select scene, max(r)+1 h, max(c)+1 w from img group by 1 having max(r)+1>16 and max(c)+1>16),
+    cd as (select scene, cast(p.range as int) patch, t.range i, cast(floor({_u(42, "'y'", *_TRY)}*(h-15)) as bigint) y0, cast(floor({_u(42, "'x'", *_TRY)}*(w-15)) as bigint) x0
+        from dm cross join range(1,6) p cross join range(1,51) t),
+    sh as (select scene, patch, i, y0, x0, sum(cast(b1<>0 as int)+cast(b2<>0 as int))/512e0 v from cd join img using(scene) where r>=y0 and r<y0+16 and c>=x0 and c<x0+16 group by all),
+    ok as (select scene, patch, arg_min(row(y0,x0),i) o from sh where v>={d(0.9)} group by 1,2)
+    select scene, cast(p.range as int) patch, coalesce(o[1],h//2-8) y0, coalesce(o[2],w//2-8) x0 from dm cross join range(1,6) p left join ok using(scene) where ok.patch is null or ok.patch=p.range""".replace("left join ok using(scene) where ok.patch is null or ok.patch=p.range", "left join ok on ok.scene=dm.scene and ok.patch=p.range").replace("select scene, cast(p.range as int) patch, coalesce", "select dm.scene, cast(p.range as int) patch, coalesce"))
 def _(spark, sf):
     return rs.random_patches(view(spark, sf, "img").select("scene", "r", "c", "b1", "b2"), ["b1", "b2"], size=16, n=5, seed=42)
 

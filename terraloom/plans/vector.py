@@ -251,7 +251,17 @@ def _(spark, sf):
     return rd(sp.point_density(view(spark, sf, "pts"), 0.8, 0.25), ["density"])
 
 
-@query("project_utm")
+_E2 = 1 / 298.257223563 * (2 - 1 / 298.257223563)
+_EP2 = _E2 / (1 - _E2)
+_UTM = with_views("pts") + f""", p as (select pid, radians(-(y-10*trunc(y/10))) phi, radians(x+105-105e0) lam from pts),
+    a as (select pid, phi, {d(6378137.0)}/sqrt(1-{d(_E2)}*pow(sin(phi),2)) n, pow(tan(phi),2) t, {d(_EP2)}*pow(cos(phi),2) c, cos(phi)*lam aa,
+        {d(6378137.0)}*({d(1 - _E2 / 4 - 3 * _E2**2 / 64 - 5 * _E2**3 / 256)}*phi-{d(3 * _E2 / 8 + 3 * _E2**2 / 32 + 45 * _E2**3 / 1024)}*sin(2*phi)
+        +{d(15 * _E2**2 / 256 + 45 * _E2**3 / 1024)}*sin(4*phi)-{d(35 * _E2**3 / 3072)}*sin(6*phi)) m from p)
+    select pid, round({d(0.9996)}*n*(aa+(1-t+c)*pow(aa,3)/6+(5-18*t+t*t+72*c-58*{d(_EP2)})*pow(aa,5)/120)+5e5,3) easting,
+        round({d(0.9996)}*(m+n*tan(phi)*(pow(aa,2)/2+(5-t+9*c+4*c*c)*pow(aa,4)/24+(61-58*t+t*t+600*c-330*{d(_EP2)})*pow(aa,6)/720))+1e7,3) northing from a"""
+
+
+@query("project_utm", _UTM)
 def _(spark, sf):
     p = view(spark, sf, "pts").withColumns({"lon": F.col("x") + 105, "lat": -F.col("y") % 10})
     e, n = project_utm(F.col("lon"), F.col("lat"), 48, south=True)
