@@ -22,7 +22,7 @@ def folder(spark) -> str:
 
 # --- files -----------------------------------------------------------------------------
 
-_OCC12 = """select cast(rid as string) No, 'survey' Source, species Species, species Common_Name, case when yr>=1999 then 'REEPS' end Status,
+_OCC12 = """select cast(rid as string) No, 'survey' Source, species Species, species Common_Name, case when yr>=1999 then 'TARGET' end Status,
     cast(yr as string) Year, '1' Month, 'x' Month_Year, method Survey_Method, cast(null as string) Location,
     case when rid%10=3 then 'n/a' else cast(y as string) end Latitude, case when yr=1997 and method='5-LOW' then null else cast(x as string) end Longitude from {occ}"""
 

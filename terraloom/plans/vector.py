@@ -46,9 +46,10 @@ def _(spark, sf):
     return sp.count_points_in_polygons(view(spark, sf, "pts"), zone(spark, sf), "zid", "seg")
 
 
-@query("zonal_stats", with_views("pts", "zone") + f' select z.zid, count(*) n, round(sum(w),4) "sum", round(avg(w),4) mean, min(w) "min", max(w) "max" from zone z join pts p on {_IN} group by 1')
+@query("zonal_stats", with_views("pts", "zone") + f' select z.zid, count(*) n, sum(floor(w)) "sum", avg(floor(w)) mean, min(floor(w)) "min", max(floor(w)) "max" from zone z join pts p on {_IN} group by 1')
 def _(spark, sf):
-    return rd(sp.zonal_stats(view(spark, sf, "pts"), zone(spark, sf), "zid", "w"), ["sum", "mean"], 4)
+    pts = view(spark, sf, "pts").withColumn("w", F.floor("w").cast("double"))
+    return sp.zonal_stats(pts, zone(spark, sf), "zid", "w")
 
 
 @query("polygon_area_centroid", with_views("zone") + " select zid, (x1-x0)*(y1-y0) area, round((x0+x1)/2,6) cx, round((y0+y1)/2,6) cy from zone")
