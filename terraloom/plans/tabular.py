@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from terraloom.functions import scalars as sc
 from terraloom.functions.fixed_values import S2_TO_FOUR_BAND, WORLD_COVER
+from terraloom.functions.hexgrid import assign_cell
 from terraloom.operators import joins as jn, tables as tb
+from terraloom.operators.occurrence import species_years
 from terraloom.plans.registry import query
-from terraloom.plans.sqltext import d
+from terraloom.plans.sqltext import SIZE, d, hexed
 from terraloom.scale import work_dir
 from terraloom.sources import layers as ly
 from terraloom.sources.fixtures import table, view, with_views
@@ -424,14 +426,15 @@ def _(spark, sf):
     return tb.key_intersection(table(spark, sf, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf, "lineitem").select("l_suppkey"))
 
 
-@query("array_sets", with_views("occ") + """, a as (select yr, list(distinct species) filter(method<'3') s, list(distinct species) filter(method>='3' and rid%10<3) p from occ group by 1)
-    select yr, cast(len(list_filter(s, lambda x: not list_contains(p,x))) as int) only_s, cast(len(list_intersect(s,p)) as int) common, cast(len(list_distinct(list_concat(s,p))) as int) either from a""")
+@query("array_sets", with_views("occ") + ", " + hexed("occ") + """, a as (select q, r, coalesce(list(distinct species) filter(yr<=1997),[]) s, coalesce(list(distinct species) filter(yr>1997),[]) p from occ_c group by 1,2)
+    select q, r, cast(len(list_filter(s, lambda x: not list_contains(p,x))) as int) only_s, cast(len(list_intersect(s,p)) as int) common, cast(len(list_distinct(list_concat(s,p))) as int) either from a""")
 def _(spark, sf):
-    # species sets: bounded by the species list
-    a = view(spark, sf, "occ").groupBy("yr").agg(
-        F.collect_set(F.when(F.col("method") < "3", F.col("species"))).alias("s"),
-        F.collect_set(F.when((F.col("method") >= "3") & (F.col("rid") % 10 < 3), F.col("species"))).alias("p"))
-    return a.select("yr", F.size(F.array_except("s", "p")).alias("only_s"), F.size(F.array_intersect("s", "p")).alias("common"), F.size(F.array_union("s", "p")).alias("either"))
+    # early and late species sets per cell: bounded by the species list
+    small = species_years(assign_cell(view(spark, sf, "occ"), "x", "y", SIZE))
+    a = small.groupBy("q", "r").agg(
+        F.collect_set(F.when(F.col("yr") <= 1997, F.col("species"))).alias("s"),
+        F.collect_set(F.when(F.col("yr") > 1997, F.col("species"))).alias("p"))
+    return a.select("q", "r", F.size(F.array_except("s", "p")).alias("only_s"), F.size(F.array_intersect("s", "p")).alias("common"), F.size(F.array_union("s", "p")).alias("either"))
 
 
 @query("first_per_group", "select o_custkey, arg_min(o_orderkey,row(o_orderdate,o_orderkey)) o_orderkey, min(o_orderdate) o_orderdate from orders group by 1")
