@@ -34,7 +34,7 @@ def sha256(text: str):
     return F.sha2(F.encode(text, "utf-8"), 256)
 
 
-from terraloom.llm import substring  # noqa: E402
+from terraloom.llm import exact, fingerprint, substring  # noqa: E402
 
 
 @query("op1_substring_dedup", r"""
@@ -51,3 +51,17 @@ from d left join kept on d.doc_id = kept.doc_id""")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(lessons(spark, sf_dir), window=13).select(
         F.col("lesson_id").alias("doc_id"), "n_words", "n_removed", sha256("kept").alias("kept_sha256"))
+
+
+@query("op9_exact_dedup", r"""
+with t as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) text_sha256 from documents)
+select doc_id, min(doc_id) over g keep_id, count(*) over g group_size, doc_id = min(doc_id) over g kept, text_sha256
+from t window g as (partition by text_sha256)""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.collapse_copies(lessons(spark, sf_dir)).select(
+        F.col("lesson_id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("body_sha256").alias("text_sha256"))
+
+
+@query("op10_fingerprints")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edits(lessons(spark, sf_dir)).withColumnRenamed("lesson_id", "doc_id")
