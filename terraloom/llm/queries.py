@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def sha256(text: str):
     return F.sha2(F.encode(text, "utf-8"), 256)
 
 
-from terraloom.llm import exact, fingerprint, substring  # noqa: E402
+from terraloom.llm import bpe, exact, fingerprint, packing, substring  # noqa: E402
 
 
 @query("op1_substring_dedup", r"""
@@ -65,3 +66,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_fingerprints")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edits(lessons(spark, sf_dir)).withColumnRenamed("lesson_id", "doc_id")
+
+
+@query("op4_byte_bpe")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    tokens = bpe.encode_lessons(lessons(spark, sf_dir), *vocabulary)
+    return bpe.decode_lessons(tokens, *vocabulary, keep=("lesson_id", "n_tokens", "token_ids")).select(
+        F.col("lesson_id").alias("doc_id"), "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op7_best_fit_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_lessons(lessons(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("lesson_id", "doc_id")

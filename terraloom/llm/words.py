@@ -27,6 +27,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BYTE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 BASE = 0xD6E8FEB86659FD93
+INVERSE = pow(BASE, -1, 1 << 64)
 _tables: dict[int, np.ndarray] = {}
 
 
@@ -87,12 +88,22 @@ def rows_of(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
 
 
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span (running polynomial, one pass over the bytes)."""
-    n = len(data)
-    run = np.zeros(n + 1, U)
-    np.cumsum(_BYTE[data] * powers(n), out=run[1:])
-    return mix((run[ends] - run[starts]) * powers(n, pow(BASE, -1, 1 << 64))[starts] + (ends - starts).astype(U))
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 19) -> np.ndarray:
+    """64-bit hash of each byte span (running polynomial); spans are in order and apart.
+
+    Works through blocks of about ``block`` bytes that end between spans.
+    """
+    out = np.zeros(len(starts), U)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + block, side="right")))
+        first, last = starts[a:b] - starts[a], ends[a:b] - starts[a]
+        n = int(last[-1])
+        run = np.zeros(n + 1, U)
+        np.cumsum(_BYTE[data[starts[a] : starts[a] + n]] * powers(n), out=run[1:])
+        out[a:b] = (run[last] - run[first]) * powers(n, INVERSE)[first] + (last - first).astype(U)
+        a = b
+    return mix(out)
 
 
 def window_hash(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
