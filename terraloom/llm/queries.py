@@ -35,7 +35,7 @@ def sha256(text: str):
     return F.sha2(F.encode(text, "utf-8"), 256)
 
 
-from terraloom.llm import bpe, exact, fingerprint, packing, substring  # noqa: E402
+from terraloom.llm import bpe, exact, fingerprint, language, packing, substring  # noqa: E402
 
 
 @query("op1_substring_dedup", r"""
@@ -79,3 +79,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_best_fit_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_lessons(lessons(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("lesson_id", "doc_id")
+
+
+def held_out(parts: int, rest: int):
+    return F.coalesce(F.crc32(F.col("lesson_id").cast("string")) % parts == rest, F.lit(False))
+
+
+@query("op3_language")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lessons(spark, sf_dir)
+    models = language.train(rows.where(~held_out(4, 2)))
+    return language.identify(rows, models).select(
+        F.col("lesson_id").alias("doc_id"), held_out(4, 2).alias("held_out"), F.col("language_found").alias("lang_pred"), F.col("confidence").alias("score"))
