@@ -11,6 +11,7 @@ every token its bytes and, through the byte-to-character map, its characters.
 from __future__ import annotations
 
 import base64
+import json
 import os
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from terraloom.llm import words as w
 
-CACHE = 1_500_000  # segments a worker remembers
+CACHE = 400_000  # segments a worker remembers
 _open: dict[tuple, "Encoder"] = {}
 
 
@@ -58,13 +59,17 @@ def tokenizer_of(path: str, pattern: str | None = None):
     return made
 
 
-def token_bytes(tokenizer) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all ids in a row, and where each id begins."""
-    back = {c: b for b, c in enumerate(byte_letters())}
-    vocab = tokenizer.get_vocab(with_added_tokens=False)
+def token_bytes(path: str, pattern: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all ids of a vocabulary file in a row, and where each id begins."""
+    if pattern is None:
+        back = {c: b for b, c in enumerate(byte_letters())}
+        vocab = {t: i for t, i in json.load(open(path, encoding="utf-8"))["model"]["vocab"].items() if all(c in back for c in t)}
+        vocab = {bytes(back[c] for c in t): i for t, i in vocab.items()}
+    else:
+        vocab = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     table = [b""] * (max(vocab.values()) + 1)
     for token, i in vocab.items():
-        table[i] = bytes(back[c] for c in token) if all(c in back for c in token) else b""
+        table[i] = token
     return np.frombuffer(b"".join(table), np.uint8), np.append(0, np.cumsum([len(t) for t in table]))
 
 
@@ -93,8 +98,7 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str | None):
         self.tokenizer = tokenizer_of(path, pattern)
-        self.bytes, self.begin = token_bytes(self.tokenizer)
-        self.size = np.diff(self.begin)
+        self.size = np.diff(token_bytes(path, pattern)[1])
         self._forget()
 
     def _forget(self) -> None:
@@ -189,7 +193,7 @@ def encoder(path: str, pattern: str | None = None) -> Encoder:
     return _open[path, pattern]
 
 
-def slices(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes of text, one row at least."""
     _, off = w.column_bytes(texts)
     a = 0
@@ -247,16 +251,17 @@ def decode_lessons(tokens: DataFrame, path: str, pattern: str | None = None, kee
     """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(path, pattern)
+        table, begin = token_bytes(path, pattern)
+        sizes = np.diff(begin)
         for batch in batches:
             raw = batch.column(len(keep)).fill_null(b"").cast(pa.large_binary())
             off = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
             a = 0
             while a < len(raw):
-                b = max(a + 1, int(np.searchsorted(off, off[a] + (8 << 20), side="right")) - 1)
+                b = max(a + 1, int(np.searchsorted(off, off[a] + (2 << 20), side="right")) - 1)
                 ids = np.frombuffer(raw.buffers()[2], "<u4", (off[b] - off[a]) // 4, int(off[a])) if off[b] > off[a] else np.zeros(0, "<u4")
-                size = tool.size[ids]
-                data = tool.bytes[ragged(tool.begin[ids], size)]
+                size = sizes[ids]
+                data = table[ragged(begin[ids], size)]
                 ends = np.append(0, np.cumsum(size))[(off[a : b + 1] - off[a]) // 4]
                 texts = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(np.ascontiguousarray(ends, np.int64)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_pydict({**{k: batch.column(i).slice(a, b - a) for i, k in enumerate(keep)}, "decoded": texts.cast(pa.binary())})

@@ -35,7 +35,7 @@ def sha256(text: str):
     return F.sha2(F.encode(text, "utf-8"), 256)
 
 
-from terraloom.llm import bpe, exact, fingerprint, language, packing, substring  # noqa: E402
+from terraloom.llm import bpe, exact, fingerprint, language, near, packing, substring  # noqa: E402
 
 
 @query("op1_substring_dedup", r"""
@@ -91,3 +91,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = language.train(rows.where(~held_out(4, 2)))
     return language.identify(rows, models).select(
         F.col("lesson_id").alias("doc_id"), held_out(4, 2).alias("held_out"), F.col("language_found").alias("lang_pred"), F.col("confidence").alias("score"))
+
+
+@query("op8_near_copies")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_copies(lessons(spark, sf_dir)).withColumnsRenamed({"lesson_id": "doc_id"})

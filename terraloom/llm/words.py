@@ -17,6 +17,7 @@ NULL_ID = np.iinfo(np.int64).max  # a missing id sorts after every other
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values over all bits (a bijection)."""
+    x = np.atleast_1d(x)
     x = x ^ (x >> U(30))
     x = x * U(0xBF58476D1CE4E5B9)
     x ^= x >> U(27)
