@@ -102,7 +102,7 @@ def fingerprints(lessons: DataFrame) -> DataFrame:
     return rows.groupBy("lesson_id").agg(*_lanes()).select("lesson_id", _vector().alias("fingerprint"))
 
 
-def _bucket(key: Column, starts: list[int]) -> Column:
+def range_of(key: Column, starts: list[int]) -> Column:
     """Index of the last start that is not above ``key``; looks at about 2 * sqrt(n) starts."""
     step = max(1, math.isqrt(len(starts)))
     below = lambda xs: F.size(F.filter(xs, lambda x: x <= key))
@@ -129,7 +129,7 @@ def compare_edits(lessons: DataFrame, share: int = 4) -> DataFrame:
     n = 2 * shuffle_width(lessons)
     cuts = rows.agg(F.percentile_approx("_key", [i / n for i in range(n)], 100 * n), F.min("_key")).first()
     starts = sorted({*(cuts[0] or []), *([] if cuts[1] is None else [cuts[1]])}) or [0]
-    placed = rows.select("*", _bucket(F.col("_key"), starts).alias("_range"), F.lit(0).alias("_guest"))
+    placed = rows.select("*", range_of(F.col("_key"), starts).alias("_range"), F.lit(0).alias("_guest"))
     guests = placed.where(F.col("_key").isin(starts)).withColumn("_guest", F.lit(1)).withColumn(
         "_range", F.pmod(F.col("_range") - 1, F.lit(len(starts))))
     order = W.partitionBy("_range").orderBy("_guest", "_key", "body")

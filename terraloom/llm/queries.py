@@ -6,6 +6,7 @@ results; digests are derived here.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -35,7 +36,8 @@ def sha256(text: str):
     return F.sha2(F.encode(text, "utf-8"), 256)
 
 
-from terraloom.llm import bpe, exact, fingerprint, language, near, packing, substring  # noqa: E402
+from terraloom.llm import bpe, exact, fingerprint, language, near, packing, substring, warc  # noqa: E402
+from terraloom.scale import work_dir  # noqa: E402
 
 
 @query("op1_substring_dedup", r"""
@@ -96,3 +98,21 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_near_copies")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_copies(lessons(spark, sf_dir)).withColumnsRenamed({"lesson_id": "doc_id"})
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+
+
+@query("op2_warc", r"""
+with t as (select page_id, cast(octet_length(encode(coalesce(html, ''))) as bigint) payload_bytes, sha1(coalesce(html, '')) h from pages),
+r as (select *, max(page_id) over (partition by h) best from t)
+select page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           cast(1 + ((cast('0x' || substr(upper(h), cast(1 + 5 * (i // 4) as int), 5) as bigint) >> cast(15 - 5 * (i % 4) as int)) & 31) as int), 1)), '') payload_digest,
+       case when page_id = best then 'response' else 'revisit' end record_type, case when page_id <> best then best end refers_to
+from r""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{work_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(pages(spark, sf_dir), folder if ":" in folder else f"file://{folder}", min_revisit_bytes=0)
+    return warc.read_archives(spark, folder).drop("url", "html")
