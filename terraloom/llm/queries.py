@@ -36,7 +36,7 @@ def sha256(text: str):
     return F.sha2(F.encode(text, "utf-8"), 256)
 
 
-from terraloom.llm import bpe, exact, fingerprint, language, near, packing, substring, warc  # noqa: E402
+from terraloom.llm import bpe, exact, extract, fingerprint, language, near, packing, substring, warc  # noqa: E402
 from terraloom.scale import work_dir  # noqa: E402
 
 
@@ -116,3 +116,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{work_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archives(pages(spark, sf_dir), folder if ":" in folder else f"file://{folder}", min_revisit_bytes=0)
     return warc.read_archives(spark, folder).drop("url", "html")
+
+
+@query("op6_main_text")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_text(pages(spark, sf_dir)).drop("path")
