@@ -36,7 +36,7 @@ def sha256(text: str):
     return F.sha2(F.encode(text, "utf-8"), 256)
 
 
-from terraloom.llm import bpe, exact, extract, fingerprint, language, near, packing, substring, warc  # noqa: E402
+from terraloom.llm import bpe, exact, extract, fingerprint, language, near, packing, substring, toxicity, warc  # noqa: E402
 from terraloom.scale import work_dir  # noqa: E402
 
 
@@ -121,3 +121,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_main_text")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_text(pages(spark, sf_dir)).drop("path")
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lessons(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("lesson_id"), "toxic")
+    model = toxicity.train(rows, labels.where(~held_out(5, 0)))
+    return toxicity.score_lessons(rows, model).select(
+        F.col("lesson_id").alias("doc_id"), held_out(5, 0).alias("held_out"), "score", F.col("flagged").cast("int").alias("predicted"))
