@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,7 +98,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_near_copies")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.near_copies(lessons(spark, sf_dir)).withColumnsRenamed({"lesson_id": "doc_id"})
+    return near.near_copies(lessons(spark, sf_dir)).withColumnRenamed("lesson_id", "doc_id").drop("body_md5")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,3 +131,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(rows, labels.where(~held_out(5, 0)))
     return toxicity.score_lessons(rows, model).select(
         F.col("lesson_id").alias("doc_id"), held_out(5, 0).alias("held_out"), "score", F.col("flagged").cast("int").alias("predicted"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -16,7 +16,7 @@ later steps reuse that exchange.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -172,7 +172,7 @@ def _answer(messages: pa.Table, anchors: bool) -> pa.Table:
         "lowest": pa.array([w.planes(lowest[a:b]) for a, b in zip(at, end)], pa.binary())})
 
 
-def _cut(g: _Group, replies: pa.Table) -> pa.Table:
+def _cut(g: _Group, replies: pa.Table, passed: dict[str, pa.ChunkedArray]) -> pa.Table:
     """Remove the words of windows that start in an earlier lesson."""
     n = len(g.row)
     start = g.runs(g.window)
@@ -200,7 +200,7 @@ def _cut(g: _Group, replies: pa.Table) -> pa.Table:
         [pa.array(first - base[g.row[first]], pa.int64()), pa.array(last - base[g.row[first]], pa.int64())], ["first", "last"]))
     return pa.table({
         "lesson_id": pa.array(g.ids, pa.int64(), mask=g.ids == w.NULL_ID), "n_words": pa.array(n_words, pa.int64()),
-        "n_removed": pa.array(n_removed, pa.int64()), "repeats": spans, "kept": _joined(g, ~gone)})
+        "n_removed": pa.array(n_removed, pa.int64()), "repeats": spans, "kept": _joined(g, ~gone), **passed})
 
 
 def _joined(g: _Group, keep: np.ndarray) -> pa.Array:
@@ -217,10 +217,13 @@ def _joined(g: _Group, keep: np.ndarray) -> pa.Array:
     return w.text_column(np.where(w.spaces(g.data), np.uint8(32), g.data)[take], np.append(0, np.cumsum(size)))
 
 
-def remove_repeats(lessons: DataFrame, window: int = 13, group_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(
+    lessons: DataFrame, window: int = 13, group_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20, keep: Sequence[str] = ()
+) -> DataFrame:
     """Cut from each lesson the passages that a lesson with a smaller ``lesson_id`` has too.
 
-    lessons: ``lesson_id`` bigint, ``body`` string; further columns are not read.  A word
+    lessons: ``lesson_id`` bigint, ``body`` string; further columns are not read, those in
+    ``keep`` are passed on.  A word
     is a run of characters other than space and 09-0D.  A word goes when a run of
     ``window`` words that covers it also starts in a lesson with a smaller id; runs are
     judged on the given bodies.  Returns per row ``lesson_id``, ``n_words``,
@@ -239,9 +242,9 @@ def remove_repeats(lessons: DataFrame, window: int = 13, group_bytes: int = 8 <<
     size, width = w.text_bytes(lessons, "body"), w.shuffle_width(lessons)
     groups, buckets = max(width, math.ceil(size / group_bytes)), max(width, math.ceil(size / bucket_bytes))
     placed = lessons.select(
-        F.col("lesson_id").cast("bigint").alias("lesson_id"), "body",
+        F.col("lesson_id").cast("bigint").alias("lesson_id"), "body", *[F.col(c).alias(f"keep_{c}") for c in keep],
         F.pmod(F.xxhash64("lesson_id", F.lit(1)), F.lit(groups)).alias("part"))
-    by_part = placed.groupBy("part")
+    by_part, kinds = placed.groupBy("part"), dict(lessons.dtypes)
 
     def anchors_out(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return _send_anchors(key[0].as_py(), _Group(table, window), buckets)
@@ -250,11 +253,12 @@ def remove_repeats(lessons: DataFrame, window: int = 13, group_bytes: int = 8 <<
         return _send_windows(key[0].as_py(), _Group(table, window), replies, buckets)
 
     def cut(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
-        return _cut(_Group(table, window), replies)
+        return _cut(_Group(table, window), replies, {c: table[f"keep_{c}"] for c in keep})
 
     def answered(sent: DataFrame, anchors: bool) -> DataFrame:
         return sent.groupBy("bucket").applyInArrow(lambda table: _answer(table, anchors), REPLY)
 
     shared = answered(by_part.applyInArrow(anchors_out, MESSAGE), True)
     repeated = answered(by_part.cogroup(shared.groupBy("part")).applyInArrow(windows_out, MESSAGE), False)
-    return by_part.cogroup(repeated.groupBy("part")).applyInArrow(cut, RESULT)
+    return by_part.cogroup(repeated.groupBy("part")).applyInArrow(
+        cut, ", ".join([RESULT, *[f"`{c}` {kinds[c]}" for c in keep]]))
