@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-TOL = 1e-9
+TOL = 1e-10  # share of the size of the coordinates within which places count as equal
 
 
 def edge(x0, y0, x1, y1) -> Column:
@@ -65,10 +65,15 @@ def point_in_edges(x: Column, y: Column, edges: Column) -> Column:
     return hits % 2 == 1
 
 
+def _magnitude(*coordinates) -> Column:
+    return F.greatest(*[F.abs(c) for c in coordinates])
+
+
 def side(ax, ay, bx, by, cx, cy) -> Column:
-    """Twice the signed area of a, b, c; values within the tolerance count as zero."""
-    v = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
-    return F.when(F.abs(v) <= TOL, 0e0).otherwise(v)
+    """Twice the signed area of a, b, c; zero when c is off the line by no more than the tolerance."""
+    dx, dy = bx - ax, by - ay
+    v = dx * (cy - ay) - dy * (cx - ax)
+    return F.when(F.abs(v) <= TOL * _magnitude(ax, ay, bx, by, cx, cy) * (F.abs(dx) + F.abs(dy)), 0e0).otherwise(v)
 
 
 def segments_cross(a: Column, b: Column) -> Column:
@@ -79,10 +84,11 @@ def segments_cross(a: Column, b: Column) -> Column:
 
 
 def _on(e: Column, x: Column, y: Column) -> Column:
+    tol = TOL * _magnitude(e["x0"], e["y0"], e["x1"], e["y1"], x, y)
     return (
         (side(e["x0"], e["y0"], e["x1"], e["y1"], x, y) == 0)
-        & (x >= F.least(e["x0"], e["x1"]) - TOL) & (x <= F.greatest(e["x0"], e["x1"]) + TOL)
-        & (y >= F.least(e["y0"], e["y1"]) - TOL) & (y <= F.greatest(e["y0"], e["y1"]) + TOL))
+        & (x >= F.least(e["x0"], e["x1"]) - tol) & (x <= F.greatest(e["x0"], e["x1"]) + tol)
+        & (y >= F.least(e["y0"], e["y1"]) - tol) & (y <= F.greatest(e["y0"], e["y1"]) + tol))
 
 
 def segments_meet(a: Column, b: Column) -> Column:
@@ -93,7 +99,8 @@ def segments_meet(a: Column, b: Column) -> Column:
 
 def segments_connect(a: Column, b: Column) -> Column:
     """A common end point."""
-    same = lambda p, q: (F.abs(a["x" + p] - b["x" + q]) <= TOL) & (F.abs(a["y" + p] - b["y" + q]) <= TOL)
+    tol = TOL * _magnitude(*[e[c] for e in (a, b) for c in ("x0", "y0", "x1", "y1")])
+    same = lambda p, q: (F.abs(a["x" + p] - b["x" + q]) <= tol) & (F.abs(a["y" + p] - b["y" + q]) <= tol)
     return same("0", "0") | same("0", "1") | same("1", "0") | same("1", "1")
 
 
@@ -105,21 +112,51 @@ def strictly_inside(x: Column, y: Column, edges: Column) -> Column:
     return point_in_edges(x, y, edges) & ~F.exists(edges, lambda e: _on(e, x, y))
 
 
+def _vertex_in(p: Column, q: Column) -> Column:
+    """Some vertex of any part or ring of ``p`` lies in ``q``."""
+    return F.exists(p, lambda e: point_in_edges(e["x0"], e["y0"], q))
+
+
 def polygons_intersect(p: Column, q: Column) -> Column:
-    first = lambda e: (e[0]["x0"], e[0]["y0"])
-    return _any(p, q, segments_meet) | point_in_edges(*first(p), q) | point_in_edges(*first(q), p)
+    """Any part of one meets or lies in a part of the other; holes are outside."""
+    return _any(p, q, segments_meet) | _vertex_in(p, q) | _vertex_in(q, p)
 
 
 def line_meets_polygon(line: Column, poly: Column) -> Column:
-    return _any(line, poly, segments_meet) | point_in_edges(line[0]["x0"], line[0]["y0"], poly)
+    return _any(line, poly, segments_meet) | _vertex_in(line, poly)
+
+
+def _middles(e: Column, q: Column) -> Column:
+    """Middle points of the pieces into which the edges of ``q`` can cut ``e``, with a small step to its left."""
+    dx, dy = e["x1"] - e["x0"], e["y1"] - e["y0"]
+    length2 = dx * dx + dy * dy
+
+    def places(f: Column) -> Column:
+        fx, fy = f["x1"] - f["x0"], f["y1"] - f["y0"]
+        along = lambda x, y: F.try_divide((x - e["x0"]) * dx + (y - e["y0"]) * dy, length2)
+        cross = F.try_divide((f["x0"] - e["x0"]) * fy - (f["y0"] - e["y0"]) * fx, dx * fy - dy * fx)
+        return F.array(cross, along(f["x0"], f["y0"]), along(f["x1"], f["y1"]))
+
+    inner = F.filter(F.flatten(F.transform(q, places)), lambda t: (t > 0) & (t < 1))
+    ends = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0e0), F.lit(1e0)), inner)))
+    pieces = F.zip_with(F.slice(ends, 1, F.size(ends) - 1), F.slice(ends, 2, F.size(ends) - 1), lambda s, t: F.struct(
+        ((s + t) / 2).alias("t"), ((t - s) / 1000).alias("h")))
+    return F.transform(pieces, lambda m: F.struct(
+        (e["x0"] + m["t"] * dx).alias("x"), (e["y0"] + m["t"] * dy).alias("y"), (-dy * m["h"]).alias("hx"), (dx * m["h"]).alias("hy")))
 
 
 def interiors_overlap(p: Column, q: Column) -> Column:
-    """A proper crossing, or a vertex, edge midpoint or centroid strictly inside the other."""
+    """Some piece of an edge lies inside the other polygon, or both lie on the same side of a shared piece.
+
+    Each edge is cut wherever the other polygon can meet it, so a piece is inside, outside
+    or on the boundary as a whole.
+    """
     def reach(a: Column, b: Column) -> Column:
-        cx, cy = centroid(a)
-        mid = F.exists(a, lambda e: strictly_inside((e["x0"] + e["x1"]) / 2, (e["y0"] + e["y1"]) / 2, b))
-        return F.exists(a, lambda e: strictly_inside(e["x0"], e["y0"], b)) | mid | strictly_inside(cx, cy, b)
+        inside = lambda m: strictly_inside(m["x"], m["y"], b)
+        shared = lambda m: F.exists(F.array(F.lit(1e0), F.lit(-1e0)), lambda s: point_in_edges(m["x"] + s * m["hx"], m["y"] + s * m["hy"], a) & point_in_edges(
+            m["x"] + s * m["hx"], m["y"] + s * m["hy"], b))
+        on = lambda m: F.exists(b, lambda f: _on(f, m["x"], m["y"]))
+        return F.exists(a, lambda e: F.exists(_middles(e, b), lambda m: inside(m) | (on(m) & shared(m))))
 
     return _any(p, q, segments_cross) | reach(p, q) | reach(q, p)
 
@@ -129,8 +166,9 @@ def polygons_touch(p: Column, q: Column) -> Column:
 
 
 def within(inner: Column, outer: Column) -> Column:
-    """Completely inside: no contact with the outer boundary."""
-    return point_in_edges(inner[0]["x0"], inner[0]["y0"], outer) & ~_any(inner, outer, segments_meet)
+    """All parts completely inside: no contact with the outer boundary, and no ring of it (as of a hole) inside."""
+    parts = F.forall(inner, lambda e: point_in_edges(e["x0"], e["y0"], outer))
+    return parts & ~_any(inner, outer, segments_meet) & ~_vertex_in(outer, inner)
 
 
 def point_segment_d2(x: Column, y: Column, e: Column) -> Column:

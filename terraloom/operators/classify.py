@@ -6,9 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from terraloom.scale import exact_percentiles, materialize
-
-BINS = 1024
+from terraloom.scale import exact_percentiles
 
 
 def class_breaks(df: DataFrame, col: str, n: int, method: str) -> DataFrame:
@@ -49,45 +47,51 @@ def assign_class(df: DataFrame, col: str, breaks: DataFrame, out: str = "class_n
         out, F.when(F.col(col).isNotNull(), F.least(cls, F.size("_b") - 1))).drop("_b")
 
 
-def value_histogram(df: DataFrame, col: str, bins: int = BINS) -> DataFrame:
-    """(value, n, s, ss): distinct values when few, else equal-width bins, at most ``bins`` rows."""
-    counts = materialize(df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count("*").alias("n")))
-    span = counts.agg(F.struct(F.count("*").alias("k"), F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
-    binned = counts.withColumn("_s", span).withColumn("_bin", F.when(
-        F.col("_s.k") > bins, F.least(F.floor((F.col("v") - F.col("_s.lo")) / (F.col("_s.hi") - F.col("_s.lo")) * bins), F.lit(bins - 1)).cast("double")
-    ).otherwise(F.col("v")))
-    return binned.groupBy("_bin").agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v")).alias("s"),
-        F.sum(F.col("n") * F.col("v") * F.col("v")).alias("ss"))
-
-
-def jenks_breaks(df: DataFrame, col: str, n: int, bins: int = BINS) -> DataFrame:
-    """Natural breaks: least within-class variance over the value histogram.
+def jenks_breaks(df: DataFrame, col: str, n: int) -> DataFrame:
+    """Natural breaks: the class limits with the least variance within classes, exact for any number of distinct values.
 
-    Spark reduces the column to at most ``bins`` rows; only that histogram reaches the
-    one task that runs the dynamic program.  Exact when the column has at most ``bins``
-    distinct values, else exact to the bin width.
+    Spark counts the distinct values; one task then adds class by class.  The best cut for
+    the classes so far never moves left as values are added, so each layer is solved by
+    halving ranges, level by level, in O(m log m) for m distinct values.
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("lo")
-        w, s, ss = (np.concatenate([[0.0], np.cumsum(pdf[c].to_numpy(float))]) for c in ("n", "s", "ss"))
-        m = len(pdf)
+        pdf = pdf.sort_values("v")
+        v, w = pdf["v"].to_numpy(float), pdf["n"].to_numpy(float)
+        x = v - np.average(v, weights=w)  # the sums stay small
+        tw, ts, tss = (np.append(0.0, np.cumsum(t)) for t in (w, w * x, w * x * x))
+        m = len(v)
         k = min(n, m)
-        cost = np.full((k + 1, m + 1), np.inf)
-        cut = np.zeros((k + 1, m + 1), dtype=int)
-        cost[0, 0] = 0.0
-        for c in range(1, k + 1):
-            for j in range(c, m + 1):
-                i = np.arange(c - 1, j)
-                dev = (ss[j] - ss[i]) - (s[j] - s[i]) ** 2 / (w[j] - w[i])
-                t = cost[c - 1, i] + dev
-                b = int(np.argmin(t))
-                cost[c, j], cut[c, j] = t[b], i[b]
+
+        def within(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Squared deviations of the values i..j-1."""
+            return (tss[j] - tss[i]) - (ts[j] - ts[i]) ** 2 / (tw[j] - tw[i])
+
+        cost = np.append(0.0, within(np.zeros(m, int), np.arange(1, m + 1)))
+        cuts = []
+        for c in range(2, k + 1):
+            new, cut = np.full(m + 1, np.inf), np.zeros(m + 1, int)
+            todo = [(c, m, c - 1, m - 1)]  # ends lo..hi whose best cut lies in a..b
+            while todo:
+                lo, hi, a, b = (np.array(t) for t in zip(*todo))
+                mid = (lo + hi) // 2
+                size = np.maximum(np.minimum(b, mid - 1) - a + 1, 1)
+                first = np.cumsum(size) - size
+                i = np.repeat(a - first, size) + np.arange(size.sum())
+                total = cost[i] + within(i, np.repeat(mid, size))
+                best = np.minimum.reduceat(total, first)
+                hit = np.flatnonzero(total == np.repeat(best, size))
+                at = i[hit[np.searchsorted(hit, first)]]
+                new[mid], cut[mid] = best, at
+                todo = [(l, d - 1, x0, y) for l, d, x0, y in zip(lo.tolist(), mid.tolist(), a.tolist(), at.tolist()) if l < d] + [
+                    (d + 1, h, y, x1) for h, d, x1, y in zip(hi.tolist(), mid.tolist(), b.tolist(), at.tolist()) if d < h]
+            cost = new
+            cuts.append(cut)
         ends, j = [], m
-        for c in range(k, 0, -1):
-            ends.append(float(pdf["hi"].iloc[j - 1]))
-            j = cut[c, j]
-        return pd.DataFrame({"breaks": [[float(pdf["lo"].iloc[0]), *reversed(ends)]]})
+        for cut in reversed(cuts):
+            ends.append(float(v[j - 1]))
+            j = cut[j]
+        return pd.DataFrame({"breaks": [[float(v[0]), *reversed([*ends, float(v[j - 1])])]]})
 
-    return value_histogram(df, col, bins).withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(solve, "breaks array<double>")
+    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    return counts.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(solve, "breaks array<double>")

@@ -50,11 +50,16 @@ def score_tiles(px: DataFrame, value: str, size: int, fn: Callable[[np.ndarray],
 
 
 def train_forest(df: DataFrame, label: str, features: Sequence[str], trees: int = 150, seed: int = 42):
-    """Random-forest regression; returns the fitted model."""
-    rows = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip").transform(df)
+    """Random-forest regression; returns the fitted model.  Rows with a null feature or label are not fitted."""
+    rows = VectorAssembler(inputCols=list(features), outputCol="_features").transform(df.dropna(subset=[label, *features]))
     return RandomForestRegressor(featuresCol="_features", labelCol=label, predictionCol="prediction", numTrees=trees, seed=seed).fit(rows)
 
 
 def apply_model(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
-    rows = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip").transform(df)
-    return model.transform(rows).drop("_features")
+    """Add ``prediction``; rows with a null feature stay, their prediction is null."""
+    named = {f"_f_{i}": F.coalesce(F.col(f).cast("double"), F.lit(0e0)) for i, f in enumerate(features)}
+    known = F.lit(True)
+    for f in features:
+        known = known & F.col(f).isNotNull()
+    rows = VectorAssembler(inputCols=list(named), outputCol="_features").transform(df.withColumns(named))
+    return model.transform(rows).withColumn("prediction", F.when(known, F.col("prediction"))).drop("_features", *named)

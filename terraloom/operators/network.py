@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from terraloom.scale import global_row_number, materialize, salted_join
+from terraloom.scale import global_row_number, materialize, release, salted_join
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -24,14 +24,18 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
         # hook: the label itself also moves to the smallest label any of its members saw
         roots = step.where("component < _old").groupBy(F.col("_old").alias("node")).agg(F.min("component").alias("_h"))
         hooked = materialize(step.join(roots, "node", "left").select("node", "_old", F.least("component", "_h").alias("component")))
+        first = hooked
         for _ in range(2):
             up = hooked.select(F.col("node").alias("component"), F.col("component").alias("_up")).where("component != _up")
             hooked = salted_join(hooked, up, ["component"], ["node"], "left").select(
                 "node", "_old", F.coalesce("_up", "component").alias("component"))
         done = materialize(hooked)
+        release(labels, first)
         changed = done.where("component != _old").limit(1).count()
         labels = done.select("node", "component")
+        labels._terraloom_path = done._terraloom_path
         if not changed:
+            release(both)
             return labels
     raise RuntimeError("components did not settle; raise max_rounds")
 
@@ -65,7 +69,9 @@ def service_area(edges: DataFrame, sources: DataFrame, cutoff: float, max_rounds
         merged = materialize(best.join(reach, "node", "full").select(
             "node", F.least("dist", "_d").alias("dist"),
             (F.col("_d").isNotNull() & (F.col("dist").isNull() | (F.col("_d") < F.col("dist")))).alias("better")))
+        release(best)
         best = merged.select("node", "dist")
+        best._terraloom_path = merged._terraloom_path
         front = merged.where("better").select("node", "dist")
         if front.isEmpty():
             return best

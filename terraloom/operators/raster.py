@@ -300,11 +300,8 @@ def permeability(
     return zones.select(*zone).distinct().join(m, list(zone), "left").fillna({"permeability": 50.0})
 
 
-def global_band_stats(px: DataFrame, bands: Sequence[str], max_scenes: int | None = None, scene: str = "scene") -> DataFrame:
-    """Mean and population deviation of positive values per band, from sums; optionally of the first scenes."""
-    if max_scenes:
-        first = px.select(scene).distinct().orderBy(scene).limit(max_scenes)
-        px = px.join(first, scene, "left_semi")
+def global_band_stats(px: DataFrame, bands: Sequence[str]) -> DataFrame:
+    """Mean and population deviation of the positive values of all scenes per band, in one pass of sums."""
     aggs = []
     for b in bands:
         v = F.when(F.col(b) > 0, F.col(b))

@@ -282,10 +282,10 @@ def _(spark, sf):
     return rs.permeability(view(spark, sf, "dem").where("z > 15e1"), zones(spark, sf), ["zid"])
 
 
-@query("global_band_stats", with_views("img") + ", f as (select * from img where scene in (select distinct scene from img order by 1 limit 20)) " + " union all ".join(
-    f"select '{b}' band, count(*) n, round(avg({b}),6) mean, round(sqrt(greatest(avg({b}*{b})-avg({b})*avg({b}),0)),6) std from f where {b}>0" for b in BANDS))
+@query("global_band_stats", with_views("img") + " " + " union all ".join(
+    f"select '{b}' band, count(*) n, round(avg({b}),6) mean, round(sqrt(greatest(avg({b}*{b})-avg({b})*avg({b}),0)),6) std from img where {b}>0" for b in BANDS))
 def _(spark, sf):
-    return rd(rs.global_band_stats(view(spark, sf, "img"), BANDS, 20), ["mean", "std"])
+    return rd(rs.global_band_stats(view(spark, sf, "img"), BANDS), ["mean", "std"])
 
 
 @query("range_limits", with_views("dem") + """ select 'cumulative' mode, round(quantile_cont(z,2e-2),6) lo, round(quantile_cont(z,98e-2),6) hi from dem

@@ -184,7 +184,7 @@ def patch_preparation(
     normalized per scene and band before validity is tested, unless ``how`` is None.
     """
     for name, px in (("lr", lr), ("hr", hr)):
-        write_stats_json(rs.global_band_stats(px, bands, 20), f"{path}/stats_{name}")
+        write_stats_json(rs.global_band_stats(px, bands), f"{path}/stats_{name}")
     if hr_factor > 1:
         grown = None
         for b in bands:

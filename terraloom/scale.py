@@ -8,7 +8,6 @@ group may hold any share of the rows.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -16,32 +15,46 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import Window as W
 
 
-_local_dirs: dict[str, str] = {}
+def work_dir(spark: SparkSession) -> str:
+    """Folder of this application for tables that cut lineage, reachable by every executor.
+
+    Lies under ``spark.checkpoint.dir``, or under the session's warehouse where that is unset.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/terraloom-{spark.sparkContext.applicationId}"
 
 
-def work_dir(spark: SparkSession) -> str:
-    """Shared folder for tables that cut lineage (``spark.checkpoint.dir``)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="terraloom-")
-    return _local_dirs[app]
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts lineage for loops, freezes partition ids and gives the next stage exact sizes,
-    column pruning and statistics.  The table outlives any executor.
+    column pruning and statistics.  The table outlives any executor; ``release`` deletes
+    it, ``clean_up`` all that are left.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._terraloom_path = path
+    return made
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` made; nothing derived from them may be read later."""
+    for df in tables:
+        path = getattr(df, "_terraloom_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all tables of this application; call it when its results have been consumed."""
+    _delete(spark, work_dir(spark))
 
 
 def _width(spark: SparkSession) -> int:
