@@ -138,11 +138,15 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, ro
 
 def parse_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record of a file."""
-    at = 0
+    view, at = memoryview(content), 0
     while at < len(content):
-        stream = zlib.decompressobj(31)
-        text = stream.decompress(content[at:])
-        at = len(content) - len(stream.unused_data)
+        stream, parts = zlib.decompressobj(31), []
+        while not stream.eof:  # in small steps: what follows the record is not copied
+            if at >= len(content):
+                raise ValueError("the last record is cut short")
+            parts.append(stream.decompress(view[at : at + 16384]))
+            at += len(view[at : at + 16384])
+        text, at = b"".join(parts), at - len(stream.unused_data)
         head, _, rest = text.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         headers = dict(x.split(": ", 1) for x in lines[1:])
