@@ -60,7 +60,7 @@ def weekly_resample(si: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def _spread(std: Column, mean: Column) -> Column:
-    v = F.coalesce(1 - F.try_divide(std, mean), F.lit(1e0))
+    v = F.when((mean == 0) & (std != 0), 0e0).otherwise(F.coalesce(1 - F.try_divide(std, mean), F.lit(1e0)))
     return F.least(F.greatest(v, F.lit(0e0)), F.lit(1e0))
 
 

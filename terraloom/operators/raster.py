@@ -443,23 +443,35 @@ def seeded(seed: int, *key: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
 
 
+def valid_share(px: DataFrame, bands: Sequence[str], size: int, nodata: float = 0.0) -> DataFrame:
+    """(scene, h, w, y0, x0, valid): share of valid values in each window that fits, from running sums along rows, then columns."""
+    dims = px.groupBy("scene").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w")).where((F.col("h") > size) & (F.col("w") > size))
+    rows = dims.select("scene", "h", "w", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("h").cast("bigint") - 1)).alias("r"))
+    grid = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("w").cast("bigint") - 1)).alias("c"))
+    ok = sum((F.coalesce((F.col(b) != nodata).cast("int"), F.lit(0)) for b in bands), F.lit(0))
+    marked = grid.join(px.select("scene", F.col("r").cast("bigint").alias("r"), F.col("c").cast("bigint").alias("c"), ok.alias("_ok")), ["scene", "r", "c"], "left")
+    along = marked.withColumn("_row", F.sum(F.coalesce("_ok", F.lit(0))).over(W.partitionBy("scene", "r").orderBy("c").rowsBetween(0, size - 1)))
+    down = along.withColumn("_all", F.sum("_row").over(W.partitionBy("scene", "c").orderBy("r").rowsBetween(0, size - 1)))
+    return down.where((F.col("r") <= F.col("h") - size) & (F.col("c") <= F.col("w") - size)).select(
+        "scene", "h", "w", F.col("r").alias("y0"), F.col("c").alias("x0"), (F.col("_all") / float(size * size * len(bands))).alias("valid"))
+
+
 def random_patches(
-    px: DataFrame, bands: Sequence[str], size: int, n: int, seed: int, tries: int = 50, min_valid: float = 0.9, nodata: float = 0.0
+    px: DataFrame, bands: Sequence[str], size: int, n: int, seed: int, min_valid: float = 0.9, nodata: float = 0.0
 ) -> DataFrame:
-    """``n`` patches per scene: the first valid of ``tries`` seeded origins, else the centre."""
-    dims = px.groupBy("scene").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w")).where((F.col("h") > size) & (F.col("w") > size))
-    cand = dims.withColumn("patch", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(tries))))
-    pick = lambda tag, c: F.floor(seeded(seed, F.lit(tag), F.col("scene"), F.col("patch"), F.col("try")) * (F.col(c) - size + 1))
-    cand = cand.withColumns({"y0": pick("y", "h"), "x0": pick("x", "w")})
-    ok = sum(((F.col(b) != nodata).cast("int") for b in bands), F.lit(0))
-    windows = cand.select("scene", "y0", "x0").distinct()
-    share = patch_pixels(px, windows, size).groupBy("scene", "y0", "x0").agg((F.sum(ok) / float(size * size * len(bands))).alias("valid"))
-    good = cand.join(share.where(F.col("valid") >= min_valid), ["scene", "y0", "x0"]).groupBy("scene", "patch").agg(
-        F.min_by(F.struct("y0", "x0"), "try").alias("o"))
-    centre = lambda c: F.floor(F.col(c) / 2) - size // 2
-    every = dims.withColumn("patch", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    return every.join(good, ["scene", "patch"], "left").select(
-        "scene", "patch", F.coalesce("o.y0", centre("h")).alias("y0"), F.coalesce("o.x0", centre("w")).alias("x0"))
+    """The ``n`` valid origins of each scene with the smallest seeded number, all if there are fewer.
+
+    A scene without any gets its centre, with ``valid`` false.
+    """
+    share = valid_share(px, bands, size, nodata).withColumn("_u", F.when(
+        F.col("valid") >= min_valid, seeded(seed, F.lit("o"), F.col("scene"), F.col("y0"), F.col("x0"))))
+    good = share.where(F.col("_u").isNotNull()).withColumn("_part", F.pmod(F.col("y0"), F.lit(64)))
+    few = good.withColumn("patch", F.row_number().over(W.partitionBy("scene", "_part").orderBy("_u", "y0", "x0"))).where(F.col("patch") <= n)
+    best = few.withColumn("patch", F.row_number().over(W.partitionBy("scene").orderBy("_u", "y0", "x0"))).where(F.col("patch") <= n)
+    centre = lambda c: (F.floor(F.col(c) / 2) - size // 2).cast("bigint")
+    none = share.groupBy("scene", "h", "w").agg(F.count("_u").alias("_n")).where("_n = 0")
+    return best.select("scene", "patch", "y0", "x0", F.lit(True).alias("valid")).unionByName(
+        none.select("scene", F.lit(1).alias("patch"), centre("h").alias("y0"), centre("w").alias("x0"), F.lit(False).alias("valid")))
 
 
 def augment(patches: DataFrame, size: int, seed: int, key: Sequence[str] = ("scene", "y0", "x0")) -> DataFrame:
@@ -493,12 +505,12 @@ def cutout(patches: DataFrame, bands: Sequence[str], size: int, hole: int, seed:
 
 
 def tile_origins(dims: DataFrame, size: int, overlap: int) -> DataFrame:
-    """Overlapping tile origins, the last ones clamped to the edge; dims = (scene, h, w)."""
+    """Overlapping tile origins, the last ones clamped to the edge, 0 for scenes smaller than a tile; dims = (scene, h, w)."""
     stride = size - overlap
 
     def starts(c: str) -> Column:
         n = F.greatest(F.lit(1), F.ceil((F.col(c) - overlap) / stride))
-        return F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1), lambda i: F.least(i * stride, F.col(c) - size)))
+        return F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1), lambda i: F.greatest(F.least(i * stride, F.col(c) - size), F.lit(0))))
 
     return dims.withColumn("y0", starts("h")).withColumn("x0", starts("w"))
 

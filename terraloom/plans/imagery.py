@@ -276,10 +276,10 @@ def _(spark, sf):
 _COST = "case cls " + " ".join(f"when {k} then {v}" for k, v in RESISTANCE.items()) + " else 50 end"
 
 
-@query("permeability", with_views("dem") + _Z + f""", p as (select zid, round(100-sum({_COST})/cast(count(*) as double),2) permeability from dem join zn using(r,c) where cls between 1 and 10 and z>15e1 group by 1)
+@query("permeability", with_views("dem") + _Z + f""", p as (select zid, round(100-sum({_COST})/cast(count(*) as double),2) permeability from dem join zn using(r,c) where cls between 1 and 10 group by 1)
     select zid, coalesce(permeability,50e0) permeability from (select distinct zid from zn) left join p using(zid)""")
 def _(spark, sf):
-    return rs.permeability(view(spark, sf, "dem").where("z > 15e1"), zones(spark, sf), ["zid"])
+    return rs.permeability(view(spark, sf, "dem"), zones(spark, sf), ["zid"])
 
 
 @query("global_band_stats", with_views("img") + " " + " union all ".join(
@@ -380,15 +380,16 @@ def _(spark, sf):
     return rs.cutout(patch_table(spark, sf).drop("b2"), ["b1"], 10, 3, 5)
 
 
-_TRY = ("cast(scene as varchar)", "cast(p.range as varchar)", "cast(t.range as varchar)")
 
 
 @query("random_patches", with_views("img") + f""", dm as (select scene, max(r)+1 h, max(c)+1 w from img group by 1 having max(r)+1>16 and max(c)+1>16),
-    cd as (select scene, cast(p.range as int) patch, t.range i, cast(floor({_u(42, "'y'", *_TRY)}*(h-15)) as bigint) y0, cast(floor({_u(42, "'x'", *_TRY)}*(w-15)) as bigint) x0
-        from dm cross join range(1,6) p cross join range(1,51) t),
-    sh as (select scene, patch, i, y0, x0, sum(cast(b1<>0 as int)+cast(b2<>0 as int))/512e0 v from cd join img using(scene) where r>=y0 and r<y0+16 and c>=x0 and c<x0+16 group by all),
-    ok as (select scene, patch, arg_min(row(y0,x0),i) o from sh where v>={d(0.9)} group by 1,2)
-    select scene, cast(p.range as int) patch, coalesce(o[1],h//2-8) y0, coalesce(o[2],w//2-8) x0 from dm cross join range(1,6) p left join ok using(scene) where ok.patch is null or ok.patch=p.range""".replace("left join ok using(scene) where ok.patch is null or ok.patch=p.range", "left join ok on ok.scene=dm.scene and ok.patch=p.range").replace("select scene, cast(p.range as int) patch, coalesce", "select dm.scene, cast(p.range as int) patch, coalesce"))
+    og as (select scene, h, w, cast(y.range as bigint) y0, cast(x.range as bigint) x0 from dm cross join range(1000) y cross join range(1000) x where y.range<=h-16 and x.range<=w-16),
+    rw as (select scene, r, c, sum(cast(b1<>0 as int)+cast(b2<>0 as int)) over(partition by scene, r order by c range between current row and 15 following) k from img),
+    cl as (select scene, r, c, sum(k) over(partition by scene, c order by r range between current row and 15 following) k from rw),
+    sh as (select scene, h, w, y0, x0, {_u(42, "'o'", *_KEY)} u from og join cl using(scene) where r=y0 and c=x0 and k/512e0>={d(0.9)}),
+    rk as (select scene, cast(row_number() over(partition by scene order by u, y0, x0) as int) patch, y0, x0 from sh)
+    select scene, patch, y0, x0, true "valid" from rk where patch<=5
+    union all select scene, 1, cast(h//2-8 as bigint), cast(w//2-8 as bigint), false from dm where scene not in (select scene from sh)""")
 def _(spark, sf):
     return rs.random_patches(view(spark, sf, "img").select("scene", "r", "c", "b1", "b2"), ["b1", "b2"], size=16, n=5, seed=42)
 

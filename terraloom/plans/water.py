@@ -88,7 +88,7 @@ GROW = with_views("block_daily", "block_dates") + f""", st as (select b.norec, b
 WEEK = GROW + ", wk as (select norec, strftime(dt,'%Y-W%U') year_week, avg(si) si, min(dt) dt from sat group by 1,2)"
 _ST = "round(avg(si),4) mean_si, round(stddev_samp(si),4) std_si"
 _MM = "round(min(si),4) min_si, round(max(si),4) max_si"
-_CLIP = "least(greatest(coalesce(1-std_si/nullif(mean_si,0),1e0),0e0),1e0)"
+_CLIP = "case when mean_si=0 and std_si<>0 then 0e0 else least(greatest(coalesce(1-std_si/nullif(mean_si,0),1e0),0e0),1e0) end"
 
 
 def sat(spark, sf):
@@ -132,14 +132,15 @@ def _(spark, sf):
     return weekly(spark, sf).select("norec", "year_week", r("si"), "dt")
 
 
-@query("weekly_resample", GROW + """, w as (select norec, nama, cast(dt+cast((7-isodow(dt)) as int) as date) week_end, avg(si) si, avg(et0) et0 from sat where d not between 40 and 60 group by 1,2,3),
+@query("weekly_resample", GROW + """, w as (select norec, nama, cast(dt+cast((7-isodow(dt)) as int) as date) week_end, avg(case when d not between 40 and 60 then si end) si, avg(case when d not between 40 and 60 then et0 end) et0 from sat group by 1,2,3),
     sp as (select norec, min(nama) nama, min(week_end) a, max(week_end) b from w group by 1),
     al as (select norec, nama, cast(unnest(generate_series(a,b,interval 7 day)) as date) week_end from sp)
     select norec, al.nama, week_end, cast(year(week_end) as int) "year", cast(month(week_end) as int) "month", cast(day(week_end) as int) "day", cast(weekofyear(week_end) as int) week_of_year,
         strftime(week_end,'%Y')||'_W'||strftime(week_end,'%V') year_week, strftime(week_end,'%m/%d/%Y') date_new, round(si,4) si, round(et0,4) et0
     from al left join (select * exclude(nama) from w) w using(norec, week_end)""")
 def _(spark, sf):
-    return ir.weekly_resample(sat(spark, sf).where("d not between 40 and 60"), ["si", "et0"])
+    gap = F.col("d").between(40, 60)  # weeks without values
+    return ir.weekly_resample(sat(spark, sf).withColumns({c: F.when(~gap, F.col(c)) for c in ("si", "et0")}), ["si", "et0"])
 
 
 @query("weekly_uniformity", WEEK + f""", u as (select year_week, {_ST}, count(si) block_count from wk group by 1)

@@ -145,17 +145,14 @@ def exact_percentiles(
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], salt_by: Sequence[str], how: str = "inner", salts: int | None = None
+    left: DataFrame, right: DataFrame, on: Sequence[str], salt_by: Sequence[str], how: str = "inner", salts: int = 1
 ) -> DataFrame:
-    """Equi-join whose ``left`` keys may be arbitrarily hot.
+    """Equi-join whose ``left`` keys may be hot.
 
-    Left rows of one key are dealt to ``salts`` tasks by a hash of ``salt_by`` and of
-    their partition (both stable when a task is run again); the (small per key) right
-    side is repeated once per salt.  The number of salts follows the cluster: one per 64
-    shuffle partitions, at most 16; adaptive skew splitting works on top of it.
+    Adaptive skew handling splits the partitions it measures as large and repeats only what
+    meets them.  ``salts`` above 1 deals every left key to that many tasks by a hash of
+    ``salt_by`` and of the partition, at the price of as many copies of the right side.
     """
-    if salts is None:
-        salts = max(1, min(16, _width(left.sparkSession) // 64))
     if salts == 1:
         return left.join(right, list(on), how)
     spread = left.withColumn("_salt", F.pmod(F.xxhash64(*salt_by, F.spark_partition_id()), F.lit(salts)).cast("int"))

@@ -153,19 +153,19 @@ def flatten_collections(df: DataFrame, array_col: str) -> DataFrame:
 _PATCH = "stem string, shape array<int>, data array<float>"
 
 
-def encode_patch(data: Column, height: int, width: int) -> Column:
+def encode_patch(data: Column, height: Column, width: Column) -> Column:
     """Flat values to the bytes of a float32 .npy file."""
 
     @pandas_udf(BinaryType())
-    def encode(values: pd.Series) -> pd.Series:
+    def encode(values: pd.Series, heights: pd.Series, widths: pd.Series) -> pd.Series:
         out = []
-        for v in values:
+        for v, h, w in zip(values, heights, widths):
             buf = io.BytesIO()
-            np.save(buf, np.asarray(v, dtype=np.float32).reshape(-1, height, width))
+            np.save(buf, np.asarray(v, dtype=np.float32).reshape(-1, h, w))
             out.append(buf.getvalue())
         return pd.Series(out)
 
-    return encode(data)
+    return encode(data, height, width)
 
 
 def decode_patches(files: DataFrame) -> DataFrame:
