@@ -16,7 +16,8 @@ HEADLINE = [
     "diversity_by_cell", "cell_summary", "chao1_by_cell", "temporal_turnover", "spearman_trend", "priority_index", "connectivity",
     "survey_gaps", "weekly_si", "block_uniformity", "reference_et0", "interpolate_linear", "zonal_mean", "slope", "focal_circle",
     "normalize_percentile", "extract_patches", "evaluate", "points_in_polygons", "count_within", "nearest_point", "heatmap",
-    "lines_cross", "nearest_scene", "service_area", "class_breaks_quantile", "quantity_per_flavour",
+    "lines_cross", "nearest_scene", "service_area", "class_breaks_quantile", "quantity_per_flavour", "master_layers", "grid_analyses",
+    "validation_tables",
 ]
 
 
