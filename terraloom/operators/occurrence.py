@@ -101,16 +101,24 @@ def linear_trend(occ: DataFrame, by: Sequence[str] = CELL, default: str = "No Da
     )
 
 
-def _per_year(col: str, years: Sequence[int], name: str) -> list[Column]:
-    return [
-        F.sum(F.when(F.col("yr_first") & (F.col("yr") == y), F.col(col)).otherwise(0)).alias(f"{name}_{y}") for y in years]
+def _year_tests(years: Sequence[int], given: bool) -> dict[str, Column]:
+    """A test per column suffix; years that the caller did not list are counted together as ``other``."""
+    tests = {str(y): F.col("yr") == y for y in years}
+    return {**tests, "other": F.col("yr").isNotNull() & ~F.col("yr").isin(list(years))} if given else tests
+
+
+def _per_year(col: str, tests: Mapping[str, Column], name: str) -> list[Column]:
+    return [F.sum(F.when(F.col("yr_first") & test, F.col(col)).otherwise(0)).alias(f"{name}_{y}") for y, test in tests.items()]
 
 
 def cell_summary(
     occ: DataFrame, grid: DataFrame, by: Sequence[str] = CELL, years: Sequence[int] | None = None
 ) -> DataFrame:
-    """Per grid cell: records, richness, species, years, yearly records and trend; empty cells kept."""
-    years = survey_years(occ) if years is None else years
+    """Per grid cell: records, richness, species, years, yearly records and trend; empty cells kept.
+
+    Given ``years`` get a column each, all others one together.
+    """
+    tests = _year_tests(survey_years(occ) if years is None else years, years is not None)
     stats = profile(occ, by).groupBy(*by).agg(
         F.sum("rec").alias("total_records"),
         F.count_if("sp_first").alias("species_richness"),
@@ -118,9 +126,9 @@ def cell_summary(
         *_yearly(),
         F.min("yr").alias("first_year"),
         F.max("yr").alias("last_year"),
-        *_per_year("yr_rec", years, "records"),
+        *_per_year("yr_rec", tests, "records"),
     )
-    zero = {c: 0 for c in ["total_records", "species_richness", "n_years", *[f"records_{y}" for y in years]]}
+    zero = {c: 0 for c in ["total_records", "species_richness", "n_years", *[f"records_{y}" for y in tests]]}
     out = grid.join(stats, list(by), "left").fillna({**zero, "species_list": "", "_s": 0.0})
     return out.withColumns({
         "trend_slope": F.round("_s", 4), "trend": trend_class(F.col("_s"), F.col("n_years"), "No Data"),
@@ -233,9 +241,9 @@ def temporal_matrix(
     occ: DataFrame, grid: DataFrame, by: Sequence[str] = CELL, years: Sequence[int] | None = None
 ) -> DataFrame:
     """Records and species per cell and year, side by side."""
-    years = survey_years(occ) if years is None else years
+    tests = _year_tests(survey_years(occ) if years is None else years, years is not None)
     wide = profile(occ, by).where("yr_first").groupBy(*by).agg(
-        *_per_year("yr_rec", years, "records"), *_per_year("yr_sp", years, "species"),
+        *_per_year("yr_rec", tests, "records"), *_per_year("yr_sp", tests, "species"),
         F.sum("yr_rec").alias("total_records"), F.count("*").alias("years_with_data"),
     )
     out = grid.join(wide, list(by), "left")
@@ -348,7 +356,7 @@ def temporal_turnover(
     years: Sequence[int] | None = None,
 ) -> DataFrame:
     """Species gained and lost between successive surveyed years of a cell."""
-    years = survey_years(occ) if years is None else years
+    tests = _year_tests(survey_years(occ) if years is None else years, years is not None)
     by = list(by)
     sy = species_years(occ, by).where("yr is not null and species is not null")
     sets = sy.groupBy(*by, "yr").agg(F.collect_set("species").alias("sp"))
@@ -369,10 +377,10 @@ def temporal_turnover(
         F.sum(F.when(F.col("has_prev"), F.col("lost")).otherwise(0)).alias("extinctions"),
         F.round(F.avg(gone / F.col("both")), 4).alias("mean_beta"),
         F.size(F.array_distinct(F.flatten(F.collect_list("sets")))).cast("bigint").alias("species_ever"),
-        *[F.sum(F.when(F.col("yr") == y, F.size("sets")).otherwise(0)).alias(f"rich_{y}") for y in years],
+        *[F.sum(F.when(test, F.size("sets")).otherwise(0)).alias(f"rich_{y}") for y, test in tests.items()],
     )
     out = grid.join(time, by, "left")
-    zero = ["years_detected", "colonisations", "extinctions", "mean_beta", "species_ever", *[f"rich_{y}" for y in years]]
+    zero = ["years_detected", "colonisations", "extinctions", "mean_beta", "species_ever", *[f"rich_{y}" for y in tests]]
     out = out.fillna(0, zero)
     n = F.col("years_detected")
     return out.withColumns({

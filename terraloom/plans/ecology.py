@@ -8,7 +8,7 @@ from terraloom.functions.hexgrid import assign_cell, cell_boundary, cell_center,
 from terraloom.operators import hexgraph as hg, occurrence as oc
 from terraloom.plans.registry import query
 from terraloom.scale import materialize
-from terraloom.plans.sqltext import SIZE, SLOPE, YEARS, d, disk, grid, hexed, occ_cells, trend
+from terraloom.plans.sqltext import SIZE, SLOPE, YEAR_TESTS, YEARS, d, disk, grid, hexed, occ_cells, trend
 from terraloom.sources.fixtures import view, with_views
 
 COMMON = {"Brand#11": "First brand", "Brand#12": "Second brand", "Brand#2": "Third brand"}
@@ -37,10 +37,10 @@ _SUMMARY = f""", sy as (select q, r, yr, count(*) rec, count(distinct species) s
     a as (select q, r, count(*) total_records, count(distinct species) species_richness,
         string_agg(distinct species, ', ' order by species) species_list from occ_c group by 1,2),
     b as (select q, r, {SLOPE} s, min(yr) first_year, max(yr) last_year, count(*) n_years,
-        {', '.join(f'sum(case when yr={y} then rec else 0 end) records_{y}' for y in YEARS)} from sy where yr is not null group by 1,2)
+        {', '.join(f'sum(case when {t} then rec else 0 end) records_{y}' for y, t in YEAR_TESTS.items())} from sy where yr is not null group by 1,2)
     select q, r, cast(coalesce(total_records,0) as bigint) total_records, cast(coalesce(species_richness,0) as bigint) species_richness,
         coalesce(species_list,'') species_list, first_year, last_year, cast(coalesce(n_years,0) as bigint) n_years,
-        {', '.join(f'cast(coalesce(records_{y},0) as bigint) records_{y}' for y in YEARS)},
+        {', '.join(f'cast(coalesce(records_{y},0) as bigint) records_{y}' for y in YEAR_TESTS)},
         round(coalesce(s,0),4) trend_slope, {trend('coalesce(s,0)', 'coalesce(n_years,0)', 'No Data')} trend
     from grid left join a using(q,r) left join b using(q,r)"""
 
@@ -123,9 +123,9 @@ def _(spark, sf):
 
 
 @query("temporal_matrix", GRID + f""", sy as (select q, r, yr, count(*) rec, count(distinct species) sp from occ_c where yr is not null group by 1,2,3),
-    w as (select q, r, {', '.join(f'sum(case when yr={y} then rec else 0 end) records_{y}, sum(case when yr={y} then sp else 0 end) species_{y}' for y in YEARS)},
+    w as (select q, r, {', '.join(f'sum(case when {t} then rec else 0 end) records_{y}, sum(case when {t} then sp else 0 end) species_{y}' for y, t in YEAR_TESTS.items())},
         sum(rec) total_records, count(*) years_with_data from sy group by 1,2)
-    select q, r, {', '.join(f'cast(coalesce(records_{y},0) as bigint) records_{y}, cast(coalesce(species_{y},0) as bigint) species_{y}' for y in YEARS)},
+    select q, r, {', '.join(f'cast(coalesce(records_{y},0) as bigint) records_{y}, cast(coalesce(species_{y},0) as bigint) species_{y}' for y in YEAR_TESTS)},
         cast(coalesce(total_records,0) as bigint) total_records, cast(coalesce(years_with_data,0) as bigint) years_with_data,
         case when coalesce(total_records,0)>0 then 'Occupied' else 'Empty' end status from grid left join w using(q,r)""")
 def _(spark, sf):
@@ -213,11 +213,11 @@ TURN = f""", st as (select q, r, yr, list(distinct species) sp from occ_c where
     tt as (select q, r, {SLOPE} s, min(yr) first_detected, max(yr) last_detected, count(*) years_detected,
         sum(case when hp then gained else 0 end) colonisations, sum(case when hp then lost else 0 end) extinctions,
         round(avg(case when hp then (gained+lost)/cast(u as double) end),4) mean_beta,
-        {', '.join(f'sum(case when yr={y} then sp else 0 end) rich_{y}' for y in YEARS)} from sg group by 1,2),
+        {', '.join(f'sum(case when {t} then sp else 0 end) rich_{y}' for y, t in YEAR_TESTS.items())} from sg group by 1,2),
     turn as (select q, r, first_detected, last_detected, cast(coalesce(years_detected,0) as bigint) years_detected,
         cast(coalesce(colonisations,0) as bigint) colonisations, cast(coalesce(extinctions,0) as bigint) extinctions,
         coalesce(mean_beta,0e0) mean_beta, cast(coalesce(richness,0) as bigint) species_ever,
-        {', '.join(f'cast(coalesce(rich_{y},0) as bigint) rich_{y}' for y in YEARS)},
+        {', '.join(f'cast(coalesce(rich_{y},0) as bigint) rich_{y}' for y in YEAR_TESTS)},
         case when years_detected is null then 'Never Detected' when years_detected>=3 then 'Persistent' when last_detected>=2000 then 'Recent' else 'Historical' end status,
         case when years_detected is null then 'No Data' else {trend('s', 'years_detected', 'Stable')} end richness_trend
     from grid left join tt using(q,r) left join oc using(q,r))"""

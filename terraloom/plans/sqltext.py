@@ -7,6 +7,7 @@ from terraloom.sources.fixtures import with_views
 
 SIZE = 0.2
 YEARS = list(range(1995, 2003))
+YEAR_TESTS = {**{str(y): f"yr={y}" for y in YEARS}, "other": f"yr not in ({','.join(map(str, YEARS))})"}
 
 
 def d(v: float) -> str:

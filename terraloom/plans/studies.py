@@ -13,7 +13,7 @@ from terraloom.plans import jobs
 from terraloom.plans.ecology import COMMON, THREATENED, WEIGHTS, _SUMMARY, compact, parts
 from terraloom.plans.imagery import _INT, rd
 from terraloom.plans.registry import query
-from terraloom.plans.sqltext import disk, grid, hexed
+from terraloom.plans.sqltext import YEARS, disk, grid, hexed
 from terraloom.plans.vector import HEX, sat, zone
 from terraloom.plans.water import CLIMATE, _ET0, _BLOCK, _REL, WEEK
 from terraloom.scale import work_dir
@@ -38,9 +38,12 @@ def _(spark, sf):
     s = store(spark)
     jobs.master_layers(view(spark, sf, "occ"), aoi(spark, sf), 0.5, s)
     out = s.read_layer("cells")
-    missing = [y for y in range(1995, 2003) if f"records_{y}" not in out.columns]
-    return out.withColumns({f"records_{y}": F.lit(0).cast("bigint") for y in missing}).drop(
-        *[c for c in out.columns if c.startswith("records_") and not 1995 <= int(c[8:]) <= 2002])
+    # the job makes a column per year in the data; the SQL lists some years and adds up the others
+    named = [f"records_{y}" for y in YEARS]
+    missing = {c: F.lit(0).cast("bigint") for c in named if c not in out.columns}
+    other = [c for c in out.columns if c.startswith("records_") and c not in named]
+    total = sum((F.col(c) for c in other), F.lit(0).cast("bigint"))
+    return out.withColumns({**missing, "records_other": total}).drop(*other)
 
 
 _SIZE = 1.5

@@ -416,3 +416,17 @@ def _(spark, sf):
         F.month("o_orderdate").cast("double").alias("f2"), F.dayofyear("o_orderdate").cast("double").alias("f3"))
     model = md.train_forest(tb.sample(df, ["o_orderkey"], 0.2, 42), "label", ["f1", "f2", "f3"], trees=20)
     return md.apply_model(model, df, ["f1", "f2", "f3"]).select("o_orderkey", "prediction")
+
+
+@query("train_forest_quality", """select count(*) n, count(*) filter (o_custkey%7=0) n_unknown, true "in_range", true close from orders""")
+def _(spark, sf):
+    """Every row gets a prediction but those with a null feature; a label that follows from the features is learnt."""
+    df = table(spark, sf, "orders").select(
+        "o_orderkey", ((F.col("o_custkey") % 100) + 10 * F.month("o_orderdate")).cast("double").alias("label"),
+        F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey") % 100).cast("double").alias("f1"), F.month("o_orderdate").cast("double").alias("f2"))
+    out = md.apply_model(md.train_forest(tb.sample(df, ["o_orderkey"], 0.2, 42), "label", ["f1", "f2"], trees=20), df, ["f1", "f2"])
+    error = F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("label"), 2)))
+    return out.agg(
+        F.count("*").alias("n"), F.count_if(F.col("prediction").isNull()).alias("n_unknown"),
+        ((F.min("prediction") >= F.min("label")) & (F.max("prediction") <= F.max("label"))).alias("in_range"),
+        (error < 0.5 * F.stddev_pop("label")).alias("close"))
