@@ -218,7 +218,7 @@ def _joined(g: _Group, keep: np.ndarray) -> pa.Array:
 
 
 def remove_repeats(
-    lessons: DataFrame, window: int = 13, group_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20, keep: Sequence[str] = ()
+    lessons: DataFrame, window: int = 13, group_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20, keep: Sequence[str] = ()
 ) -> DataFrame:
     """Cut from each lesson the passages that a lesson with a smaller ``lesson_id`` has too.
 
