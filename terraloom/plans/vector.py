@@ -12,7 +12,7 @@ from terraloom.functions.scalars import project_utm
 from terraloom.operators import classify as cl, hexgraph as hg, models as md, network as nw, spatial as sp, tables as tb
 from terraloom.plans.imagery import rd
 from terraloom.plans.registry import query
-from terraloom.plans.sqltext import d, disk, grid, hexed, occ_cells
+from terraloom.plans.sqltext import d, disk, grid, occ_cells
 from terraloom.sources.fixtures import table, view, with_views
 
 
