@@ -14,6 +14,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraloom.llm import bpe, exact, extract, fingerprint, language, near, packing, substring, toxicity, warc
+from terraloom.scale import work_dir
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -37,10 +40,6 @@ def sha256(text: str):
     return F.sha2(F.encode(text, "utf-8"), 256)
 
 
-from terraloom.llm import bpe, exact, extract, fingerprint, language, near, packing, substring, toxicity, warc  # noqa: E402
-from terraloom.scale import work_dir  # noqa: E402
-
-
 @query("op1_substring_dedup", r"""
 with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []::varchar[]) w from documents),
 win as (select doc_id, s, array_to_string(w[s:s + 12], ' ') k
@@ -115,7 +114,7 @@ select page_id, payload_bytes,
 from r""")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{work_dir(spark)}/warc-{uuid.uuid4().hex}"
-    warc.write_archives(pages(spark, sf_dir), folder if ":" in folder else f"file://{folder}", min_revisit_bytes=0)
+    warc.write_archives(pages(spark, sf_dir), folder, min_revisit_bytes=0)
     return warc.read_archives(spark, folder).drop("url", "html")
 
 

@@ -70,6 +70,8 @@ def _stored(folder: str, name: str, content: bytes) -> None:
     """Write under a temporary name, then rename; a later attempt replaces the same bytes."""
     from pyarrow import fs
 
+    if folder.startswith(("/", "file:/")):
+        folder = "file:///" + folder.removeprefix("file:").lstrip("/")
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(f"{path}/_temporary", recursive=True)
     store.create_dir(f"{path}/data", recursive=True)

@@ -1,7 +1,6 @@
 import hashlib
 
 import pytest
-from pyspark.sql import functions as F
 
 from terraloom.llm.fingerprint import combined, compare_edits, fingerprints, likeness
 
