@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terraloom.llm import bpe
+
 MOST = 0.75  # share of the running text that a page's container must hold
 LEAST = 0.25  # share below which the host's container is not used
 
@@ -202,8 +204,10 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({
-                "host": batch.column(0), "path": pa.array([vote(parse(t)) if t else None for t in batch.column(1).to_pylist()], pa.string())})
+            for a, b in bpe.slices(batch.column(1)):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_pydict({
+                    "host": part.column(0), "path": pa.array([vote(parse(t)) if t else None for t in part.column(1).to_pylist()], pa.string())})
 
     cast = pages.select(host_of("url").alias("host"), "html").mapInArrow(votes, "host string, path string").where("path is not null")
     counts = cast.groupBy("host", "path").agg(F.count("*").alias("votes"))
@@ -224,10 +228,12 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [main_text(t, p) if t else ("", None) for t, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_pydict({
-                "page_id": batch.column(0), "url": batch.column(1), "text": pa.array([t for t, _ in found], pa.string()),
-                "n_chars": pa.array([len(t) for t, _ in found], pa.int64()), "path": pa.array([p for _, p in found], pa.string())})
+            for a, b in bpe.slices(batch.column(2)):
+                part = batch.slice(a, b - a)
+                found = [main_text(t, p) if t else ("", None) for t, p in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                yield pa.RecordBatch.from_pydict({
+                    "page_id": part.column(0), "url": part.column(1), "text": pa.array([t for t, _ in found], pa.string()),
+                    "n_chars": pa.array([len(t) for t, _ in found], pa.int64()), "path": pa.array([p for _, p in found], pa.string())})
 
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", host_of("url").alias("host"))
     return rows.join(host_paths(pages), "host", "left").select("page_id", "url", "html", "path").mapInArrow(
