@@ -235,6 +235,8 @@ def remove_repeats(
     empty result.  Bodies of any length are read whole.
 
     ``group_bytes`` and ``bucket_bytes`` bound the text and the hashes that one task holds.
+    Lessons are placed by id and body, so one id may hold any share of the rows; rows equal
+    in both stay together.
     Runs are compared by 63-bit hashes of whole windows.
     """
     if window < 2:
@@ -243,7 +245,7 @@ def remove_repeats(
     groups, buckets = max(width, math.ceil(size / group_bytes)), max(width, math.ceil(size / bucket_bytes))
     placed = lessons.select(
         F.col("lesson_id").cast("bigint").alias("lesson_id"), "body", *[F.col(c).alias(f"keep_{c}") for c in keep],
-        F.pmod(F.xxhash64("lesson_id", F.lit(1)), F.lit(groups)).alias("part"))
+        F.pmod(F.xxhash64("lesson_id", "body", F.lit(1)), F.lit(groups)).alias("part"))
     by_part, kinds = placed.groupBy("part"), dict(lessons.dtypes)
 
     def anchors_out(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from terraloom.llm.substring import remove_repeats
 
@@ -48,6 +49,20 @@ def test_against_brute_force(spark, window):
     assert run(spark, rows, window, group_bytes=4000, bucket_bytes=4000) == brute(rows, window)
 
 
+def test_one_id_is_spread_over_groups(spark):
+    rows = [(None, f"lesson {i} " + "has the same words as the others " * 3) for i in range(60)] + [(1, "has the same words as the others " * 3)]
+    assert run(spark, rows, 5, group_bytes=400) == brute(rows, 5)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        got = remove_repeats(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA), 5, group_bytes=400)
+        held = [r["count"] for r in got.where("lesson_id is null").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert sum(held) == 60 and max(held) <= 45
+
+
 def test_empty_table(spark):
     assert run(spark, [], 13) == []
 
