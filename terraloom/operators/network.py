@@ -2,41 +2,80 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from terraloom.scale import global_row_number, materialize, release, salted_join
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def joined_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (index of a smaller or the same member) after joining along the pairs a-b; the least index names a component."""
+    while len(a):
+        x, y = label[a], label[b]
+        open_ = x != y
+        if not open_.any():
+            break
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+    return label
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (hi, lo) to a star around the least node of each component."""
+    table = pa.Table.from_batches(list(batches))
+    both = pa.chunked_array([*table["hi"].chunks, *table["lo"].chunks]).combine_chunks().dictionary_encode()
+    order = pc.sort_indices(both.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    ends = rank[np.asarray(both.indices)].reshape(2, -1)
+    label = joined_labels(np.arange(len(order)), ends[0], ends[1])
+    names = both.dictionary.take(order)
+    away = np.flatnonzero(label != np.arange(len(label)))
+    yield pa.RecordBatch.from_arrays([names.take(pa.array(away)), names.take(pa.array(label[away]))], ["hi", "lo"])
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100, settle: int = 200_000) -> DataFrame:
     """(node, component): the smallest node id reachable.
 
-    Each round takes the smallest label among neighbours and then follows labels twice,
-    so the number of rounds grows with the logarithm of a component's diameter.
-    ``edges`` (src, dst) are read in both directions.  Hub nodes and the popular labels of
-    a giant component are dealt out by salt; minima are formed before each shuffle.
+    Alternating star contraction: an edge always points from a larger to a smaller id.  The
+    large star moves each larger neighbour of a node to the least one the node knows, the
+    small star does so with the node and its smaller neighbours.  Edges never grow in
+    number, nodes without an edge never travel, and a component is a star around its
+    smallest id after a number of rounds that grows with the logarithm of its size, however
+    long its paths are.  ``edges`` (src, dst) are read in both directions.  Minima are formed
+    before each shuffle; hubs are left to adaptive skew handling of the joins.  The last
+    ``settle`` edges (a few MB) are joined in one task.
     """
-    both = materialize(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src != dst").distinct())
-    labels = materialize(nodes.select("node").distinct().withColumn("component", F.col("node")))
+    star = materialize(edges.where("src != dst").select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).distinct())
+    seen = None
     for _ in range(max_rounds):
-        at = labels.select(F.col("node").alias("dst"), F.col("component").alias("_l"))
-        low = salted_join(both, at, ["dst"], ["src", "dst"]).groupBy(F.col("src").alias("node")).agg(F.min("_l").alias("_m"))
-        step = labels.join(low, "node", "left").select("node", F.col("component").alias("_old"), F.least("component", "_m").alias("component"))
-        # hook: the label itself also moves to the smallest label any of its members saw
-        roots = step.where("component < _old").groupBy(F.col("_old").alias("node")).agg(F.min("component").alias("_h"))
-        hooked = materialize(step.join(roots, "node", "left").select("node", "_old", F.least("component", "_h").alias("component")))
-        first = hooked
-        for _ in range(2):
-            up = hooked.select(F.col("node").alias("component"), F.col("component").alias("_up")).where("component != _up")
-            hooked = salted_join(hooked, up, ["component"], ["node"], "left").select(
-                "node", "_old", F.coalesce("_up", "component").alias("component"))
-        done = materialize(hooked)
-        release(labels, first)
-        changed = done.where("component != _old").limit(1).count()
-        labels = done.select("node", "component")
-        labels._terraloom_path = done._terraloom_path
-        if not changed:
-            release(both)
-            return labels
+        last = star
+        mark = star.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("h")).first()
+        if 0 < mark["n"] <= settle:
+            kind = star.schema["hi"].dataType.simpleString()
+            star = star.repartition(1).mapInArrow(_settle, f"hi {kind}, lo {kind}")
+        if mark == seen or mark["n"] <= settle:
+            made = materialize(nodes.select("node").distinct().join(star.select(F.col("hi").alias("node"), "lo"), "node", "left").select(
+                "node", F.coalesce("lo", "node").alias("component")))
+            release(last)
+            return made
+        seen = mark
+        around = star.select(F.col("lo").alias("node"), F.col("hi").alias("next")).unionByName(star.select(F.col("hi").alias("node"), F.col("lo").alias("next")))
+        low = around.groupBy("node").agg(F.min("next").alias("low")).select(F.col("node").alias("lo"), F.least("node", "low").alias("low"))
+        large = star.join(low, "lo").select("hi", F.col("low").alias("lo")).distinct()
+        least = large.groupBy("hi").agg(F.min("lo").alias("low"))
+        moved = large.join(least, "hi").where("lo != low").select(F.col("lo").alias("hi"), F.col("low").alias("lo"))
+        star = materialize(moved.unionByName(least.select("hi", F.col("low").alias("lo"))).distinct())
+        release(last)
     raise RuntimeError("components did not settle; raise max_rounds")
 
 
