@@ -237,8 +237,7 @@ def encode_lessons(lessons: DataFrame, path: str, pattern: str | None = None) ->
                     "lesson_id": part["lesson_id"], "n_tokens": pa.array(np.diff(per_text), pa.int64()),
                     "token_ids": _binary(ids, per_text), "starts": _binary(starts, per_text)})
 
-    return lessons.selectExpr("cast(lesson_id as bigint) lesson_id", "body").mapInArrow(
-        encode, "lesson_id bigint, n_tokens bigint, token_ids binary, starts binary")
+    return lessons.selectExpr("cast(lesson_id as bigint) lesson_id", "body").mapInArrow(w.tidy(encode), "lesson_id bigint, n_tokens bigint, token_ids binary, starts binary")
 
 
 def decode_lessons(tokens: DataFrame, path: str, pattern: str | None = None, keep: tuple[str, ...] = ("lesson_id",)) -> DataFrame:
@@ -268,4 +267,4 @@ def decode_lessons(tokens: DataFrame, path: str, pattern: str | None = None, kee
                 a = b
 
     kinds = dict(tokens.dtypes)
-    return tokens.select(*keep, "token_ids").mapInArrow(decode, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", decoded binary")
+    return tokens.select(*keep, "token_ids").mapInArrow(w.tidy(decode), ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", decoded binary")

@@ -67,7 +67,7 @@ def fingerprints(lessons: DataFrame, shingle: int = 3) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "lesson_id": batch["lesson_id"].slice(a, b - a), "fingerprint": pa.array(np.array(values, w.U).view(np.int64))})
 
-    return lessons.selectExpr("cast(lesson_id as bigint) lesson_id", "body").mapInArrow(make, "lesson_id bigint, fingerprint bigint")
+    return lessons.selectExpr("cast(lesson_id as bigint) lesson_id", "body").mapInArrow(w.tidy(make), "lesson_id bigint, fingerprint bigint")
 
 
 def masks(positions: Sequence[int], radius: int) -> list[int]:

@@ -218,12 +218,12 @@ def _joined(g: _Group, keep: np.ndarray) -> pa.Array:
 
 
 def remove_repeats(
-    lessons: DataFrame, window: int = 13, group_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20, keep: Sequence[str] = ()
+    lessons: DataFrame, window: int = 13, group_bytes: int = 4 << 20, bucket_bytes: int = 4 << 20, keep: Sequence[str] = ()
 ) -> DataFrame:
     """Cut from each lesson the passages that a lesson with a smaller ``lesson_id`` has too.
 
     lessons: ``lesson_id`` bigint, ``body`` string; further columns are not read, those in
-    ``keep`` are passed on.  A word
+    ``keep`` are passed on (an error where one is named like a result).  A word
     is a run of characters other than space and 09-0D.  A word goes when a run of
     ``window`` words that covers it also starts in a lesson with a smaller id; runs are
     judged on the given bodies.  Returns per row ``lesson_id``, ``n_words``,
@@ -241,6 +241,7 @@ def remove_repeats(
     """
     if window < 2:
         raise ValueError("window must be 2 or more")
+    w.unlike(keep, ("lesson_id", "n_words", "n_removed", "repeats", "kept"))
     size, width = w.text_bytes(lessons, "body"), w.shuffle_width(lessons)
     groups, buckets = max(width, math.ceil(size / group_bytes)), max(width, math.ceil(size / bucket_bytes))
     placed = lessons.select(
@@ -249,16 +250,16 @@ def remove_repeats(
     by_part, kinds = placed.groupBy("part"), dict(lessons.dtypes)
 
     def anchors_out(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return _send_anchors(key[0].as_py(), _Group(table, window), buckets)
+        return w.tidied(_send_anchors, key[0].as_py(), _Group(table, window), buckets)
 
     def windows_out(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
-        return _send_windows(key[0].as_py(), _Group(table, window), replies, buckets)
+        return w.tidied(_send_windows, key[0].as_py(), _Group(table, window), replies, buckets)
 
     def cut(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
-        return _cut(_Group(table, window), replies, {c: table[f"keep_{c}"] for c in keep})
+        return w.tidied(_cut, _Group(table, window), replies, {c: table[f"keep_{c}"] for c in keep})
 
     def answered(sent: DataFrame, anchors: bool) -> DataFrame:
-        return sent.groupBy("bucket").applyInArrow(lambda table: _answer(table, anchors), REPLY)
+        return sent.groupBy("bucket").applyInArrow(lambda table: w.tidied(_answer, table, anchors), REPLY)
 
     shared = answered(by_part.applyInArrow(anchors_out, MESSAGE), True)
     repeated = answered(by_part.cogroup(shared.groupBy("part")).applyInArrow(windows_out, MESSAGE), False)

@@ -6,6 +6,9 @@ task costs a few numpy passes over its bytes and nothing per word in Python.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,6 +18,36 @@ U = np.uint64
 NULL_ID = np.iinfo(np.int64).max  # a missing id sorts after every other
 
 
+def give_back() -> None:
+    """Return freed memory to the machine; workers are reused and would else keep the most they ever had."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A task over batches that gives memory back after each batch of results and at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for k, made in enumerate(task(batches)):
+                yield made
+                if k % 4 == 3:
+                    give_back()
+        finally:
+            give_back()
+
+    return run
+
+
+def tidied(task: Callable[..., pa.Table], *args) -> pa.Table:
+    """Result of a task over one group, with memory given back."""
+    out = task(*args)
+    give_back()
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values over all bits (a bijection)."""
     x = np.atleast_1d(x)
@@ -150,3 +183,10 @@ def shuffle_width(df: DataFrame) -> int:
 def text_bytes(df: DataFrame, text: str) -> int:
     """Bytes of a whole text column; sizes the number of groups, one pruned scan."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()["b"])
+
+
+def unlike(keep, results) -> None:
+    """Refuse columns to pass on that are named like a result (in any case, as Spark compares names)."""
+    same = {c.lower() for c in keep} & set(results)
+    if same:
+        raise ValueError(f"rename the columns to keep that are named like a result: {sorted(same)}")

@@ -94,3 +94,28 @@ def test_run(spark, tmp_path):
 def test_no_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_extra_columns_with_clashing_names(spark):
+    """Columns named like an operator's own go through every stage, empty tables and nulls too."""
+    extra = "body string, lesson_id bigint, language string, kept boolean, n_removed bigint, bits double, other_5 string"
+    rows = [(*r, "b", 1, "l", True, 2, 0.5, "o") for r in documents()[:60]] + [(None,) * 12]
+    for some in (rows, []):
+        docs = spark.createDataFrame(some, f"{SCHEMA}, {extra}")
+        for name, stage in cp.STAGES[:-1]:
+            got = stage(spark, docs, "")
+            assert got.dtypes == docs.dtypes, name
+            for r in got.collect():
+                assert (r["body"], r["lesson_id"], r["language"], r["kept"], r["n_removed"], r["bits"], r["other_5"]) in {
+                    ("b", 1, "l", True, 2, 0.5, "o"), (None,) * 7}, name
+        assert cp.STAGES[-1][1](spark, docs, "").count() == len(some)
+
+
+def test_kept_columns_named_like_results_are_refused(spark):
+    from terraloom.llm import language, substring
+
+    lessons = spark.createDataFrame([(1, "satu dua", "id", True)], "lesson_id bigint, body string, language string, Kept boolean")
+    with pytest.raises(ValueError):
+        substring.remove_repeats(lessons, keep=["Kept"])
+    with pytest.raises(ValueError):
+        language.identify(lessons.withColumnRenamed("Kept", "bits"), None, keep=["bits"])
