@@ -99,8 +99,12 @@ def segments_meet(a: Column, b: Column) -> Column:
 
 def segments_connect(a: Column, b: Column) -> Column:
     """A common end point."""
-    tol = TOL * _magnitude(*[e[c] for e in (a, b) for c in ("x0", "y0", "x1", "y1")])
-    same = lambda p, q: (F.abs(a["x" + p] - b["x" + q]) <= tol) & (F.abs(a["y" + p] - b["y" + q]) <= tol)
+    near = lambda u, v, size: F.abs(u - v) <= TOL * size
+
+    def same(p: str, q: str) -> Column:
+        size = _magnitude(a["x" + p], a["y" + p], b["x" + q], b["y" + q])
+        return near(a["x" + p], b["x" + q], size) & near(a["y" + p], b["y" + q], size)
+
     return same("0", "0") | same("0", "1") | same("1", "0") | same("1", "1")
 
 

@@ -6,7 +6,8 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from terraloom.scale import global_row_number, salted_join
+from terraloom.operators.levels import KEY, met, tile_pairs
+from terraloom.scale import global_row_number
 
 
 def left_join_fill(left: DataFrame, right: DataFrame, on: Sequence[str], fill) -> DataFrame:
@@ -30,7 +31,7 @@ def first_match_join(left: DataFrame, right: DataFrame, on: Sequence[str], order
     """Each left row with the first right row of its key; unmatched left rows are dropped."""
     rest = [c for c in right.columns if c not in on]
     first = right.groupBy(*on).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_m"))
-    return salted_join(left, first, on, left.columns).select(*left.columns, *[F.col(f"_m.{c}").alias(c) for c in rest])
+    return left.join(first, list(on)).select(*left.columns, *[F.col(f"_m.{c}").alias(c) for c in rest])
 
 
 def tolerance_join(
@@ -56,7 +57,7 @@ def tolerance_join(
     rights = F.array_distinct(F.array(bucket(first), bucket(last)))
     l2 = left.withColumn("_lb", lefts).withColumn("_b", F.explode("_lb"))
     r2 = right.select(F.struct(*right.columns).alias("r"), *on, rights.alias("_rb")).withColumn("_b", F.explode("_rb"))
-    hit = salted_join(l2, r2, [*on, "_b"], left.columns)
+    hit = l2.join(r2, [*on, "_b"])
     ok = (F.abs(ls - re_) <= days) | (F.abs(le - rs) <= days)
     # a pair can meet in two buckets; it is kept in the lowest one both sides carry
     once = F.col("_b") == F.array_min(F.array_intersect("_lb", "_rb"))
@@ -71,51 +72,40 @@ def bbox_overlap_fraction(a: Sequence[str], b: Sequence[str]) -> Column:
     return F.when((w > 0) & (h > 0), w * h / area).otherwise(0e0)
 
 
-def cover_tiles(df: DataFrame, box: Sequence[str], size: float) -> DataFrame:
-    """One row per square tile a box touches (tx, ty)."""
-    x0, y0, x1, y1 = (F.floor(F.col(c) / F.lit(float(size))) for c in box)
-    return df.withColumn("tx", F.explode(F.sequence(x0, x1))).withColumn("ty", F.explode(F.sequence(y0, y1)))
-
-
-def nearest_scene(
-    left: DataFrame, right: DataFrame, max_days: int, min_overlap: float = 0.5, tile: float = 1.0
-) -> DataFrame:
+def nearest_scene(left: DataFrame, right: DataFrame, max_days: int, min_overlap: float = 0.5) -> DataFrame:
     """For each left scene the overlapping right scene nearest in date.
 
     Inputs: id, dt (may be null), x0, y0, x1, y1; ``right`` also ``ord`` (listing order).
     Undated right scenes, or any right scene for an undated left one, serve only when no
-    dated match exists.  Equal footprints and dates are merged before matching, so the
-    candidate table grows with distinct footprints, not with files.
+    dated match exists.  Only distinct footprints are matched in space; of a pair of them
+    the dates follow by an equi-join on date buckets, so neither files nor dates multiply
+    the search in space.
     """
     box = ["x0", "y0", "x1", "y1"]
     rbox = ["rx0", "ry0", "rx1", "ry1"]
     lk = left.select("dt", *box).distinct()
     rk = right.groupBy("dt", *box).agg(F.min_by(F.struct("ord", "id"), "ord").alias("m")).select(
         F.col("dt").alias("rdt"), *[F.col(b).alias(r) for b, r in zip(box, rbox)], "m")
+    here, there = tile_pairs(lk.select(*box).distinct(), box, rk.select(*rbox).distinct(), rbox)
+    places = here.join(there, KEY).where(met(box, rbox)).where(bbox_overlap_fraction(rbox, box) >= min_overlap).select(*box, *rbox)
     width = max_days + 1
 
     def bucket(c: str) -> Column:
         return F.floor(F.datediff(c, F.lit("1970-01-01")) / width)
 
-    lt = cover_tiles(lk, box, tile)
-    rt = cover_tiles(rk, rbox, tile)
+    offered = rk.join(places, rbox)
     dated = (
-        lt.where("dt is not null").withColumn("_b", F.explode(F.array(bucket("dt") - 1, bucket("dt"), bucket("dt") + 1)))
-        .join(rt.where("rdt is not null").withColumn("_b", bucket("rdt")), ["tx", "ty", "_b"])
+        lk.where("dt is not null").withColumn("_b", F.explode(F.array(bucket("dt") - 1, bucket("dt"), bucket("dt") + 1)))
+        .join(offered.where("rdt is not null").withColumn("_b", bucket("rdt")), [*box, "_b"])
         .withColumn("days", F.abs(F.datediff("rdt", "dt"))).where(F.col("days") <= max_days)
-        .where(bbox_overlap_fraction(rbox, box) >= min_overlap)
         .groupBy("dt", *box).agg(F.min(F.struct("days", "m")).alias("d"))
     )
-    plain = rt.groupBy("tx", "ty", *rbox).agg(F.min("m").alias("m_any"), F.min(F.when(F.col("rdt").isNull(), F.col("m"))).alias("m_undated"))
-    spare = (
-        lt.join(plain, ["tx", "ty"]).where(bbox_overlap_fraction(rbox, box) >= min_overlap)
-        .groupBy("dt", *box).agg(F.min("m_any").alias("m_any"), F.min("m_undated").alias("m_undated"))
-        .withColumn("u", F.when(F.col("dt").isNull(), F.col("m_any")).otherwise(F.col("m_undated")))
-    )
-    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in ["dt", *box]]
-    best = spare.alias("s").join(dated.alias("d"), same("s", "d"), "left").select(
-        "s.*", F.coalesce("d.m", "s.u").alias("best"), F.col("d.days").alias("days"))
-    return left.alias("l").join(best.alias("b"), same("l", "b"), "left").select(
+    spare = offered.groupBy(*box).agg(F.min("m").alias("m_any"), F.min(F.when(F.col("rdt").isNull(), F.col("m"))).alias("m_undated"))
+    best = lk.join(spare, box, "left").alias("s").join(
+        dated.alias("d"), [F.col(f"s.{c}").eqNullSafe(F.col(f"d.{c}")) for c in ["dt", *box]], "left").select(
+        "s.dt", *[f"s.{c}" for c in box], F.col("d.d.days").alias("days"),
+        F.coalesce("d.d.m", F.when(F.col("s.dt").isNull(), F.col("s.m_any")).otherwise(F.col("s.m_undated"))).alias("best"))
+    return left.alias("l").join(best.alias("b"), [F.col(f"l.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ["dt", *box]], "left").select(
         "l.*", F.col("best.id").alias("match_id"), "days")
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from terraloom.scale import global_row_number, materialize, release, salted_join
+from terraloom.scale import global_row_number, materialize, release
 
 
 def joined_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -102,7 +102,7 @@ def service_area(edges: DataFrame, sources: DataFrame, cutoff: float, max_rounds
     best = materialize(sources.select("node").distinct().withColumn("dist", F.lit(0e0)))
     front = best
     for _ in range(max_rounds):
-        reach = salted_join(both, front.withColumnRenamed("node", "src"), ["src"], ["src", "dst"]).select(
+        reach = both.join(front.withColumnRenamed("node", "src"), "src").select(
             F.col("dst").alias("node"), (F.col("dist") + F.col("length")).alias("_d")
         ).where(F.col("_d") <= cutoff).groupBy("node").agg(F.min("_d").alias("_d"))
         merged = materialize(best.join(reach, "node", "full").select(
@@ -127,45 +127,110 @@ def lines_reached(edges: DataFrame, area: DataFrame, cutoff: float) -> DataFrame
     return ends.where("_a is not null or _b is not null").withColumn("reached", got).drop("_a", "_b")
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _dependencies(start: np.ndarray, to: np.ndarray, n: int, sources: np.ndarray) -> np.ndarray:
+    """Summed pair dependencies of all nodes over the given sources, hop by hop; edges as sorted lists per node."""
+    total = np.zeros(n)
+    for s in sources:
+        hop, paths = np.full(n, -1), np.zeros(n)
+        hop[s], paths[s] = 0, 1.0
+        front, steps = np.array([s]), []
+        while len(front):
+            size = start[front + 1] - start[front]
+            a = np.repeat(front, size)
+            b = to[np.repeat(start[front] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(len(a))]
+            fresh = hop[b] < 0
+            a, b = a[fresh], b[fresh]
+            np.add.at(paths, b, paths[a])
+            front = np.unique(b)
+            hop[front] = len(steps) + 1
+            steps.append((a, b))
+        dep = np.zeros(n)
+        for a, b in reversed(steps):
+            np.add.at(dep, a, paths[a] / paths[b] * (1 + dep[b]))
+        dep[s] = 0
+        total += dep
+    return total
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, local_edges: int = 500_000, state: int = 50_000_000) -> DataFrame:
     """Exact normalized betweenness of an undirected, unweighted graph: (node, betweenness).
 
-    All sources advance together, one hop per round, as a table (source, node, paths); the
-    second pass returns the dependencies hop by hop.  The tables are spread by (source,
-    node), so neither the graph nor any source's tree must fit one task.
+    A graph of at most ``local_edges`` directed edges (a few MB) goes along with the tasks,
+    and the sources are dealt out over them.  A larger one stays a table: sources advance
+    together in batches, one hop per round, as a table (source, node, paths) of at most
+    about ``state`` rows; the back pass of a batch returns the dependencies hop by hop,
+    then the hops of the batch are deleted.
     """
     both = materialize(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src != dst").distinct())
-    start = materialize(nodes.select(F.col("node").alias("s"), "node").distinct().withColumn("paths", F.lit(1e0)))
-    n = start.count()
-    hops = [start]
+    every = materialize(nodes.select("node").distinct())
+    n, m = every.count(), both.count()
+    if m <= local_edges:
+        sums = _local_dependencies(every, both)
+    else:
+        batches = max(1, -(-n * n // state))
+        parts = [_batch_dependencies(every.where(F.pmod(F.xxhash64("node"), F.lit(batches)) == k), both) for k in range(batches)]
+        sums = parts[0]
+        for part in parts[1:]:
+            sums = sums.unionByName(part)
+    scale = (n - 1) * (n - 2)
+    sums = sums.groupBy("node").agg((F.sum("dep") / F.lit(float(max(scale, 1)))).alias("betweenness"))
+    made = materialize(every.join(sums, "node", "left").fillna(0.0, ["betweenness"]))
+    release(both, every)
+    return made
+
+
+def _local_dependencies(every: DataFrame, both: DataFrame) -> DataFrame:
+    """(node, dep) with the whole graph in every task, a share of the sources in each."""
+    pairs = both.toArrow()
+    names, ends = np.unique(np.concatenate([pairs["src"].to_numpy(), pairs["dst"].to_numpy()]), return_inverse=True)
+    src, dst = ends.reshape(2, -1)
+    order = np.lexsort((dst, src))
+    to, start = dst[order], np.append(0, np.cumsum(np.bincount(src, minlength=len(names))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(names))
+        for batch in batches:
+            at = np.searchsorted(names, own := batch["node"].to_numpy(zero_copy_only=False)) if len(names) else np.zeros(0, int)
+            known = at[names[np.minimum(at, len(names) - 1)] == own] if len(names) else at
+            total += _dependencies(start, to, len(names), known)
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"node": pa.array(names[full], kind), "dep": total[full]})
+
+    kind = pairs.schema.field("src").type
+    width = every.sparkSession.sparkContext.defaultParallelism
+    return every.repartition(width).mapInArrow(run, f"node {every.schema['node'].dataType.simpleString()}, dep double")
+
+
+def _batch_dependencies(sources: DataFrame, both: DataFrame) -> DataFrame:
+    """(node, dep) of the given sources; leaves one table."""
+    hops = [materialize(sources.select(F.col("node").alias("s"), "node").withColumn("paths", F.lit(1e0)))]
     while True:
-        last = hops[-1]
-        grown = salted_join(last.withColumnRenamed("node", "src"), both, ["src"], ["s"]).groupBy("s", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        grown = hops[-1].withColumnRenamed("node", "src").join(both, "src").groupBy("s", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
         # a node next to hop d lies in hop d-1, d or d+1, so older hops need no check
         for old in hops[-2:]:
             grown = grown.join(old.select("s", "node"), ["s", "node"], "left_anti")
         grown = materialize(grown)
         if grown.isEmpty():
+            release(grown)
             break
         hops.append(grown)
-    total = None
-    below = None  # dependencies of the next hop: (s, node, paths, dep)
+    total, below, held = None, None, []  # dependencies of the next hop: (s, node, paths, dep)
     for hop in reversed(hops[1:]):
         if below is None:
             now = hop.withColumn("dep", F.lit(0e0))
         else:
             share = below.select("s", F.col("node").alias("src"), ((1 + F.col("dep")) / F.col("paths")).alias("x"))
-            back = salted_join(share, both, ["src"], ["s"]).groupBy("s", F.col("dst").alias("node")).agg(F.sum("x").alias("x"))
+            back = share.join(both, "src").groupBy("s", F.col("dst").alias("node")).agg(F.sum("x").alias("x"))
             now = hop.join(back, ["s", "node"], "left").select("s", "node", "paths", (F.col("paths") * F.coalesce("x", F.lit(0e0))).alias("dep"))
         below = materialize(now)
+        held.append(below)
         part = below.groupBy("node").agg(F.sum("dep").alias("dep"))
         total = part if total is None else total.unionByName(part)
-    scale = (n - 1) * (n - 2)
-    out = nodes.select("node").distinct()
-    if total is None or scale <= 0:
-        return out.withColumn("betweenness", F.lit(0e0))
-    sums = total.groupBy("node").agg((F.sum("dep") / F.lit(float(scale))).alias("betweenness"))
-    return out.join(sums, "node", "left").fillna(0.0, ["betweenness"])
+    if total is None:
+        return hops[0].select("node", F.lit(0e0).alias("dep"))
+    made = materialize(total.groupBy("node").agg(F.sum("dep").alias("dep")))
+    release(*hops, *held)
+    return made
 
 
 def pixel_regions(px: DataFrame, value: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from terraloom.functions.fixed_values import RESISTANCE, RESISTANCE_DEFAULT, VALID_CLASSES
-from terraloom.scale import exact_percentiles, salted_join
+from terraloom.scale import exact_percentiles
 
 TILE = 256
 
@@ -386,7 +386,7 @@ def normalize(px: DataFrame, how: str, keys: Sequence[str] = ("scene", "band"),
         s = px.groupBy(*keys).agg(
             F.coalesce(F.avg(F.when(v > 0, v)), F.lit(0e0)).alias("_mean"),
             F.coalesce(F.stddev_pop(F.when(v > 0, v)), F.lit(1e0)).alias("_std"))
-    j = salted_join(px, s, keys, [c for c in px.columns], "left")
+    j = px.join(s, keys, "left")
     if how == "zscore":
         out = (v - F.col("_mean")) / F.greatest(F.col("_std"), F.lit(1e-8))
     else:
@@ -399,7 +399,7 @@ def normalize(px: DataFrame, how: str, keys: Sequence[str] = ("scene", "band"),
 def _window_valid(px: DataFrame, bands: Sequence[str], size: int, stride: int, nodata: float, dims: DataFrame) -> DataFrame:
     """Valid share of every regular window; windows are (scene, y0, x0) origins in pixels."""
     ok = sum(((F.col(b) != nodata).cast("int") for b in bands), F.lit(0))
-    j = salted_join(px, dims, ["scene"], px.columns)
+    j = px.join(dims, ["scene"])
 
     def origins(c: str, limit: str) -> Column:
         first = F.greatest(F.ceil((F.col(c) - size + 1) / stride), F.lit(0))

@@ -1,9 +1,10 @@
 """Spatial joins as tile equi-joins with an exact refinement.
 
-Shapes carry ``edges`` and their box ``x0, y0, x1, y1``.  A shape is listed in every tile
-its box touches; a pair is tested once, in the tile holding the lower-left corner of the
-two boxes' overlap, so no later distinct is needed.  The side that may be crowded is dealt
-out by salt, and equal positions are merged before any join.
+Shapes carry ``edges`` and their box ``x0, y0, x1, y1``.  A shape is listed in the at most
+four tiles of its own size that its box touches (``operators/levels``), and in those of the
+larger shapes it may meet; a pair is tested once, in the tile holding the lower-left corner
+of the two boxes' overlap, so no later distinct is needed.  Equal positions are merged
+before any join; crowded tiles are left to adaptive skew handling.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from terraloom.functions import geometry as geo
-from terraloom.operators.joins import cover_tiles
-from terraloom.scale import materialize, salted_join
+from terraloom.operators.levels import KEY, met, tile_pairs
+from terraloom.scale import materialize
 
 BOX = ["x0", "y0", "x1", "y1"]
 
@@ -31,94 +32,68 @@ def _slab(edges: Column, y0: Column, y1: Column, x0: Column) -> Column:
     return F.filter(edges, lambda e: (F.greatest(e["y0"], e["y1"]) >= y0) & (F.least(e["y0"], e["y1"]) <= y1) & (F.greatest(e["x0"], e["x1"]) >= x0))
 
 
-def points_in_polygons(points: DataFrame, polys: DataFrame, tile: float = 1.0) -> DataFrame:
+def points_in_polygons(points: DataFrame, polys: DataFrame) -> DataFrame:
     """Points (x, y, ...) joined to the polygons (edges, box, ...) that contain them.
 
-    Each tile of a polygon carries only the edges its points can meet; a tile left of no
-    edge lies outside and is dropped.
+    Points are keyed at each level that polygons use.  Each tile of a polygon carries only
+    the edges its points can meet; a tile left of no edge lies outside and is dropped.
     """
-    pts = points.withColumns({"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)})
-    pad = tile * 1e-9
-    cover = cover_tiles(polys, BOX, tile).withColumn("edges", _slab(
-        F.col("edges"), F.col("ty") * tile - pad, (F.col("ty") + 1) * tile + pad, F.col("tx") * tile - pad)).where(F.size("edges") > 0)
-    hit = salted_join(pts, cover, ["tx", "ty"], points.columns).where(geo.point_in_edges(F.col("x"), F.col("y"), F.col("edges")))
-    return hit.drop("tx", "ty", "edges", *BOX)
+    pts = points.withColumns({"_px0": F.col("x"), "_py0": F.col("y"), "_px1": F.col("x"), "_py1": F.col("y")})
+    pts, cover = tile_pairs(pts, ["_px0", "_py0", "_px1", "_py1"], polys, BOX)
+    size = F.pow(F.lit(4e0), F.col("lv"))
+    pad = size * 1e-9
+    cover = cover.where("lv = _own_b").withColumn("edges", _slab(
+        F.col("edges"), F.col("ty") * size - pad, (F.col("ty") + 1) * size + pad, F.col("tx") * size - pad)).where(F.size("edges") > 0)
+    hit = pts.drop("_own_a", "_px0", "_py0", "_px1", "_py1").join(cover.drop("_own_b"), KEY).where(geo.point_in_edges(F.col("x"), F.col("y"), F.col("edges")))
+    return hit.drop(*KEY, "edges", *BOX)
 
 
-def count_points_in_polygons(points: DataFrame, polys: DataFrame, poly: str, attr: str, tile: float = 1.0) -> DataFrame:
+def count_points_in_polygons(points: DataFrame, polys: DataFrame, poly: str, attr: str) -> DataFrame:
     """Points and distinct attribute values per polygon; points at one place are merged first."""
     spots = points.groupBy("x", "y", attr).agg(F.count("*").alias("_n"))
-    hit = points_in_polygons(spots, polys.select(poly, "edges", *BOX), tile)
+    hit = points_in_polygons(spots, polys.select(poly, "edges", *BOX))
     per = hit.groupBy(poly, attr).agg(F.sum("_n").alias("_n"))
     counts = per.groupBy(poly).agg(F.sum("_n").alias("n"), F.count(attr).alias("n_unique"))
     return polys.select(poly).join(counts, poly, "left").fillna(0, ["n", "n_unique"])
 
 
-def zonal_stats(points: DataFrame, polys: DataFrame, poly: str, value: str, tile: float = 1.0) -> DataFrame:
+def zonal_stats(points: DataFrame, polys: DataFrame, poly: str, value: str) -> DataFrame:
     """Count, sum, mean, min and max of located values per polygon."""
     spots = points.groupBy("x", "y").agg(
         F.count(value).alias("_n"), F.sum(value).alias("_s"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    hit = points_in_polygons(spots, polys.select(poly, "edges", *BOX), tile)
+    hit = points_in_polygons(spots, polys.select(poly, "edges", *BOX))
     return hit.groupBy(poly).agg(
         F.sum("_n").alias("n"), F.sum("_s").alias("sum"), (F.sum("_s") / F.sum("_n")).alias("mean"),
         F.min("_lo").alias("min"), F.max("_hi").alias("max"))
 
 
-def _split_tiles(left: DataFrame, right: DataFrame, limit: int) -> DataFrame | None:
-    """Tiles whose candidate pairs exceed ``limit``, or None."""
-    per = lambda df, n: df.groupBy("tx", "ty").agg(F.count("*").alias(n))
-    hot = per(left, "na").join(per(right, "nb"), ["tx", "ty"]).where(F.col("na") * F.col("nb") > limit)
-    hot = materialize(hot.select("tx", "ty"))
-    return None if hot.isEmpty() else hot
-
-
 def shape_pairs(
-    a: DataFrame, b: DataFrame, a_id: str, b_id: str, test: Callable[[Column, Column], Column], tile: float = 1.0, pad: float = 0.0,
-    limit: int = 50_000_000, depth: int = 6,
+    a: DataFrame, b: DataFrame, a_id: str, b_id: str, test: Callable[[Column, Column], Column], pad: float = 0.0, ordered: bool = False,
 ) -> DataFrame:
-    """Ids of shape pairs whose (padded) boxes meet and whose edges pass ``test``.
+    """Ids (a, b) of shape pairs whose boxes (those of ``a`` grown by ``pad``) meet and whose edges pass ``test``.
 
-    A tile with more than ``limit`` candidate pairs is divided 4 x 4, again and again up to
-    ``depth`` times, so a crowd in one tile is pulled apart before pairs are formed.
+    ``ordered`` keeps pairs with a < b only and tests no others: for a table with itself
+    under a symmetric test.
     """
     grown = a.select(F.col(a_id).alias("a"), F.col("edges").alias("ea"), *[
         (F.col(c) - pad if c in ("x0", "y0") else F.col(c) + pad).alias(f"a{c}") for c in BOX])
     other = b.select(F.col(b_id).alias("b"), F.col("edges").alias("eb"), *[F.col(c).alias(f"b{c}") for c in BOX])
     abox, bbox = [f"a{c}" for c in BOX], [f"b{c}" for c in BOX]
-    cx, cy = F.greatest("ax0", "bx0"), F.greatest("ay0", "by0")
-    meet = (F.col("ax0") <= F.col("bx1")) & (F.col("bx0") <= F.col("ax1")) & (F.col("ay0") <= F.col("by1")) & (F.col("by0") <= F.col("ay1"))
-
-    def pairs(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
-        once = (F.floor(cx / size) == F.col("tx")) & (F.floor(cy / size) == F.col("ty"))
-        return salted_join(left, right, ["tx", "ty"], ["a"]).where(meet & once).where(test(F.col("ea"), F.col("eb"))).select("a", "b")
-
-    left, right, size, done = cover_tiles(grown, abox, tile), cover_tiles(other, bbox, tile), tile, None
-    for _ in range(depth):
-        hot = _split_tiles(left, right, limit)
-        if hot is None:
-            break
-        calm = pairs(left.join(hot, ["tx", "ty"], "left_anti"), right, size)
-        done = calm if done is None else done.unionByName(calm)
-        size = size / 4
-
-        def finer(df: DataFrame, box: list[str]) -> DataFrame:
-            crowd = df.join(hot, ["tx", "ty"], "left_semi").withColumnsRenamed({"tx": "_px", "ty": "_py"})
-            parts = cover_tiles(crowd, box, size).where((F.floor(F.col("tx") / 4) == F.col("_px")) & (F.floor(F.col("ty") / 4) == F.col("_py")))
-            return parts.drop("_px", "_py")
-
-        left, right = finer(left, abox), finer(right, bbox)
-    rest = pairs(left, right, size)
-    return rest if done is None else done.unionByName(rest)
+    left, right = tile_pairs(grown, abox, other, bbox)
+    near = left.join(right, KEY).where(met(abox, bbox))
+    if ordered:
+        near = near.where("a < b")
+    return near.where(test(F.col("ea"), F.col("eb"))).select("a", "b")
 
 
-def segment_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, test, tile: float = 1.0, pad: float = 0.0) -> DataFrame:
+def segment_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, test, pad: float = 0.0, ordered: bool = False) -> DataFrame:
     """Like :func:`shape_pairs` for single segments; ``test`` sees one edge of each."""
-    return shape_pairs(a, b, a_id, b_id, lambda p, q: test(p[0], q[0]), tile, pad)
+    return shape_pairs(a, b, a_id, b_id, lambda p, q: test(p[0], q[0]), pad, ordered)
 
 
 def within_distance(a: DataFrame, b: DataFrame, a_id: str, b_id: str, d: float) -> DataFrame:
     """Id pairs of single segments (or points as zero-length segments) at most ``d`` apart."""
-    return segment_pairs(a, b, a_id, b_id, lambda p, q: geo.segments_d2(p, q) <= d * d, tile=max(d, 1e-9), pad=d)
+    return segment_pairs(a, b, a_id, b_id, lambda p, q: geo.segments_d2(p, q) <= d * d, pad=d)
 
 
 class TileTree:
@@ -162,7 +137,7 @@ class TileTree:
         """Candidates of the level above (_tx, _ty) beside their child tiles."""
         parts = self.levels[level].select(
             F.floor(F.col("tx") / 4).alias("_tx"), F.floor(F.col("ty") / 4).alias("_ty"), "tx", "ty", "n", *[f"r{c}" for c in BOX])
-        return salted_join(seen, parts, ["_tx", "_ty"], BOX)
+        return seen.join(parts, ["_tx", "_ty"])
 
 
 def _gap2() -> Column:
@@ -194,7 +169,7 @@ def count_within(points: DataFrame, around: DataFrame, d: float, leaf: int = 32)
         inside = step.where(F.col("_far") <= d * d).groupBy(*BOX).agg(F.sum("n").alias("n"))
         whole = inside if whole is None else whole.unionByName(inside)
         seen = materialize(step.where(F.col("_far") > d * d).select(*BOX, F.col("tx").alias("_tx"), F.col("ty").alias("_ty")))
-    last = salted_join(seen, tree.ends, ["_tx", "_ty"], BOX).where(_gap2() <= d * d).groupBy(*BOX).agg(F.sum("n").alias("n"))
+    last = seen.join(tree.ends, ["_tx", "_ty"]).where(_gap2() <= d * d).groupBy(*BOX).agg(F.sum("n").alias("n"))
     total = whole.unionByName(last).groupBy("x0", "y0").agg(F.sum("n").alias("n_within")).withColumnsRenamed({"x0": "x", "y0": "y"})
     return points.join(total, ["x", "y"], "left").fillna(0, ["n_within"])
 
@@ -220,7 +195,7 @@ def nearest(left: DataFrame, right: DataFrame, right_id: str, leaf: int = 32) ->
         seen = step.select(*BOX, "_lim", F.explode("_t").alias("_t")).where(F.col("_t._near") <= F.col("_lim")).select(
             *BOX, F.col("_t.tx").alias("_tx"), F.col("_t.ty").alias("_ty"), "_lim")
     a, b = F.struct(*BOX), F.struct(*[F.col(f"r{c}").alias(c) for c in BOX])
-    best = salted_join(seen, tree.ends, ["_tx", "_ty"], BOX).groupBy(*BOX).agg(
+    best = seen.join(tree.ends, ["_tx", "_ty"]).groupBy(*BOX).agg(
         F.min(F.struct(geo.segments_d2(a, b).alias("d2"), "rid")).alias("_b"))
     return left.join(best, BOX).withColumns(
         {"near_id": F.col("_b.rid"), "near_dist": F.sqrt("_b.d2")}).drop("_b")

@@ -20,7 +20,7 @@ CELL = ["q", "r"]
 
 # --- biodiversity ----------------------------------------------------------------------
 
-def master_layers(occ: DataFrame, aoi: DataFrame, size: float, store: LayerStore, names: Mapping[str, str] | None = None, tile: float = 1.0) -> DataFrame:
+def master_layers(occ: DataFrame, aoi: DataFrame, size: float, store: LayerStore, names: Mapping[str, str] | None = None) -> DataFrame:
     """Occurrences to stored layers: occurrences, cells (grid within the AOI), aoi.
 
     ``occ``: rid, species, yr, method, x, y; ``aoi``: id, edges, box.
@@ -31,7 +31,7 @@ def master_layers(occ: DataFrame, aoi: DataFrame, size: float, store: LayerStore
     small = materialize(oc.species_years(occ))
     grid = hg.build_grid(small)
     cells = sp.as_shape(grid.withColumn("cell", F.struct(*CELL)), geo.ring_edges(cell_boundary(size)))
-    inside = sp.shape_pairs(cells, aoi, "cell", "id", geo.polygons_intersect, tile).select("a.q", "a.r").distinct()
+    inside = sp.shape_pairs(cells, aoi, "cell", "id", geo.polygons_intersect).select("a.q", "a.r").distinct()
     return store.write_layers({"occurrences": occ, "cells": oc.cell_summary(small, materialize(inside)), "aoi": aoi})
 
 

@@ -165,7 +165,7 @@ def _sd(a: str, b: str, px: str, py: str) -> str:
     where {_sd('a', 'b', 'x0', 'y0')}*{_sd('a', 'b', 'x1', 'y1')}<0 and {_sd('b', 'a', 'x0', 'y0')}*{_sd('b', 'a', 'x1', 'y1')}<0""")
 def _(spark, sf):
     ln = lines(spark, sf)
-    return sp.segment_pairs(ln, ln, "lid", "lid", geo.segments_cross).where("a < b")
+    return sp.segment_pairs(ln, ln, "lid", "lid", geo.segments_cross, ordered=True)
 
 
 @query("lines_connected", with_views("pts") + """, s as (select a.pid lid, round(a.x,2) x0, round(a.y,2) y0, round(b.x,2) x1, round(b.y,2) y1 from pts a join pts b on b.pid=a.pid+1)
@@ -174,13 +174,13 @@ def _(spark, sf):
     p = view(spark, sf, "pts").select("pid", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
     nxt = p.select((F.col("pid") - 1).alias("pid"), F.col("x").alias("nx"), F.col("y").alias("ny"))
     s = sp.as_shape(p.join(nxt, "pid"), F.array(geo.edge(F.col("x"), F.col("y"), F.col("nx"), F.col("ny"))))
-    return sp.segment_pairs(s, s, "pid", "pid", geo.segments_connect).where("a < b")
+    return sp.segment_pairs(s, s, "pid", "pid", geo.segments_connect, ordered=True)
 
 
 @query("polygons_touch", with_views("zone") + """ select a.zid a, b.zid b from zone a join zone b on a.zid<b.zid and a.x0<=b.x1 and b.x0<=a.x1 and a.y0<=b.y1 and b.y0<=a.y1""")
 def _(spark, sf):
     z = zone(spark, sf)
-    return sp.shape_pairs(z, z, "zid", "zid", geo.polygons_touch).where("a < b")
+    return sp.shape_pairs(z, z, "zid", "zid", geo.polygons_touch, ordered=True)
 
 
 @query("touches_named_zone", with_views("zone") + """, n as (select * from zone where zid=(select s_suppkey from supplier where s_name='Supplier#000000004'))

@@ -107,7 +107,7 @@ def average_rank(df: DataFrame, value: str, keys: Sequence[str] = (), out: str =
     ranks = running_total(counts, [value], "_n", keys, "_cum").select(
         *keys, value, (F.col("_cum") - (F.col("_n") - 1) / 2e0).alias(out)
     )
-    return salted_join(df, ranks, [*keys, value], df.columns)
+    return df.join(ranks, [*keys, value])
 
 
 def exact_percentiles(
@@ -144,22 +144,6 @@ def exact_percentiles(
     )
 
 
-def salted_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], salt_by: Sequence[str], how: str = "inner", salts: int = 1
-) -> DataFrame:
-    """Equi-join whose ``left`` keys may be hot.
-
-    Adaptive skew handling splits the partitions it measures as large and repeats only what
-    meets them.  ``salts`` above 1 deals every left key to that many tasks by a hash of
-    ``salt_by`` and of the partition, at the price of as many copies of the right side.
-    """
-    if salts == 1:
-        return left.join(right, list(on), how)
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*salt_by, F.spark_partition_id()), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies, [*on, "_salt"], how).drop("_salt")
-
-
 def with_totals(df: DataFrame, aggs: Sequence[Column]) -> DataFrame:
     """Attach one-row aggregates of ``df`` to every row as a scalar subquery."""
     one = df.agg(F.struct(*aggs).alias("_t"))

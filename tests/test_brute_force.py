@@ -55,15 +55,55 @@ def test_count_within_a_crowd(spark):
     assert (got.to_numpy() == (d <= 0.8).sum(axis=1)).all()
 
 
-def test_crowded_tiles_are_divided(spark):
+def _crosses(a, b):
+    side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    p, q, r, t = (a[0], a[1]), (a[2], a[3]), (b[0], b[1]), (b[2], b[3])
+    return side(p, q, r) * side(p, q, t) < 0 and side(r, t, p) * side(r, t, q) < 0
+
+
+def test_segments_of_all_sizes_in_metres(spark):
+    """From one metre to fifty kilometres, a crowd in one place: every crossing once, a handful of tiles a shape."""
     rng = np.random.default_rng(13)
-    a = np.vstack([rng.uniform(0, 1, (120, 4)), rng.uniform(5, 9, (10, 4))])
+    size = 10 ** rng.uniform(0, 4.7, 250)
+    at = np.where(rng.random((250, 1)) < 0.5, rng.normal(520_000, 30, (250, 2)), rng.uniform(500_000, 560_000, (250, 2)))
+    step = rng.normal(0, 1, (250, 2)) * size[:, None]
+    a = np.hstack([at, at + step])
     df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(a)), "x0": a[:, 0], "y0": a[:, 1], "x1": a[:, 2], "y1": a[:, 3]}))
     seg = sp.as_shape(df, F.array(geo.edge(*[F.col(c) for c in sp.BOX])))
-    one = sp.shape_pairs(seg, seg, "id", "id", lambda p, q: geo.segments_cross(p[0], q[0]), limit=2000)
-    two = sp.shape_pairs(seg, seg, "id", "id", lambda p, q: geo.segments_cross(p[0], q[0]))
-    got = sorted(map(tuple, one.collect()))
-    assert got == sorted(map(tuple, two.collect())) and len(got) == len(set(got)) > 100
+    got = [tuple(r) for r in sp.segment_pairs(seg, seg, "id", "id", geo.segments_cross, ordered=True).collect()]
+    want = [(i, j) for i in range(len(a)) for j in range(i + 1, len(a)) if _crosses(a[i], a[j])]
+    assert sorted(got) == want and len(want) > 100
+
+
+def test_tiles_follow_the_size_of_a_shape(spark):
+    """A box of 5 km and a line of 7 km in metres make at most four tiles each, at their own level."""
+    from terraloom.operators.levels import KEY, tile_pairs
+
+    box = spark.createDataFrame([(1, 700_000.0, 9_200_000.0, 705_000.0, 9_205_000.0)], "id int, x0 double, y0 double, x1 double, y1 double")
+    line = spark.createDataFrame([(2, 701_000.0, 9_201_000.0, 707_500.0, 9_203_500.0), (3, 701_000.0, 9_201_000.0, 701_001.0, 9_201_000.0), (
+        4, 702_000.0, 9_202_000.0, 702_000.0, 9_202_000.0)], box.schema)
+    a, b = tile_pairs(box, sp.BOX, line, sp.BOX)
+    assert a.where("lv = _own_a").count() <= 4 and a.count() <= 4
+    assert b.groupBy("id", "lv").count().agg(F.max("count")).first()[0] <= 4 and b.count() <= 16
+    assert {r["lv"] for r in b.where("id = 4").collect()} >= {r["lv"] for r in a.collect()}
+    assert a.join(b, KEY).count() >= 3
+
+
+def test_points_in_triangles_in_metres(spark):
+    rng = np.random.default_rng(3)
+    centre, size = rng.uniform(500_000, 503_000, (60, 2)), 10 ** rng.uniform(0.5, 3.5, 60)
+    tri = centre[:, None, :] + rng.normal(0, 1, (60, 3, 2)) * size[:, None, None]
+    polys = shapes(spark, {str(i): ring(*map(tuple, t.tolist())) for i, t in enumerate(tri)})
+    pts = np.vstack([rng.uniform(499_000, 504_000, (400, 2)), tri.mean(axis=1)])
+    points = spark.createDataFrame(pd.DataFrame({"pid": np.arange(len(pts)), "x": pts[:, 0], "y": pts[:, 1]}))
+    got = sorted((r["pid"], int(r["id"])) for r in sp.points_in_polygons(points, polys.select("id", "edges", *sp.BOX)).collect())
+
+    def inside(p, t):
+        s = [(t[(k + 1) % 3][0] - t[k][0]) * (p[1] - t[k][1]) - (t[(k + 1) % 3][1] - t[k][1]) * (p[0] - t[k][0]) for k in range(3)]
+        return all(x > 0 for x in s) or all(x < 0 for x in s)
+
+    want = sorted((i, j) for i, p in enumerate(pts) for j, t in enumerate(tri) if inside(p, t))
+    assert got == want and len(want) > 150
 
 
 def test_nearest_with_no_right_side(spark):
@@ -86,7 +126,7 @@ def test_polygon_relations(spark):
         "same": ring((0, 0), (4, 0), (4, 4), (0, 4)), "cross": ring((-1, 1), (5, 1), (5, 2), (-1, 2)),
     })
     one = s.where("id = 'a'")
-    rel = lambda test: {r["b"] for r in sp.shape_pairs(one, s, "id", "id", test, tile=2.0).collect()} - {"a"}
+    rel = lambda test: {r["b"] for r in sp.shape_pairs(one, s, "id", "id", test).collect()} - {"a"}
     assert rel(geo.polygons_touch) == {"touching", "corner"}
     assert rel(geo.polygons_intersect) == {"touching", "corner", "inside", "over", "same", "cross"}
     assert {r["a"] for r in sp.shape_pairs(s, one, "id", "id", geo.within).collect()} == {"inside"}

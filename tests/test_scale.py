@@ -47,15 +47,6 @@ def test_exact_percentiles(skewed, keys):
         assert np.allclose([row.a, row.m, row.z], np.percentile(v, [2, 50, 98]))
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join(spark, skewed, how):
-    _, df = skewed
-    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("3", 3)], "k string, w int")
-    a = scale.salted_join(df, right, ["k"], ["id"], how, salts=4)
-    b = df.join(right, ["k"], how)
-    assert sorted(a.collect()) == sorted(b.collect())
-
-
 def test_materialize_uses_the_session_folder(spark):
     df = scale.materialize(spark.range(10))
     assert df.count() == 10 and scale.work_dir(spark) in df.inputFiles()[0]
