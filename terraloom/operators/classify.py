@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from terraloom.scale import exact_percentiles
+from terraloom.scale import exact_percentiles, materialize, release, running_totals
 
 
 def class_breaks(df: DataFrame, col: str, n: int, method: str) -> DataFrame:
@@ -47,51 +47,89 @@ def assign_class(df: DataFrame, col: str, breaks: DataFrame, out: str = "class_n
         out, F.when(F.col(col).isNotNull(), F.least(cls, F.size("_b") - 1))).drop("_b")
 
 
-def jenks_breaks(df: DataFrame, col: str, n: int) -> DataFrame:
+_LAYER = "i bigint, v double, tn double, ts double, tss double, cost double, cut bigint"
+
+
+def _solve(sub: tuple[int, int, int, int], ends: pd.DataFrame, cuts: pd.DataFrame) -> pd.DataFrame:
+    """Best cost and cut of the ends lo..hi, whose last class starts after one of the cuts a..b."""
+    lo, hi, a, b = sub
+    ends, cuts = ends.sort_values("i").reset_index(drop=True), cuts.sort_values("i")
+    en, es, ess = (ends[c].to_numpy() for c in ("tn", "ts", "tss"))
+    cn, cs, css, before = (cuts[c].to_numpy() for c in ("tn", "ts", "tss", "cost"))
+    cost, cut = np.empty(len(ends)), np.empty(len(ends), np.int64)
+    todo = [(lo, hi, a, b)]
+    while todo:
+        low, high, first, last = (np.array(t) for t in zip(*todo))
+        mid = (low + high) // 2
+        size = np.minimum(last, mid - 1) - first + 1
+        at = np.cumsum(size) - size
+        i = np.repeat(first - a - at, size) + np.arange(size.sum())
+        j = np.repeat(mid - lo, size)
+        total = before[i] + (ess[j] - css[i]) - (es[j] - cs[i]) ** 2 / (en[j] - cn[i])
+        best = np.minimum.reduceat(total, at)
+        hit = np.flatnonzero(total == np.repeat(best, size))
+        got = i[hit[np.searchsorted(hit, at)]] + a
+        cost[mid - lo], cut[mid - lo] = best, got
+        todo = [(p, m - 1, x, y) for p, m, x, y in zip(low.tolist(), mid.tolist(), first.tolist(), got.tolist()) if p < m] + [
+            (m + 1, q, y, z) for q, m, y, z in zip(high.tolist(), mid.tolist(), got.tolist(), last.tolist()) if m < q]
+    return ends[["i", "v", "tn", "ts", "tss"]].assign(cost=cost, cut=cut)
+
+
+def jenks_breaks(df: DataFrame, col: str, n: int, task: int = 250_000) -> DataFrame:
     """Natural breaks: the class limits with the least variance within classes, exact for any number of distinct values.
 
-    Spark counts the distinct values; one task then adds class by class.  The best cut for
-    the classes so far never moves left as values are added, so each layer is solved by
-    halving ranges, level by level, in O(m log m) for m distinct values.
+    Running sums of the distinct values in order give the deviation of any run of them.
+    Classes are added one by one.  The best cut before an end never moves left as the end
+    moves right, so the end in the middle of a range splits the ends and the cuts in two.
+    Ranges of more than ``task`` rows are split by Spark (one aggregation per level over the
+    whole layer); what is smaller is solved by halving inside one task each.  Per class the
+    work is O(m log m) for m distinct values, and no task holds more than ``task`` of them.
     """
+    spark = df.sparkSession
+    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count("*").cast("double").alias("n"))
+    counts = materialize(counts)
+    m, mean = counts.agg(F.count("*"), F.sum(F.col("v") * F.col("n")) / F.sum("n")).first()
+    if not m:
+        return counts.select(F.array("v").alias("breaks"))
+    x = F.col("v") - F.lit(mean)  # the sums stay small
+    sums = running_totals(counts, ["v"], {"i": F.lit(1).cast("bigint"), "tn": F.col("n"), "ts": F.col("n") * x, "tss": F.col("n") * x * x})
+    cost = F.col("tss") - F.col("ts") * F.col("ts") / F.col("tn")
+    layer = materialize(sums.select("i", "v", "tn", "ts", "tss", cost.alias("cost"), F.lit(0).cast("bigint").alias("cut")))
+    layers = [layer]
+
+    def within(rows: DataFrame, ranges: list[tuple], first: str, last: str) -> DataFrame:
+        """Rows of a layer in each of the ranges (sub, lo, hi, a, b, ...); an equi-join on blocks of rows."""
+        made = spark.createDataFrame([(k, *r) for k, r in enumerate(ranges)], "sub bigint, lo bigint, hi bigint, a bigint, b bigint, mn double, ms double, mss double")
+        blocks = made.withColumn("block", F.explode(F.expr(f"sequence({first} div {task}, {last} div {task})")))
+        return rows.withColumn("block", F.expr(f"i div {task}")).join(blocks, "block").where(f"i between {first} and {last}").drop("block")
+
+    for c in range(2, min(n, m) + 1):
+        wide, small = [(c, m, c - 1, m - 1)], []
+        while wide:
+            small += [(*s, 0.0, 0.0, 0.0) for s in wide if s[1] - s[0] + s[3] - s[2] <= task]
+            wide = [s for s in wide if s[1] - s[0] + s[3] - s[2] > task]  # about one for every ``task`` values
+            if not wide:
+                break
+            mids = [(lo + hi) // 2 for lo, hi, _, _ in wide]
+            at = {r["i"]: (r["tn"], r["ts"], r["tss"]) for r in layers[0].where(F.col("i").isin(mids)).select("i", "tn", "ts", "tss").collect()}
+            asked = [(lo, hi, a, min(b, j - 1), *at[j]) for (lo, hi, a, b), j in zip(wide, mids)]
+            total = F.col("cost") + (F.col("mss") - F.col("tss")) - F.pow(F.col("ms") - F.col("ts"), 2) / (F.col("mn") - F.col("tn"))
+            best = dict(within(layer, asked, "a", "b").groupBy("sub").agg(F.min(F.struct(total.alias("t"), "i"))["i"].alias("i")).select("sub", "i").collect())
+            small += [(j, j, best[k], best[k], 0.0, 0.0, 0.0) for k, j in enumerate(mids)]
+            wide = [s for k, ((lo, hi, a, b), j) in enumerate(zip(wide, mids)) for s in ((lo, j - 1, a, best[k]), (j + 1, hi, best[k], b)) if s[0] <= s[1]]
+
+        def solve(ends: pd.DataFrame, cuts: pd.DataFrame) -> pd.DataFrame:
+            return _solve(tuple(int(ends[k].iloc[0]) for k in ("lo", "hi", "a", "b")), ends, cuts)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("v")
-        v, w = pdf["v"].to_numpy(float), pdf["n"].to_numpy(float)
-        x = v - np.average(v, weights=w)  # the sums stay small
-        tw, ts, tss = (np.append(0.0, np.cumsum(t)) for t in (w, w * x, w * x * x))
-        m = len(v)
-        k = min(n, m)
-
-        def within(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            """Squared deviations of the values i..j-1."""
-            return (tss[j] - tss[i]) - (ts[j] - ts[i]) ** 2 / (tw[j] - tw[i])
-
-        cost = np.append(0.0, within(np.zeros(m, int), np.arange(1, m + 1)))
-        cuts = []
-        for c in range(2, k + 1):
-            new, cut = np.full(m + 1, np.inf), np.zeros(m + 1, int)
-            todo = [(c, m, c - 1, m - 1)]  # ends lo..hi whose best cut lies in a..b
-            while todo:
-                lo, hi, a, b = (np.array(t) for t in zip(*todo))
-                mid = (lo + hi) // 2
-                size = np.maximum(np.minimum(b, mid - 1) - a + 1, 1)
-                first = np.cumsum(size) - size
-                i = np.repeat(a - first, size) + np.arange(size.sum())
-                total = cost[i] + within(i, np.repeat(mid, size))
-                best = np.minimum.reduceat(total, first)
-                hit = np.flatnonzero(total == np.repeat(best, size))
-                at = i[hit[np.searchsorted(hit, first)]]
-                new[mid], cut[mid] = best, at
-                todo = [(l, d - 1, x0, y) for l, d, x0, y in zip(lo.tolist(), mid.tolist(), a.tolist(), at.tolist()) if l < d] + [
-                    (d + 1, h, y, x1) for h, d, x1, y in zip(hi.tolist(), mid.tolist(), b.tolist(), at.tolist()) if d < h]
-            cost = new
-            cuts.append(cut)
-        ends, j = [], m
-        for cut in reversed(cuts):
-            ends.append(float(v[j - 1]))
-            j = cut[j]
-        return pd.DataFrame({"breaks": [[float(v[0]), *reversed([*ends, float(v[j - 1])])]]})
-
-    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    return counts.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(solve, "breaks array<double>")
+        ends, cuts = within(layers[0], small, "lo", "hi"), within(layer, small, "a", "b")
+        cuts = cuts.select("sub", *[F.col(k).alias(k) for k in ("i", "tn", "ts", "tss", "cost")])
+        layer = materialize(ends.groupBy("sub").cogroup(cuts.groupBy("sub")).applyInPandas(solve, _LAYER))
+        layers.append(layer)
+    limits, j = [], m
+    for made in reversed(layers):
+        row = made.where(F.col("i") == j).select("v", "cut").first()
+        limits.append(row["v"])
+        j = row["cut"]
+    low = layers[0].where("i = 1").first()["v"]
+    release(counts, *layers)
+    return spark.createDataFrame([([low, *reversed(limits)],)], "breaks array<double>")

@@ -387,6 +387,26 @@ def _(spark, sf):
     return b.select(F.posexplode("breaks").alias("i", "b"))
 
 
+def _jenks_layer(c: int) -> str:
+    """Best cost and cut of every end with ``c`` classes, from all cuts of one class less."""
+    return f"""l{c} as (select e.i, min({{'c': p.c + (e.tss - p.tss) - (e.ts - p.ts) * (e.ts - p.ts) / (e.tn - p.tn), 'i': p.i}}) b,
+    any_value(e.v) v, any_value(e.tn) tn, any_value(e.ts) ts, any_value(e.tss) tss from l1 e join q{c - 1} p on p.i < e.i group by 1),
+q{c} as (select i, b.c c, b.i cut, v, tn, ts, tss from l{c})"""
+
+
+_JENKS = f"""with c as (select cast(l_quantity as double) v, cast(count(*) as double) n from lineitem group by 1), a as (select sum(v*n)/sum(n) m from c),
+l1 as (select row_number() over (order by v) i, v, sum(n) over w tn, sum(n*(v-m)) over w ts, sum(n*(v-m)*(v-m)) over w tss from c, a window w as (order by v)),
+q1 as (select i, tss-ts*ts/tn c, 0::bigint cut, v, tn, ts, tss from l1), {', '.join(_jenks_layer(c) for c in range(2, 6))},
+t5 as (select * from q5 order by i desc limit 1), {', '.join(f't{c} as (select q{c}.* from q{c} join t{c + 1} on q{c}.i = t{c + 1}.cut)' for c in (4, 3, 2, 1))}
+select 0 i, min(v) b from c union all {' union all '.join(f'select {c}, v from t{c}' for c in range(1, 6))}"""
+
+
+@query("class_breaks_jenks_quantity", _JENKS)
+def _(spark, sf):
+    b = cl.class_breaks(table(spark, sf, "lineitem"), "l_quantity", 5, "jenks")
+    return b.select(F.posexplode("breaks").alias("i", "b"))
+
+
 @query("assign_class", f"with m as (select min(o_totalprice) lo, max(o_totalprice) hi from orders) select o_orderkey, cast(least(greatest({'+'.join(f'cast(lo+{i}*(hi-lo)/5<o_totalprice as int)' for i in range(6))},1),5) as int) class_no from orders, m")
 def _(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")

@@ -18,9 +18,14 @@ from pyspark.sql import Window as W
 def work_dir(spark: SparkSession) -> str:
     """Folder of this application for tables that cut lineage, reachable by every executor.
 
-    Lies under ``spark.checkpoint.dir``, or under the session's warehouse where that is unset.
+    Lies under ``spark.checkpoint.dir``, or under the session's warehouse where that is
+    unset; on a cluster the latter must not be a folder of one machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local") and (base.startswith("file:") or "://" not in base):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share; the warehouse is on one machine")
     return f"{base.rstrip('/')}/terraloom-{spark.sparkContext.applicationId}"
 
 
@@ -61,40 +66,45 @@ def _width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def running_total(
-    df: DataFrame,
-    order: Sequence[Column | str],
-    weight: Column | str = "1",
-    keys: Sequence[str] = (),
-    out: str = "running",
-) -> DataFrame:
-    """Inclusive running sum of ``weight`` in ``order``, per ``keys``.
+def running_totals(df: DataFrame, order: Sequence[Column | str], weights: Mapping[str, Column | str], keys: Sequence[str] = ()) -> DataFrame:
+    """Inclusive running sums, one column for each of ``weights``, in ``order``, per ``keys``.
 
     Range partitioning on (keys, order) bounds every task; only one total per
     (key, range) is combined across tasks.  ``order`` must make rows distinct within a key.
     """
     keys = list(keys)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    weight = F.expr(weight) if isinstance(weight, str) else weight
+    named = {f"_w{k}": F.expr(w) if isinstance(w, str) else w for k, w in enumerate(weights.values())}
     placed = materialize(
-        df.withColumn("_w", weight)
+        df.withColumns(named)
         .repartitionByRange(_width(df.sparkSession), *keys, *order)
         .withColumn("_range", F.spark_partition_id())
     )
     before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         placed.groupBy(*keys, "_range")
-        .agg(F.sum("_w").alias("_sum"))
-        .select(*keys, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+        .agg(*[F.sum(w).alias(f"_sum{w}") for w in named])
+        .select(*keys, "_range", *[F.coalesce(F.sum(f"_sum{w}").over(before), F.lit(0)).alias(f"_offset{w}") for w in named])
     )
     inside = W.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return (
         placed.join(offsets, [*keys, "_range"])
-        .withColumn(out, F.col("_offset") + F.sum("_w").over(inside))
-        .drop("_w", "_range", "_offset")
+        .withColumns({out: F.col(f"_offset{w}") + F.sum(w).over(inside) for out, w in zip(weights, named)})
+        .drop(*named, "_range", *[f"_offset{w}" for w in named])
     )
 
 
+def running_total(
+    df: DataFrame,
+    order: Sequence[Column | str],
+    weight: Column | str = "1",
+    keys: Sequence[str] = (),
+    out: str = "running",
+) -> DataFrame:
+    """One running sum; see :func:`running_totals`."""
+    return running_totals(df, order, {out: weight}, keys)
+
+
 def global_row_number(df: DataFrame, order: Sequence[Column | str], out: str = "row_number") -> DataFrame:
     """1..n in ``order`` over all rows without a single-task window."""
     return running_total(df, order, out=out).withColumn(out, F.col(out).cast("bigint"))

@@ -325,6 +325,18 @@ def test_jenks_against_brute_force(spark):
     assert got == [d[0], d[best[0] - 1], d[best[1] - 1], d[-1]]
 
 
+@pytest.mark.parametrize("task", [7, 40])
+def test_jenks_in_small_tasks(spark, task):
+    """Ranges far above the size of a task are split by Spark; same limits as in one task."""
+    rng = np.random.default_rng(task)
+    values = np.round(np.concatenate([rng.normal(5, 1, 60), rng.normal(20, 3, 50), rng.exponential(40, 40)]), 1)
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    one = cl.jenks_breaks(df, "v", 5).first()["breaks"]
+    assert cl.jenks_breaks(df, "v", 5, task=task).first()["breaks"] == one and len(one) == 6
+    assert cl.jenks_breaks(df.where("v is null"), "v", 5).count() == 0
+    assert cl.jenks_breaks(df.limit(1), "v", 5).first()["breaks"] == [float(values[0])] * 2
+
+
 def test_jenks_is_exact_beyond_any_size(spark):
     values = [float(v) for v in [*range(1000), *range(2000, 3000), 1_000_000]]
     b = cl.class_breaks(spark.createDataFrame([(v,) for v in values], "v double"), "v", 4, "jenks").first()["breaks"]
