@@ -2,8 +2,13 @@
 
 Method: consensus of a host's pages.  Each page scores its containers and votes for the
 path (tags and classes without numbers) of the smallest one that holds most of its running
-text.  Votes are counted per host in Spark, and every page is then read again with the
-winning path of its host; a page that lacks it, or keeps little text there, uses its own vote.
+text, widened to the article around it.  Votes are counted per host in Spark, and every page
+is then read again with the winning path of its host; a page that lacks it, or keeps little
+text there, uses its own vote.
+
+Tags, roles and hidden elements leave text out for certain.  A class or id only makes an
+element suspect, and only if it speaks of nothing else; what is suspect comes back where it
+holds an article, or where the page has little other running text.
 """
 
 from __future__ import annotations
@@ -18,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraloom.llm import bpe
+from terraloom.llm import words as w
+from terraloom.scale import materialize
 
 MOST = 0.75  # share of the running text that a page's container must hold
 LEAST = 0.25  # share below which the host's container is not used
@@ -44,6 +51,12 @@ WORDS = set(
     "copyright legal disclaimer toolbar skip teaser teasers outbrain taboola paywall".split())
 HEADER_WORDS = {"header", "topbar"}
 NOT_ABOUT_ITSELF = {"has", "with", "no", "without", "is", "not"}
+#: Words that say nothing about the contents; a name of one of these and of WORDS only is suspect.
+NEUTRAL = set(
+    "area bar block body bottom box btn button buttons column container content global group inner item items left link links list main outer page panel "
+    "post posts primary right row secondary section site small text title top unit wrap wrapper".split())
+NEVER_SUSPECT = {"html", "body", "main", "article"}
+HEAVY = 200  # hosts with more than one page in so many are joined by broadcast
 CLOSED_BY = {  # an open element that a new one of these ends
     "p": BLOCK - {"html", "head", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}}
@@ -51,17 +64,20 @@ STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table"}
 
 @dataclass
 class Page:
-    """Containers of a page (parent, path, running text) and its blocks (container, text)."""
+    """Containers of a page (parent, path, running text, suspect element around or 0) and its blocks (container, text, suspect element)."""
 
     parents: list[int] = field(default_factory=lambda: [-1])
     paths: list[str] = field(default_factory=lambda: [""])
     weights: list[int] = field(default_factory=lambda: [0])
-    blocks: list[tuple[int, str]] = field(default_factory=list)
+    blocks: list[tuple[int, str, int]] = field(default_factory=list)
+    suspect: list[int] = field(default_factory=lambda: [0])  # running text of each suspect element; 0 stands for none
+    holds_article: set[int] = field(default_factory=set)  # suspect elements around an article
+    running: list[tuple[int, int, int]] = field(default_factory=list)  # container, suspect element, running text of each block
 
 
-def _names(tag: str, attributes: str) -> tuple[list[str], bool]:
-    """Class names without numbers, and whether the element is not part of an article."""
-    classes, out = [], False
+def _names(tag: str, attributes: str) -> tuple[list[str], bool, bool]:
+    """Class names without numbers, whether the element is left out, and whether its names make it suspect."""
+    classes, out, suspect = [], False, False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -71,17 +87,18 @@ def _names(tag: str, attributes: str) -> tuple[list[str], bool]:
         elif name in ("class", "id"):
             for word in value.split():
                 parts = _PART.findall(_CAMEL.sub(" ", word).lower())
-                if parts and parts[0] not in NOT_ABOUT_ITSELF and tag not in ("html", "body", "main"):
-                    out |= any(p in WORDS for p in parts) or parts[0] in HEADER_WORDS and len(parts) == 1 or parts in (["page", "header"], ["site", "header"])
+                about = parts[: next((k for k, p in enumerate(parts) if p in NOT_ABOUT_ITSELF), len(parts))]
+                if about and tag not in NEVER_SUSPECT and all(p in WORDS or p in NEUTRAL or p in HEADER_WORDS for p in about):
+                    suspect |= any(p in WORDS for p in about) or about[0] in HEADER_WORDS and len(about) == 1 or about in (["page", "header"], ["site", "header"])
                 if name == "class" and parts and tag != "body":  # a body's classes often tell pages apart
                     classes.append("-".join(parts))
-    return sorted(set(classes)), out
+    return sorted(set(classes)), out, suspect
 
 
 def parse(text: str) -> Page:
     """Tolerant reading of a page: unclosed and crossing tags, truncated ends, raw elements."""
     page = Page()
-    stack: list[tuple[str, int, bool, bool]] = []  # tag, container, left out, in an article
+    stack: list[tuple[str, int, bool, bool, int]] = []  # tag, container, left out, in an article, suspect element around
     buffer: list[str] = []
     link = links = 0  # depth of links; their characters in the buffer
     at, end = 0, len(text)
@@ -90,10 +107,10 @@ def parse(text: str) -> Page:
         nonlocal links
         if buffer:
             block = " ".join(markup.unescape("".join(buffer)).split())
-            _, container, out, _ = stack[-1] if stack else ("", 0, False, False)
+            _, container, out, _, mark = stack[-1] if stack else ("", 0, False, False, 0)
             if block and not out:
-                page.blocks.append((container, block))
-                page.weights[container] += max(0, len(block) - links)
+                page.blocks.append((container, block, mark))
+                page.running.append((container, mark, max(0, len(block) - links)))
             buffer.clear()
         links = 0
 
@@ -141,9 +158,14 @@ def parse(text: str) -> Page:
                             break
                         if stack[k][0] in STOPS.get(open_, CONTAINER):
                             break
-            _, parent, out, inside = stack[-1] if stack else ("", 0, False, False)
-            classes, other = _names(tag, attributes) if attributes else ([], False)
-            inside |= tag in ("article", "main")
+            _, parent, out, inside, mark = stack[-1] if stack else ("", 0, False, False, 0)
+            classes, other, suspect = _names(tag, attributes) if attributes else ([], False, False)
+            if tag in ("article", "main"):
+                inside = True
+                page.holds_article.update(x[4] for x in stack)
+            if suspect and not mark:
+                mark = len(page.suspect)
+                page.suspect.append(0)
             out |= other or tag in LEFT_OUT or tag == "header" and not inside
             container = parent
             if tag in CONTAINER:
@@ -151,10 +173,24 @@ def parse(text: str) -> Page:
                 page.parents.append(parent)
                 page.paths.append(f"{page.paths[parent]}>{'.'.join([tag, *classes])}")
                 page.weights.append(0)
-            stack.append((tag, container, out, inside))
+            stack.append((tag, container, out, inside, mark))
         elif tag == "hr":
             flush()
     flush()
+    return _judged(page)
+
+
+def _judged(page: Page) -> Page:
+    """Leave out the blocks of suspect elements, but for those around an article and, where little else has running text, the largest."""
+    for _, mark, n in page.running:
+        page.suspect[mark] += n
+    whole = sum(page.suspect)
+    largest = max(page.suspect[1:], default=0) if page.suspect[0] < (1 - MOST) * whole else whole + 1
+    out = {k for k, n in enumerate(page.suspect) if k and k not in page.holds_article and n < largest}
+    page.blocks = [b for b in page.blocks if b[2] not in out]
+    for container, mark, n in page.running:
+        if mark not in out:
+            page.weights[container] += n
     return page
 
 
@@ -166,20 +202,34 @@ def _totals(page: Page) -> list[int]:
 
 
 def vote(page: Page) -> str | None:
-    """Path of the smallest container that holds most of the running text."""
+    """Path of the smallest container that holds most of the running text, or of the article around it."""
     total = _totals(page)
     if not total[0]:
         return None
-    best = max((k for k in range(len(total)) if total[k] >= MOST * total[0]), key=lambda k: (page.paths[k].count(">"), -k))
+    best = k = max((k for k in range(len(total)) if total[k] >= MOST * total[0]), key=lambda k: (page.paths[k].count(">"), -k))
+    while k > 0:
+        if _last(page.paths[k]) in ("article", "main"):
+            return page.paths[k]
+        k = page.parents[k]
     return page.paths[best]
 
 
+def _last(path: str) -> str:
+    """Tag of the innermost element of a path."""
+    return path.rpartition(">")[2].partition(".")[0]
+
+
+def _same(own: str, path: str) -> bool:
+    """Whether a container is one that the path names: articles side by side are one article in parts, whatever their classes."""
+    return own == path or _last(path) == "article" == _last(own) and own.rpartition(">")[0] == path.rpartition(">")[0]
+
+
 def text_in(page: Page, path: str | None) -> tuple[str, int]:
     """Blocks within the containers of a path that have running text, and how much they have."""
     inside, total = [False] * len(page.parents), _totals(page)
     for k, own in enumerate(page.paths):
-        inside[k] = own == path and total[k] > 0 or k > 0 and inside[page.parents[k]]
-    return "\n\n".join(t for k, t in page.blocks if inside[k]), sum(x for k, x in enumerate(page.weights) if inside[k])
+        inside[k] = path is not None and _same(own, path) and total[k] > 0 or k > 0 and inside[page.parents[k]]
+    return "\n\n".join(t for k, t, _ in page.blocks if inside[k]), sum(x for k, x in enumerate(page.weights) if inside[k])
 
 
 def main_text(text: str, path: str | None) -> tuple[str, str | None]:
@@ -191,7 +241,7 @@ def main_text(text: str, path: str | None) -> tuple[str, str | None]:
         if weight and weight >= LEAST * sum(page.weights):
             return found, path
     if own is None:  # nothing but links, or nothing at all
-        return "\n\n".join(t for _, t in page.blocks), None
+        return "\n\n".join(t for _, t, _ in page.blocks), None
     return text_in(page, own)[0], own
 
 
@@ -200,7 +250,7 @@ def host_of(url: str):
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """``host`` and its winning ``path``: most votes, then the shorter and first one by name."""
+    """``host``, its winning ``path`` (most votes, then the shorter and first one by name) and its number of ``votes``."""
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,9 +259,9 @@ def host_paths(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "host": part.column(0), "path": pa.array([vote(parse(t)) if t else None for t in part.column(1).to_pylist()], pa.string())})
 
-    cast = pages.select(host_of("url").alias("host"), "html").mapInArrow(votes, "host string, path string").where("path is not null")
+    cast = pages.select(host_of("url").alias("host"), "html").mapInArrow(w.tidy(votes), "host string, path string").where("path is not null")
     counts = cast.groupBy("host", "path").agg(F.count("*").alias("votes"))
-    return counts.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), F.length("path"), "path")).alias("path"))
+    return counts.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), F.length("path"), "path")).alias("path"), F.sum("votes").alias("votes"))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -224,6 +274,9 @@ def extract_text(pages: DataFrame) -> DataFrame:
     sidebars, notices, adverts, forms, scripts, styles and comments are left out.  A null
     or empty html has an empty text; pages without a host vote together; repeated rows are
     kept.  An empty table gives an empty result.
+
+    Pages of a host with many pages are not placed together: at most ``HEAVY`` such hosts
+    are broadcast, all others are joined through a shuffle.
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,5 +289,12 @@ def extract_text(pages: DataFrame) -> DataFrame:
                     "n_chars": pa.array([len(t) for t, _ in found], pa.int64()), "path": pa.array([p for _, p in found], pa.string())})
 
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", host_of("url").alias("host"))
-    return rows.join(host_paths(pages), "host", "left").select("page_id", "url", "html", "path").mapInArrow(
-        extract, "page_id bigint, url string, text string, n_chars bigint, path string")
+    paths = materialize(host_paths(pages))
+    total = paths.agg(F.sum("votes").alias("n")).first()["n"] or 0
+    heavy = paths.where(F.col("votes") * HEAVY > total)  # fewer than HEAVY rows
+    others = paths.join(F.broadcast(heavy.select("host")), "host", "left_anti")
+    in_heavy = rows.join(F.broadcast(heavy), "host")
+    rest = rows.join(F.broadcast(heavy.select("host")), "host", "left_anti").join(others, "host", "left")
+    whole = in_heavy.unionByName(rest).select("page_id", "url", "html", "path")
+    return whole.mapInArrow(
+        w.tidy(extract), "page_id bigint, url string, text string, n_chars bigint, path string")
