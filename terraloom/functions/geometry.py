@@ -47,6 +47,11 @@ def _signed_area(edges: Column) -> Column:
     return _sum(edges, lambda e: e["x0"] * e["y1"] - e["x1"] * e["y0"]) / 2
 
 
+def rings_area(rings: Column) -> Column:
+    """Area of a multipolygon with counter-clockwise outer rings and clockwise holes."""
+    return F.aggregate(rings, F.lit(0e0), lambda acc, r: acc + _signed_area(ring_edges(r)))
+
+
 def polygon_area(edges: Column) -> Column:
     return F.abs(_signed_area(edges))
 
@@ -149,6 +154,24 @@ def _middles(e: Column, q: Column) -> Column:
         (e["x0"] + m["t"] * dx).alias("x"), (e["y0"] + m["t"] * dy).alias("y"), (-dy * m["h"]).alias("hx"), (dx * m["h"]).alias("hy")))
 
 
+def cut_places(e: Column, f: Column) -> Column:
+    """Where ``f`` cuts ``e``: array of (t, x, y) with the share t of the way along ``e``, ends of ``e`` left out."""
+    dx, dy = e["x1"] - e["x0"], e["y1"] - e["y0"]
+    length2 = dx * dx + dy * dy
+
+    def vertex(x: Column, y: Column) -> Column:
+        t = F.try_divide((x - e["x0"]) * dx + (y - e["y0"]) * dy, length2)
+        return F.when(_on(e, x, y), F.struct(t.alias("t"), x.alias("x"), y.alias("y")))
+
+    p, q = F.least(e, f), F.greatest(e, f)  # one order, so both edges get the same place
+    px, py, qx, qy = p["x1"] - p["x0"], p["y1"] - p["y0"], q["x1"] - q["x0"], q["y1"] - q["y0"]
+    along = F.try_divide((q["x0"] - p["x0"]) * qy - (q["y0"] - p["y0"]) * qx, px * qy - py * qx)
+    x, y = p["x0"] + along * px, p["y0"] + along * py
+    crossing = F.when(segments_cross(e, f), F.struct(F.try_divide((x - e["x0"]) * dx + (y - e["y0"]) * dy, length2).alias("t"), x.alias("x"), y.alias("y")))
+    found = F.array(vertex(f["x0"], f["y0"]), vertex(f["x1"], f["y1"]), crossing)
+    return F.filter(found, lambda c: c.isNotNull() & (c["t"] > TOL) & (c["t"] < 1 - TOL))
+
+
 def interiors_overlap(p: Column, q: Column) -> Column:
     """Some piece of an edge lies inside the other polygon, or both lie on the same side of a shared piece.
 

@@ -12,11 +12,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from terraloom.functions import geometry as geo
 from terraloom.operators.levels import KEY, met, tile_pairs
-from terraloom.scale import materialize
+from terraloom.operators.network import connected_components
+from terraloom.scale import materialize, release
 
 BOX = ["x0", "y0", "x1", "y1"]
 
@@ -219,17 +221,103 @@ def layer_extent(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     return one.withColumn("ring", geo.box_ring(*[F.col(c) for c in BOX]))
 
 
+def _one_way(e: DataFrame, by: list[str]) -> DataFrame:
+    """Edges with their lower left end first."""
+    swap = (F.col("x0") > F.col("x1")) | ((F.col("x0") == F.col("x1")) & (F.col("y0") > F.col("y1")))
+    pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a)
+    return e.select(*by, pick("x0", "x1"), pick("y0", "y1"), pick("x1", "x0"), pick("y1", "y0"))
+
+
+def cancel_shared(polys: DataFrame, by: str) -> DataFrame:
+    """Outline per key as edge rows for polygons that share whole edges (such as pixels): borders inside a key cancel."""
+    e = polys.select(by, F.explode("edges").alias("e")).select(by, "e.*")
+    return _one_way(e, [by]).groupBy(by, *BOX).agg(F.count("*").alias("_n")).where("_n = 1").drop("_n")
+
+
+def node_edges(edges: DataFrame, by: str) -> DataFrame:
+    """Edges (by, x0, y0, x1, y1) cut at every vertex and crossing of other edges of their key; equal pieces once.
+
+    Cuts at a vertex take the vertex's own coordinates, crossings are computed from the pair
+    in one order, so pieces of both edges end in the same place.
+    """
+    e = _one_way(edges, [by]).where("x0 <> x1 or y0 <> y1").distinct()
+    lo_y, hi_y = F.least("y0", "y1"), F.greatest("y0", "y1")
+    boxed = lambda p: e.select(F.col(by).alias("_k"), F.struct(*BOX).alias(p), *[c.alias(f"{p}{n}") for c, n in zip((F.col("x0"), lo_y, F.col("x1"), hi_y), BOX)])
+    pad = lambda df, p: df.withColumns({f"{p}{n}": F.col(f"{p}{n}") + (1 if n in ("x1", "y1") else -1) * geo.TOL * F.greatest(
+        F.abs(f"{p}x0"), F.abs(f"{p}x1"), F.abs(f"{p}y0"), F.abs(f"{p}y1")) for n in BOX})
+    abox, bbox = [f"a{n}" for n in BOX], [f"b{n}" for n in BOX]
+    left, right = tile_pairs(pad(boxed("a"), "a"), abox, pad(boxed("b"), "b"), bbox)
+    pairs = left.join(right.withColumnRenamed("_k", "_k2"), [*KEY]).where("_k = _k2 and a <> b").where(met(abox, bbox)).where(geo.segments_meet(F.col("a"), F.col("b")))
+    cuts = pairs.select("_k", "a", F.explode(geo.cut_places(F.col("a"), F.col("b"))).alias("cut"))
+    per = cuts.groupBy("_k", "a").agg(F.sort_array(F.collect_set("cut")).alias("cuts"))
+    whole = e.select(F.col(by).alias("_k"), F.struct(*BOX).alias("a")).join(per, ["_k", "a"], "left")
+    ends = F.concat(
+        F.array(F.struct(F.lit(0e0).alias("t"), F.col("a.x0").alias("x"), F.col("a.y0").alias("y"))), F.coalesce("cuts", F.array().cast("array<struct<t:double,x:double,y:double>>")),
+        F.array(F.struct(F.lit(1e0).alias("t"), F.col("a.x1").alias("x"), F.col("a.y1").alias("y"))))
+    row = whole.select("_k", ends.alias("p"))
+    steps = F.zip_with(F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p") - 1), lambda u, v: F.struct(
+        u["x"].alias("x0"), u["y"].alias("y0"), v["x"].alias("x1"), v["y"].alias("y1")))
+    made = row.select(F.col("_k").alias(by), F.explode(steps).alias("e")).select(by, "e.*").where("x0 <> x1 or y0 <> y1")
+    return _one_way(made, [by]).distinct()
+
+
 def dissolve(polys: DataFrame, by: str) -> DataFrame:
-    """Outline of the union per key as edge rows; borders shared inside a key cancel.
+    """Outline of the union per key as edge rows (by, x0, y0, x1, y1), the union to the left of each.
 
-    Input polygons must share whole edges (topologically clean).
+    Edges are first cut wherever edges of the same key meet.  A piece is on the outline when
+    exactly one of its sides lies in a polygon of the key, so borders shared in part, T-shaped
+    corners and overlaps go.  Null keys make no outline.
     """
-    e = polys.select(by, F.explode("edges").alias("e")).select(by, "e.*")
-    swap = (F.col("x0") > F.col("x1")) | ((F.col("x0") == F.col("x1")) & (F.col("y0") > F.col("y1")))
-    way = e.select(
-        by, F.when(swap, F.col("x1")).otherwise(F.col("x0")).alias("x0"), F.when(swap, F.col("y1")).otherwise(F.col("y0")).alias("y0"),
-        F.when(swap, F.col("x0")).otherwise(F.col("x1")).alias("x1"), F.when(swap, F.col("y0")).otherwise(F.col("y1")).alias("y1"))
-    return way.groupBy(by, *BOX).agg(F.count("*").alias("_n")).where("_n = 1").drop("_n")
+    pieces = node_edges(polys.select(by, F.explode("edges").alias("e")).select(by, "e.*").where(F.col(by).isNotNull()), by)
+    pieces = materialize(pieces.withColumn("_id", F.monotonically_increasing_id()))
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    beside = lambda s: F.struct(((F.col("x0") + F.col("x1")) / 2 - s * dy / 1000).alias("x"), ((F.col("y0") + F.col("y1")) / 2 + s * dx / 1000).alias("y"), F.lit(s).alias("s"))
+    spots = pieces.select("_id", F.col(by).alias("_k"), F.explode(F.array(beside(1), beside(-1))).alias("p")).select("_id", "_k", "p.*")
+    hit = points_in_polygons(spots, polys.select(F.col(by).alias("_k2"), "edges", *BOX)).where("_k = _k2")
+    sides = hit.select("_id", "s").distinct().groupBy("_id").agg(F.count("*").alias("n"), F.max("s").alias("s")).where("n = 1")
+    way = materialize(pieces.join(sides, "_id"))
+    release(pieces)
+    pick = lambda a, b: F.when(F.col("s") > 0, F.col(a)).otherwise(F.col(b)).alias(a)
+    return way.select(by, pick("x0", "x1"), pick("y0", "y1"), pick("x1", "x0"), pick("y1", "y0"))
+
+
+def _rings(table: pa.Table) -> pa.Table:
+    """Rings of one connected set of directed edges; where several go on, the one furthest to the left."""
+    rows = list(zip(*(table[c].to_pylist() for c in BOX)))
+    out: dict[tuple, list[int]] = {}
+    for k, (x0, y0, _, _) in enumerate(rows):
+        out.setdefault((x0, y0), []).append(k)
+    used, rings = [False] * len(rows), []
+    for first in sorted(range(len(rows)), key=rows.__getitem__):
+        if used[first]:
+            continue
+        ring, k = [rows[first][:2]], first
+        while k is not None:
+            used[k] = True
+            x0, y0, x1, y1 = rows[k]
+            ring.append((x1, y1))
+            go = [j for j in out.get((x1, y1), []) if not used[j]]
+            turn = lambda j: math.atan2(
+                (x1 - x0) * (rows[j][3] - y1) - (y1 - y0) * (rows[j][2] - x1), (x1 - x0) * (rows[j][2] - x1) + (y1 - y0) * (rows[j][3] - y1))
+            k = max(go, key=turn) if go and (x1, y1) != ring[0] else None
+        rings.append([{"x": x, "y": y} for x, y in ring])
+    key = table.column("_k").combine_chunks().take(pa.array([0] * len(rings), pa.int64()))
+    return pa.table({"_k": key, "ring": pa.array(rings, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))})
+
+
+def outline_rings(outline: DataFrame, by: str) -> DataFrame:
+    """One multipolygon per key: ``rings`` (closed; outer ones counter-clockwise, holes clockwise) of a dissolved outline.
+
+    Edges are grouped by the connected lines they form, so a task holds one of them.
+    """
+    e = outline.select(F.col(by).alias("_k"), *BOX)
+    place = lambda a, b: F.xxhash64("_k", a, b)
+    ends = e.select(place("x0", "y0").alias("src"), place("x1", "y1").alias("dst"))
+    parts = connected_components(ends.select(F.col("src").alias("node")), ends)
+    kind = dict(outline.dtypes)[by]
+    placed = e.withColumn("node", place("x0", "y0")).join(parts, "node").select("_k", *BOX, "component")
+    rings = placed.groupBy("_k", "component").applyInArrow(_rings, f"_k {kind}, ring array<struct<x:double,y:double>>")
+    return rings.groupBy("_k").agg(F.sort_array(F.collect_list("ring")).alias("rings")).withColumnRenamed("_k", by)
 
 
 # --- to and from rasters ---------------------------------------------------------------
@@ -305,4 +393,4 @@ def point_density(points: DataFrame, radius: float, cell: float) -> DataFrame:
 def pixel_outline(px: DataFrame, label: str) -> DataFrame:
     """Outline of labelled pixels as unit edges: borders between equal labels cancel."""
     ring = geo.box_ring(F.col("c").cast("double"), F.col("r").cast("double"), F.col("c") + 1e0, F.col("r") + 1e0)
-    return dissolve(px.withColumn("edges", geo.ring_edges(ring)), label)
+    return cancel_shared(px.withColumn("edges", geo.ring_edges(ring)), label)

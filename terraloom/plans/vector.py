@@ -204,7 +204,20 @@ def _(spark, sf):
 @query("dissolve", with_views("zone") + """, e as (select grp, x0, y0, x1, y0 y1 from zone union all select grp, x0, y1, x1, y1 from zone union all select grp, x0, y0, x0, y1 from zone union all select grp, x1, y0, x1, y1 from zone)
     select grp, x0, y0, x1, y1 from e group by all having count(*)=1""")
 def _(spark, sf):
-    return sp.dissolve(zone(spark, sf), "grp")
+    return sp.cancel_shared(zone(spark, sf), "grp")
+
+
+@query("dissolve_bricks", with_views("zone") + """, brick as (select grp, cast(zid % 8 * 2 + zid // 8 % 2 as double) x, cast(zid // 8 as double) y from zone),
+    unit as (select grp, x + i x, y + j y, 'h' d from brick, range(2) a(i), range(2) b(j) union all select grp, x + i * 2, y, 'v' from brick, range(2) a(i)),
+    line as (select grp, x, y, d from unit group by all having count(*) = 1)
+    select grp, count(*) / 1e0 "length", any_value(n) * 2e0 area from line join (select grp, count(*) n from brick group by 1) using (grp) group by 1""")
+def _(spark, sf):
+    row = F.expr("zid div 8")
+    b = view(spark, sf, "zone").select("grp", (F.col("zid") % 8 * 2 + row % 2).cast("double").alias("x0"), row.cast("double").alias("y0"))
+    b = b.withColumns({"x1": F.col("x0") + 2, "y1": F.col("y0") + 1}).withColumn("edges", geo.ring_edges(geo.box_ring(*[F.col(c) for c in sp.BOX])))
+    out = sp.dissolve(b, "grp")
+    length = out.groupBy("grp").agg(F.sum(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("length"))
+    return length.join(sp.outline_rings(out, "grp"), "grp").select("grp", "length", geo.rings_area(F.col("rings")).alias("area"))
 
 
 @query("rasterize", with_views("zone") + """, px as (select cast(a.range as bigint) r, cast(b.range as bigint) c from range((select cast(max(y1)*5 as bigint) from zone)) a cross join range(50) b)

@@ -132,6 +132,40 @@ def test_polygon_relations(spark):
     assert {r["a"] for r in sp.shape_pairs(s, one, "id", "id", geo.within).collect()} == {"inside"}
 
 
+def test_dissolve_against_a_raster(spark):
+    """Boxes that overlap, share parts of edges, meet in corners and enclose holes: outline length and area as counted on unit squares."""
+    rng = np.random.default_rng(21)
+    rows, want = [], {}
+    for key in range(12):
+        grid = np.zeros((14, 14), bool)
+        for k in range(rng.integers(2, 9)):
+            x, y, wide, high = (int(v) for v in rng.integers(1, 6, 4) + [rng.integers(0, 3), rng.integers(0, 3), 0, 0])
+            rows.append((f"{key}-{k}", key, ring((x, y), (x + wide, y), (x + wide, y + high), (x, y + high))))
+            grid[x : x + wide, y : y + high] = True
+        want[key] = (int(grid.sum()), int(sum((grid != np.roll(grid, 1, axis)).sum() for axis in (0, 1))))
+    df = spark.createDataFrame(rows, f"id string, k int, r {RING}")
+    polys = sp.as_shape(df, geo.ring_edges(F.col("r"))).drop("r")
+    out = sp.dissolve(polys, "k")
+    length = {r["k"]: r["s"] for r in out.groupBy("k").agg(F.sum(F.abs(F.col("x1") - F.col("x0")) + F.abs(F.col("y1") - F.col("y0"))).alias("s")).collect()}
+    rings = sp.outline_rings(out, "k").collect()
+    area = {r["k"]: r["a"] for r in sp.outline_rings(out, "k").select("k", geo.rings_area(F.col("rings")).alias("a")).collect()}
+    assert {k: (area[k], length[k]) for k in want} == {k: (float(a), float(b)) for k, (a, b) in want.items()}
+    for r in rings:
+        for line in r["rings"]:
+            assert line[0] == line[-1] and len({(p["x"], p["y"]) for p in line}) == len(line) - 1  # closed and simple
+
+
+def test_dissolve_of_slanted_parts(spark):
+    """A triangle set against part of a slanted border, in metres: one ring, the shared part gone."""
+    base = (500_000.0, 9_200_000.0)
+    at = lambda x, y: (base[0] + x, base[1] + y)
+    polys = shapes(spark, {"a": ring(at(0, 0), at(300, 0), at(0, 300)), "b": ring(at(200, 100), at(300, 300), at(100, 200))}).withColumn("k", F.lit(1))
+    out = sp.outline_rings(sp.dissolve(polys, "k"), "k").first()["rings"]
+    assert len(out) == 1 and len(out[0]) == 8 - 1
+    area = spark.createDataFrame([(out,)], f"r array<{RING}>").select(geo.rings_area(F.col("r"))).first()[0]
+    assert abs(area - (45_000 + 15_000)) < 1e-2
+
+
 def test_segment_distance(spark):
     row = spark.createDataFrame([(0.0, 0.0, 1.0, 0.0, 0.5, 2.0, 0.5, 1.0)], "a double,b double,c double,d double,e double,f double,g double,h double")
     c = [F.col(x) for x in "abcdefgh"]
