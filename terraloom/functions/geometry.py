@@ -102,17 +102,6 @@ def segments_meet(a: Column, b: Column) -> Column:
         segments_cross(a, b) | _on(a, b["x0"], b["y0"]) | _on(a, b["x1"], b["y1"]) | _on(b, a["x0"], a["y0"]) | _on(b, a["x1"], a["y1"]))
 
 
-def segments_connect(a: Column, b: Column) -> Column:
-    """A common end point."""
-    near = lambda u, v, size: F.abs(u - v) <= TOL * size
-
-    def same(p: str, q: str) -> Column:
-        size = _magnitude(a["x" + p], a["y" + p], b["x" + q], b["y" + q])
-        return near(a["x" + p], b["x" + q], size) & near(a["y" + p], b["y" + q], size)
-
-    return same("0", "0") | same("0", "1") | same("1", "0") | same("1", "1")
-
-
 def _any(p: Column, q: Column, test) -> Column:
     return F.exists(p, lambda a: F.exists(q, lambda b: test(a, b)))
 

@@ -251,6 +251,42 @@ def project_utm(lon: Column, lat: Column, zone: int, south: bool = False) -> tup
     return x, y + (10000000.0 if south else 0.0)
 
 
+def unproject_utm(x: Column, y: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
+    """UTM metres to longitude/latitude (WGS 84, degrees): inverse transverse Mercator series, below 1 mm within a zone."""
+    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
+    e2 = f * (2 - f)
+    ep2, root = e2 / (1 - e2), (1 - e2) ** 0.5
+    e1 = (1 - root) / (1 + root)
+    mu = (y - (10000000.0 if south else 0.0)) / (k0 * a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
+    foot = (
+        mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu)
+        + (151 * e1**3 / 96) * F.sin(6 * mu) + (1097 * e1**4 / 512) * F.sin(8 * mu))
+    bend = 1 - e2 * F.pow(F.sin(foot), 2)
+    n, r = a / F.sqrt(bend), a * (1 - e2) / F.pow(bend, 1.5)
+    t, c = F.pow(F.tan(foot), 2), ep2 * F.pow(F.cos(foot), 2)
+    d = (x - 500000.0) / (n * k0)
+    lat = foot - n * F.tan(foot) / r * (
+        F.pow(d, 2) / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep2) * F.pow(d, 4) / 24
+        + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep2 - 3 * c * c) * F.pow(d, 6) / 720)
+    lon = (d - (1 + 2 * t + c) * F.pow(d, 3) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep2 + 24 * t * t) * F.pow(d, 5) / 120) / F.cos(foot)
+    return F.degrees(lon) + float(zone * 6 - 183), F.degrees(lat)
+
+
+def to_srid(x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
+    """Coordinates of one reference system in another: 4326 (WGS 84) and its UTM zones, 32601-32660 north and 32701-32760 south."""
+    def utm(srid: int) -> tuple[int, bool]:
+        south, zone = divmod(srid - 32600, 100)
+        if south not in (0, 1) or not 1 <= zone <= 60:
+            raise ValueError(f"unknown reference system {srid}")
+        return zone, bool(south)
+
+    if source == target:
+        return x, y
+    if source != 4326:
+        x, y = unproject_utm(x, y, *utm(source))
+    return (x, y) if target == 4326 else project_utm(x, y, *utm(target))
+
+
 def density(pop: Column, area: Column) -> Column:
     """Inhabitants per square kilometre from an area in square metres."""
     return 1e6 * pop / area

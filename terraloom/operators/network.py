@@ -90,30 +90,43 @@ def cell_id(q: str = "q", r: str = "r"):
     return (F.col(q) * F.lit(2**31) + F.col(r)).cast("bigint")
 
 
-def service_area(edges: DataFrame, sources: DataFrame, cutoff: float, max_rounds: int = 10_000) -> DataFrame:
+def service_area(edges: DataFrame, sources: DataFrame, cutoff: float, max_rounds: int = 10_000, merge_every: int = 8) -> DataFrame:
     """(node, dist): network distance from the nearest source, up to ``cutoff``.
 
-    Edges (src, dst, length) are read in both directions; only nodes improved in the last
-    round are relaxed.
+    Edges (src, dst, length) are read in both directions.  A round relaxes the nodes that
+    the last one improved and writes only those it improves itself; every ``merge_every``
+    rounds these tables become one.  What a round looks up in them is joined to its few
+    candidates, so the distances found so far need not be placed again.
     """
     both = materialize(
         edges.select("src", "dst", "length").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "length"))
         .groupBy("src", "dst").agg(F.min("length").alias("length")))
-    best = materialize(sources.select("node").distinct().withColumn("dist", F.lit(0e0)))
-    front = best
+    front = materialize(sources.select("node").distinct().withColumn("dist", F.lit(0e0)))
+    known = [front]
+
+    def union() -> DataFrame:
+        every = known[0]
+        for more in known[1:]:
+            every = every.unionByName(more)
+        return every
+
     for _ in range(max_rounds):
-        reach = both.join(front.withColumnRenamed("node", "src"), "src").select(
+        reach = materialize(both.join(front.withColumnRenamed("node", "src"), "src").select(
             F.col("dst").alias("node"), (F.col("dist") + F.col("length")).alias("_d")
-        ).where(F.col("_d") <= cutoff).groupBy("node").agg(F.min("_d").alias("_d"))
-        merged = materialize(best.join(reach, "node", "full").select(
-            "node", F.least("dist", "_d").alias("dist"),
-            (F.col("_d").isNotNull() & (F.col("dist").isNull() | (F.col("_d") < F.col("dist")))).alias("better")))
-        release(best)
-        best = merged.select("node", "dist")
-        best._terraloom_path = merged._terraloom_path
-        front = merged.where("better").select("node", "dist")
-        if front.isEmpty():
+        ).where(F.col("_d") <= cutoff).groupBy("node").agg(F.min("_d").alias("_d")))
+        old = union().join(reach.select("node"), "node", "left_semi").groupBy("node").agg(F.min("dist").alias("dist"))
+        better = materialize(reach.join(old, "node", "left").where("dist is null or _d < dist").select("node", F.col("_d").alias("dist")))
+        release(reach)
+        if better.isEmpty():
+            best = materialize(union().groupBy("node").agg(F.min("dist").alias("dist")))
+            release(better, both, *known)
             return best
+        known.append(better)
+        front = better
+        if len(known) > merge_every:
+            one = materialize(union().groupBy("node").agg(F.min("dist").alias("dist")))
+            release(*known[:-1])  # the last one is the frontier
+            known = [one, better]
     raise RuntimeError("distances did not settle; raise max_rounds")
 
 

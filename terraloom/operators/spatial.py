@@ -98,6 +98,20 @@ def within_distance(a: DataFrame, b: DataFrame, a_id: str, b_id: str, d: float)
     return segment_pairs(a, b, a_id, b_id, lambda p, q: geo.segments_d2(p, q) <= d * d, pad=d)
 
 
+def connected_lines(lines: DataFrame, line: str) -> DataFrame:
+    """Ids (a < b) of lines (x0, y0, x1, y1 from end to end) with a common end point, within the tolerance of coordinates.
+
+    Only end points meet, in tiles as small as the tolerance, however long the lines are.
+    """
+    end = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    ends = lines.select(F.col(line).alias("id"), F.explode(F.array(end("x0", "y0"), end("x1", "y1"))).alias("p")).select("id", "p.*").distinct()
+    tol = geo.TOL * F.greatest(F.abs("x"), F.abs("y"))
+    box = lambda p: ends.select(F.col("id").alias(p), *[(F.col(c) + s * tol).alias(f"{p}{c}{k}") for k, s in ((0, -1), (1, 1)) for c in "xy"])
+    abox, bbox = (["".join((p, c)) for c in BOX] for p in "ab")
+    left, right = tile_pairs(box("a"), abox, box("b"), bbox)
+    return left.join(right, KEY).where("a < b").where(met(abox, bbox)).select("a", "b").distinct()
+
+
 class TileTree:
     """Hierarchy of occupied tiles over shapes with boxes rx0..ry1.
 

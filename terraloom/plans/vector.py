@@ -8,7 +8,7 @@ from pyspark.sql.types import DoubleType
 
 from terraloom.functions import geometry as geo
 from terraloom.functions.hexgrid import assign_cell, cell_boundary
-from terraloom.functions.scalars import project_utm
+from terraloom.functions.scalars import project_utm, to_srid
 from terraloom.operators import classify as cl, hexgraph as hg, models as md, network as nw, spatial as sp, tables as tb
 from terraloom.plans.imagery import rd
 from terraloom.plans.registry import query
@@ -173,8 +173,8 @@ def _(spark, sf):
 def _(spark, sf):
     p = view(spark, sf, "pts").select("pid", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
     nxt = p.select((F.col("pid") - 1).alias("pid"), F.col("x").alias("nx"), F.col("y").alias("ny"))
-    s = sp.as_shape(p.join(nxt, "pid"), F.array(geo.edge(F.col("x"), F.col("y"), F.col("nx"), F.col("ny"))))
-    return sp.segment_pairs(s, s, "pid", "pid", geo.segments_connect, ordered=True)
+    s = p.join(nxt, "pid").select("pid", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("nx").alias("x1"), F.col("ny").alias("y1"))
+    return sp.connected_lines(s, "pid")
 
 
 @query("polygons_touch", with_views("zone") + """ select a.zid a, b.zid b from zone a join zone b on a.zid<b.zid and a.x0<=b.x1 and b.x0<=a.x1 and a.y0<=b.y1 and b.y0<=a.y1""")
@@ -282,6 +282,16 @@ def _(spark, sf):
     return p.select("pid", F.round(e, 3).alias("easting"), F.round(n, 3).alias("northing"))
 
 
+@query("to_srid", with_views("pts") + " select pid, round(105+(x-5)/2,6) lon, round(-(y-10*trunc(y/10)),4) lat from pts")
+def _(spark, sf):
+    """From degrees to metres of one zone, of the zone's other half, and back."""
+    p = view(spark, sf, "pts").select("pid", (105 + (F.col("x") - 5) / 2).alias("lon"), F.round(-F.col("y") % 10, 4).alias("lat"))
+    p = p.withColumns(dict(zip("en", to_srid(F.col("lon"), F.col("lat"), 4326, 32748))))
+    p = p.withColumns(dict(zip("en", to_srid(F.col("e"), F.col("n"), 32748, 32648))))
+    lon, lat = to_srid(F.col("e"), F.col("n"), 32648, 4326)
+    return p.select("pid", F.round(lon, 6).alias("lon"), F.round(lat, 4).alias("lat"))
+
+
 # --- networks --------------------------------------------------------------------------
 
 _REACH = """, e as (select g.q*2147483648+g.r a, h.q*2147483648+h.r b from oc g cross join {disk} join oc h on h.q=g.q+dq and h.r=g.r+dr),

@@ -166,6 +166,12 @@ def test_dissolve_of_slanted_parts(spark):
     assert abs(area - (45_000 + 15_000)) < 1e-2
 
 
+def test_connected_lines(spark):
+    rows = [(1, 500_000.0, 10.0, 530_000.0, 20.0), (2, 530_000.0, 20.0, 530_001.0, 21.0), (3, 530_001.0, 21.0, 530_000.0, 20.0), (4, 1.0, 1.0, 2.0, 2.0), (5, 530_000.00001, 20.0, 9.0, 9.0), (6, 530_000.1, 20.0, 8.0, 8.0)]
+    got = sp.connected_lines(spark.createDataFrame(rows, "id int, x0 double, y0 double, x1 double, y1 double"), "id")
+    assert sorted(map(tuple, got.collect())) == [(1, 2), (1, 3), (1, 5), (2, 3), (2, 5), (3, 5)]
+
+
 def test_segment_distance(spark):
     row = spark.createDataFrame([(0.0, 0.0, 1.0, 0.0, 0.5, 2.0, 0.5, 1.0)], "a double,b double,c double,d double,e double,f double,g double,h double")
     c = [F.col(x) for x in "abcdefgh"]
@@ -325,6 +331,49 @@ def test_betweenness(spark):
         assert r.betweenness == pytest.approx(want[r.node])
 
 
+def test_projection_round_trip_below_a_millimetre(spark):
+    rng = np.random.default_rng(6)
+    at = pd.DataFrame({"lon": rng.uniform(102, 108, 500), "lat": rng.uniform(-80, 80, 500)})
+    df = spark.createDataFrame(at)
+    for srid in (32648, 32748):
+        x, y = sc.to_srid(F.col("lon"), F.col("lat"), 4326, srid)
+        lon, lat = sc.to_srid(F.col("x"), F.col("y"), srid, 4326)
+        got = df.withColumns({"x": x, "y": y}).select(F.max(F.abs(lon - F.col("lon")) * 111_320 * F.cos(F.radians("lat"))), F.max(F.abs(lat - F.col("lat")) * 111_320)).first()
+        assert got[0] < 1e-3 and got[1] < 1e-3
+    with pytest.raises(ValueError):
+        sc.to_srid(F.lit(0.0), F.lit(0.0), 4326, 3857)
+
+
+def test_service_area_on_a_long_road(spark):
+    """Many rounds with shortcuts found late: distances equal Dijkstra's."""
+    import heapq
+
+    rng = np.random.default_rng(2)
+    edges = [(i, i + 1, 1.0) for i in range(40)] + [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 40, 25), rng.integers(0, 40, 25), rng.uniform(2, 30, 25))]
+    got = nw.service_area(spark.createDataFrame(edges, "src long, dst long, length double"), spark.createDataFrame([(0,)], "node long"), 33.5, merge_every=3)
+    near, dist, todo = {}, {}, [(0.0, 0)]
+    for a, b, w in edges:
+        near.setdefault(a, []).append((b, w))
+        near.setdefault(b, []).append((a, w))
+    while todo:
+        d, n = heapq.heappop(todo)
+        if n in dist or d > 33.5:
+            continue
+        dist[n] = d
+        for b, w in near.get(n, []):
+            heapq.heappush(todo, (d + w, b))
+    assert {r["node"]: pytest.approx(r["dist"]) for r in got.collect()} == dist
+
+
+def test_betweenness_in_batches_and_two_components(spark):
+    edges = [(0, 1), (1, 2), (2, 3), (3, 0), (2, 4), (4, 5), (10, 11), (11, 12), (11, 13)]
+    nodes = spark.createDataFrame([(i,) for i in [*range(6), *range(10, 14), 20]], "node long")
+    table = spark.createDataFrame(edges, "src long, dst long")
+    local = {r["node"]: r["betweenness"] for r in nw.betweenness(nodes, table).collect()}
+    spread = {r["node"]: r["betweenness"] for r in nw.betweenness(nodes, table, local_edges=0, state=40).collect()}
+    assert local == pytest.approx(spread) and local[20] == 0 and local[11] == pytest.approx(6 / 90) and len(local) == 11
+
+
 def test_service_area(spark):
     edges = [(0, 1, 2.0), (1, 2, 2.0), (0, 2, 5.0), (2, 3, 9.0)]
     got = nw.service_area(spark.createDataFrame(edges, "src long, dst long, length double"), spark.createDataFrame([(0,)], "node long"), 6.0)
