@@ -258,7 +258,8 @@ def _(spark, sf):
     return jn.join_series_with_dates(view(spark, sf, "block_daily"), dates).select("norec", "d", "et0", "start_doy")
 
 
-@query("inner_join_suffixed", with_views("block_daily") + """ select a.norec, a.dt, a.nama nama_x, b.nama nama_y, a.et0, b.eta from block_daily a join block_daily b on a.norec=b.norec and a.dt=b.dt""")
+@query("inner_join_suffixed", with_views("block_daily") + """ select a.norec, a.dt, a.nama nama_x, b.nama nama_y, a.et0, b.eta from block_daily a
+    join (select norec, dt, min(nama) nama, min(eta) eta from block_daily group by 1, 2) b on a.norec=b.norec and a.dt=b.dt""")
 def _(spark, sf):
     b = view(spark, sf, "block_daily")
     return jn.inner_join_suffixed(b.select("norec", "dt", "nama", "et0"), b.select("norec", "dt", "nama", "eta"), ["norec", "dt"])

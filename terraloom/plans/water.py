@@ -81,8 +81,10 @@ def _(spark, sf):
 
 _KC = f"""case when day<=10 then {d(1.05)} when day<=40 then round({d(1.05)}+{d(1.15 - 1.05)}*(day-10)/30,3)
     when day<=80 then round({d(1.15)}+{d(1.2 - 1.15)}*(day-40)/40,3) else round({d(1.2)}+{d(0.95 - 1.2)}*(day-80)/30,3) end"""
-GROW = with_views("block_daily", "block_dates") + f""", st as (select b.norec, b.dt s from block_daily b join block_dates e on b.norec=e.norec and dayofyear(b.dt)=e.start_doy),
-    gr as (select b.*, cast(b.dt-s+1 as int) "day" from block_daily b join st on b.norec=st.norec and b.dt between s and s+109),
+# the start of a season is carried over the 110 days that follow it; a block has one start
+GROW = with_views("block_daily", "block_dates") + f""", st as (select b.*, max(case when dayofyear(b.dt)=e.start_doy then b.dt end) over (
+        partition by b.norec order by b.dt range between interval 109 days preceding and current row) s from block_daily b join block_dates e on b.norec=e.norec),
+    gr as (select * exclude (s), cast(date_diff('day', cast(s as date), cast(dt as date))+1 as int) "day" from st where s is not null),
     cw as (select *, {_KC} kc, et0*{_KC} cwr from gr),
     sat as (select *, case when cwr=0 and eta>0 then 1e0 else greatest(least(eta*{d(1.2)}/nullif(cwr,0),1e0),0e0) end si from cw)"""
 WEEK = GROW + ", wk as (select norec, strftime(dt,'%Y-W%U') year_week, avg(si) si, min(dt) dt from sat group by 1,2)"
