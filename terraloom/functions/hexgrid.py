@@ -70,3 +70,9 @@ def grid_disk(df: DataFrame, k: int, ring_from: int = 0, q: str = "q", r: str =
 
 def grid_ring(df: DataFrame, k: int) -> DataFrame:
     return grid_disk(df, k, ring_from=k)
+
+
+def mean_center(cells: DataFrame, size: float) -> DataFrame:
+    """Mean of the centres of the distinct cells (q, r): one row cx, cy."""
+    cx, cy = cell_center(size)
+    return cells.select("q", "r").distinct().agg(F.avg(cx).alias("cx"), F.avg(cy).alias("cy"))

@@ -42,21 +42,21 @@ def weekly_si(si: DataFrame) -> DataFrame:
 
 
 def weekly_resample(si: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Means per block and week ending Sunday; empty weeks inside the span stay as nulls."""
+    """Means per block and week ending Sunday, with the first season's start and end date of the block; empty weeks inside the span stay as nulls."""
     sunday = F.next_day(F.date_sub("dt", 1), "SUN")
     weekly = si.groupBy("norec", sunday.alias("week_end")).agg(
         *[F.avg(c).alias(c) for c in cols],
-        F.min_by("nama", "dt").alias("_nama"), F.min("dt").alias("_dt"))
+        F.min_by("nama", "dt").alias("_nama"), F.min_by(F.date_sub("dt", F.col("day") - 1), "dt").alias("_start"), F.min("dt").alias("_dt"))
     span = weekly.groupBy("norec").agg(
         F.expr("sequence(min(week_end), max(week_end), interval 7 days)").alias("weeks"),
-        F.min_by("_nama", "_dt").alias("nama"))
-    out = span.select("norec", "nama", F.explode("weeks").alias("week_end")).join(
-        weekly.drop("_nama", "_dt"), ["norec", "week_end"], "left")
+        F.min_by("_nama", "_dt").alias("nama"), F.min_by("_start", "_dt").alias("start_date"))
+    out = span.select("norec", "nama", "start_date", F.explode("weeks").alias("week_end")).join(
+        weekly.drop("_nama", "_start", "_dt"), ["norec", "week_end"], "left")
     w = F.col("week_end")
     return out.select(
         "norec", "nama", w, F.year(w).alias("year"), F.month(w).alias("month"), F.day(w).alias("day"),
         F.weekofyear(w).alias("week_of_year"), iso_week_key(w).alias("year_week"),
-        F.date_format(w, "MM/dd/yyyy").alias("date_new"), *[F.round(c, 4).alias(c) for c in cols])
+        F.date_format(w, "MM/dd/yyyy").alias("date_new"), "start_date", F.date_add("start_date", KC_DAYS - 1).alias("end_date"), *[F.round(c, 4).alias(c) for c in cols])
 
 
 def _spread(std: Column, mean: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terraloom.functions.hexgrid import assign_cell, cell_boundary, cell_center, grid_distance, grid_disk, grid_ring
+from terraloom.functions.hexgrid import assign_cell, cell_boundary, cell_center, grid_disk, grid_distance, grid_ring, mean_center
 from terraloom.operators import hexgraph as hg, occurrence as oc
 from terraloom.plans.registry import query
 from terraloom.scale import materialize
@@ -372,5 +372,4 @@ def _(spark, sf):
 
 @query("mean_center", OCC + f""" select round(avg((q+r/2e0)*{d(SIZE * 1.7320508075688772)}),6) cx, round(avg(r*{d(SIZE * 1.5)}),6) cy from oc""")
 def _(spark, sf):
-    cx, cy = cell_center(SIZE)
-    return occ(spark, sf).select("q", "r").distinct().agg(F.round(F.avg(cx), 6).alias("cx"), F.round(F.avg(cy), 6).alias("cy"))
+    return mean_center(occ(spark, sf), SIZE).select(F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))

@@ -135,11 +135,12 @@ def _(spark, sf):
 
 
 @query("weekly_resample", GROW + """, w as (select norec, nama, cast(dt+cast((7-isodow(dt)) as int) as date) week_end, avg(case when d not between 40 and 60 then si end) si, avg(case when d not between 40 and 60 then et0 end) et0 from sat group by 1,2,3),
+    fs as (select norec, cast(min(dt) as date) start_date, cast(cast(min(dt) as date)+109 as date) end_date from sat where "day"=1 group by 1),
     sp as (select norec, min(nama) nama, min(week_end) a, max(week_end) b from w group by 1),
     al as (select norec, nama, cast(unnest(generate_series(a,b,interval 7 day)) as date) week_end from sp)
     select norec, al.nama, week_end, cast(year(week_end) as int) "year", cast(month(week_end) as int) "month", cast(day(week_end) as int) "day", cast(weekofyear(week_end) as int) week_of_year,
-        strftime(week_end,'%Y')||'_W'||strftime(week_end,'%V') year_week, strftime(week_end,'%m/%d/%Y') date_new, round(si,4) si, round(et0,4) et0
-    from al left join (select * exclude(nama) from w) w using(norec, week_end)""")
+        strftime(week_end,'%Y')||'_W'||strftime(week_end,'%V') year_week, strftime(week_end,'%m/%d/%Y') date_new, start_date, end_date, round(si,4) si, round(et0,4) et0
+    from al join fs using(norec) left join (select * exclude(nama) from w) w using(norec, week_end)""")
 def _(spark, sf):
     gap = F.col("d").between(40, 60)  # weeks without values
     return ir.weekly_resample(sat(spark, sf).withColumns({c: F.when(~gap, F.col(c)) for c in ("si", "et0")}), ["si", "et0"])
