@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Window as W
 
-from terraloom.operators.raster import focal
+from terraloom.operators.raster import tiled, untile
 
 PIXEL = ["scene", "r", "c"]
 
@@ -109,25 +110,42 @@ def measure(paired: DataFrame, bands: Sequence[str], names: Sequence[str]) -> Da
     return paired.groupBy("scene").agg(*[METRICS[n](bands).alias(n) for n in names])
 
 
-def ssim(paired: DataFrame, bands: Sequence[str], size: int = 7, data_range: float | None = 1.0) -> DataFrame:
+def ssim_half(height: Column, width: Column) -> Column:
+    """Half the side of the largest odd window of at most 7 pixels that fits; at least 1 (a window of 3)."""
+    return F.least(F.greatest(F.floor((F.least(height, width) - 1) / 2), F.lit(1)), F.lit(3))
+
+
+def _window_sums(px: DataFrame, cols: Sequence[str], half: str) -> DataFrame:
+    """Sums over each pixel's own window of 2 * half + 1 pixels, half in 1, 2, 3.
+
+    Positions are stretched by 6 / half, so that one frame of 6 spans every window size.
+    """
+    for at, line in (("c", "r"), ("r", "c")):
+        run = W.partitionBy("scene", "_tr", "_tc", line).orderBy("_at").rangeBetween(-6, 6)
+        px = px.withColumn("_at", F.col(at) * (6 / F.col(half)).cast("bigint"))
+        px = px.withColumns({k: F.sum(k).over(run) for k in cols})
+    return px.drop("_at")
+
+
+def ssim(paired: DataFrame, bands: Sequence[str], data_range: float | None = 1.0) -> DataFrame:
     """Structural similarity per scene, averaged over bands.
 
-    Uniform ``size`` x ``size`` windows with sample covariance; windows that leave the
-    image do not count.  ``data_range=None`` takes each target band's own range.
+    Uniform windows of 7 x 7 pixels, shrunk to 5 or 3 for scenes too small for that, with
+    sample covariance; windows that leave the image do not count.  Scenes with a side below
+    3 have no row.  ``data_range=None`` takes each target band's own range.
     """
-    half, n = size // 2, size * size
-    cols = {}
+    spans = [] if data_range is not None else [(F.max(f"t_{b}") - F.min(f"t_{b}")).alias(f"span_{b}") for b in bands]
+    scenes = paired.groupBy("scene").agg(
+        ssim_half(F.max("r") - F.min("r") + 1, F.max("c") - F.min("c") + 1).alias("half"), *spans)
+    cols = {"one": F.lit(1)}
     for b in bands:
         cols |= {f"a_{b}": _p(b), f"b_{b}": _t(b), f"aa_{b}": _p(b) * _p(b), f"bb_{b}": _t(b) * _t(b), f"ab_{b}": _p(b) * _t(b)}
-    moments = paired.select(*PIXEL, *[v.alias(k) for k, v in cols.items()]).withColumn("one", F.lit(1))
-    win = focal(moments, [*cols, "one"], half, "sum", ["scene"]).where(F.col("sum_one") == n)
-    span = None
-    if data_range is None:
-        span = paired.groupBy("scene").agg(*[(F.max(f"t_{b}") - F.min(f"t_{b}")).alias(f"span_{b}") for b in bands])
-        win = win.join(span, "scene")
+    moments = paired.select(*PIXEL, *[v.alias(k) for k, v in cols.items()]).join(scenes, "scene")
+    n = F.pow(2 * F.col("half") + 1, 2)
+    win = untile(_window_sums(tiled(moments, 3, ["scene"]), list(cols), "half")).where(F.col("one") == n)
     aggs = []
     for b in bands:
-        s = lambda k: F.col(f"sum_{k}_{b}") / n
+        s = lambda k: F.col(f"{k}_{b}") / n
         ux, uy = s("a"), s("b")
         norm = n / (n - 1)
         vx, vy, vxy = norm * (s("aa") - ux * ux), norm * (s("bb") - uy * uy), norm * (s("ab") - ux * uy)
@@ -137,12 +155,6 @@ def ssim(paired: DataFrame, bands: Sequence[str], size: int = 7, data_range: flo
     return win.groupBy("scene").agg((_sum(aggs) / len(bands)).alias("ssim"))
 
 
-def ssim_window(height: int, width: int, limit: int = 7) -> int:
-    """Largest odd window up to ``limit`` that fits, at least 3."""
-    w = min(limit, height, width)
-    return max(3, w - 1 if w % 2 == 0 else w)
-
-
 def evaluate(pred: DataFrame, target: DataFrame, bands: Sequence[str], scale: int = 3) -> DataFrame:
     """PSNR, SSIM, SAM and ERGAS per image."""
     paired = pair(pred, target, bands)

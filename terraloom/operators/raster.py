@@ -21,14 +21,15 @@ from terraloom.scale import exact_percentiles
 TILE = 256
 
 
-def _tiled(px: DataFrame, k: int, keys: Sequence[str], tile: int) -> DataFrame:
+def tiled(px: DataFrame, k: int, keys: Sequence[str], tile: int = TILE) -> DataFrame:
+    """Pixels copied to every tile (_tr, _tc) they or their ``k`` neighbours lie in, one shuffle."""
     def near(c: str) -> Column:
         return F.explode(F.sequence(F.floor((F.col(c) - k) / tile), F.floor((F.col(c) + k) / tile)))
 
     return px.withColumn("_tr", near("r")).withColumn("_tc", near("c")).repartition(*keys, "_tr", "_tc")
 
 
-def _untile(df: DataFrame, tile: int) -> DataFrame:
+def untile(df: DataFrame, tile: int = TILE) -> DataFrame:
     """Keep each pixel's own tile, drop halo copies."""
     own = (F.floor(F.col("r") / tile) == F.col("_tr")) & (F.floor(F.col("c") / tile) == F.col("_tc"))
     return df.where(own).drop("_tr", "_tc")
@@ -41,11 +42,11 @@ def _axes(keys: Sequence[str]):
 def neighbours(px: DataFrame, value: str, k: int = 1, keys: Sequence[str] = (), tile: int = TILE) -> DataFrame:
     """Add ``nb``: array of 2k+1 rows (north first) of 2k+1 values (west first); missing is NULL."""
     along, down = _axes(keys)
-    t = _tiled(px, k, keys, tile)
+    t = tiled(px, k, keys, tile)
     row = F.array(*[F.first(value).over(along.rangeBetween(d, d)) for d in range(-k, k + 1)])
     t = t.withColumn("_row", row)
     t = t.withColumn("nb", F.array(*[F.first("_row").over(down.rangeBetween(d, d)) for d in range(-k, k + 1)]))
-    return _untile(t.drop("_row"), tile)
+    return untile(t.drop("_row"), tile)
 
 
 def focal(
@@ -53,7 +54,7 @@ def focal(
 ) -> DataFrame:
     """Moving-window min, max, mean, sum or count of the valid pixels within ``radius``."""
     along, down = _axes(keys)
-    t = _tiled(px, radius, keys, tile)
+    t = tiled(px, radius, keys, tile)
     widths = {d: radius if shape == "square" else int(math.sqrt(radius * radius - d * d)) for d in range(-radius, radius + 1)}
     parts = {"min": ["min"], "max": ["max"], "sum": ["sum"], "count": ["count"], "mean": ["sum", "count"]}[how]
     fns = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
@@ -75,7 +76,7 @@ def focal(
         for c in cols
     }
     out = out.withColumns({f"{how}_{c}": v for c, v in final.items()})
-    return _untile(out.drop(*[c for c in out.columns if c.startswith(("_h_", "_v_"))]), tile)
+    return untile(out.drop(*[c for c in out.columns if c.startswith(("_h_", "_v_"))]), tile)
 
 
 def _gradient(df: DataFrame, cell: float) -> DataFrame:
@@ -396,38 +397,6 @@ def normalize(px: DataFrame, how: str, keys: Sequence[str] = ("scene", "band"),
     return j.withColumn(value, out).select(*px.columns)
 
 
-def _window_valid(px: DataFrame, bands: Sequence[str], size: int, stride: int, nodata: float, dims: DataFrame) -> DataFrame:
-    """Valid share of every regular window; windows are (scene, y0, x0) origins in pixels."""
-    ok = sum(((F.col(b) != nodata).cast("int") for b in bands), F.lit(0))
-    j = px.join(dims, ["scene"])
-
-    def origins(c: str, limit: str) -> Column:
-        first = F.greatest(F.ceil((F.col(c) - size + 1) / stride), F.lit(0))
-        last = F.least(F.floor(F.col(c) / stride), F.floor((F.col(limit) - size) / stride))
-        return F.explode(F.when(last >= first, F.sequence(first, last)))
-
-    w = j.withColumn("y0", origins("r", "h")).withColumn("x0", origins("c", "w")).withColumns(
-        {"y0": F.col("y0") * stride, "x0": F.col("x0") * stride})
-    return w.groupBy("scene", "y0", "x0").agg((F.sum(ok) / F.lit(float(size * size * len(bands)))).alias("valid"))
-
-
-def extract_patches(
-    lr: DataFrame, hr: DataFrame, bands: Sequence[str], size: int = 64, scale: int = 3, stride: int | None = None,
-    min_valid: float = 0.9, nodata: float = 0.0,
-) -> DataFrame:
-    """Origins (scene, y0, x0 in LR pixels) of patch pairs valid on both sides."""
-    stride = stride or size
-    dim = lambda px: px.groupBy("scene").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
-    ld, hd = dim(lr).alias("l"), dim(hr).alias("h")
-    dims = ld.join(hd, "scene").select(
-        "scene", F.least(F.col("l.h"), F.floor(F.col("h.h") / scale)).alias("h"), F.least(F.col("l.w"), F.floor(F.col("h.w") / scale)).alias("w"))
-    a = _window_valid(lr, bands, size, stride, nodata, dims)
-    b = _window_valid(hr, bands, size * scale, stride * scale, nodata, dims.withColumns({"h": F.col("h") * scale, "w": F.col("w") * scale}))
-    b = b.select("scene", (F.col("y0") / scale).cast("bigint").alias("y0"), (F.col("x0") / scale).cast("bigint").alias("x0"), F.col("valid").alias("hr_valid"))
-    return a.withColumnRenamed("valid", "lr_valid").join(b, ["scene", "y0", "x0"]).where(
-        (F.col("lr_valid") >= min_valid) & (F.col("hr_valid") >= min_valid))
-
-
 def patch_pixels(px: DataFrame, patches: DataFrame, size: int, scale: int = 1) -> DataFrame:
     """Pixels of each patch with coordinates inside the patch."""
     n = size * scale
@@ -443,37 +412,6 @@ def seeded(seed: int, *key: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
 
 
-def valid_share(px: DataFrame, bands: Sequence[str], size: int, nodata: float = 0.0) -> DataFrame:
-    """(scene, h, w, y0, x0, valid): share of valid values in each window that fits, from running sums along rows, then columns."""
-    dims = px.groupBy("scene").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w")).where((F.col("h") > size) & (F.col("w") > size))
-    rows = dims.select("scene", "h", "w", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("h").cast("bigint") - 1)).alias("r"))
-    grid = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("w").cast("bigint") - 1)).alias("c"))
-    ok = sum((F.coalesce((F.col(b) != nodata).cast("int"), F.lit(0)) for b in bands), F.lit(0))
-    marked = grid.join(px.select("scene", F.col("r").cast("bigint").alias("r"), F.col("c").cast("bigint").alias("c"), ok.alias("_ok")), ["scene", "r", "c"], "left")
-    along = marked.withColumn("_row", F.sum(F.coalesce("_ok", F.lit(0))).over(W.partitionBy("scene", "r").orderBy("c").rowsBetween(0, size - 1)))
-    down = along.withColumn("_all", F.sum("_row").over(W.partitionBy("scene", "c").orderBy("r").rowsBetween(0, size - 1)))
-    return down.where((F.col("r") <= F.col("h") - size) & (F.col("c") <= F.col("w") - size)).select(
-        "scene", "h", "w", F.col("r").alias("y0"), F.col("c").alias("x0"), (F.col("_all") / float(size * size * len(bands))).alias("valid"))
-
-
-def random_patches(
-    px: DataFrame, bands: Sequence[str], size: int, n: int, seed: int, min_valid: float = 0.9, nodata: float = 0.0
-) -> DataFrame:
-    """The ``n`` valid origins of each scene with the smallest seeded number, all if there are fewer.
-
-    A scene without any gets its centre, with ``valid`` false.
-    """
-    share = valid_share(px, bands, size, nodata).withColumn("_u", F.when(
-        F.col("valid") >= min_valid, seeded(seed, F.lit("o"), F.col("scene"), F.col("y0"), F.col("x0"))))
-    good = share.where(F.col("_u").isNotNull()).withColumn("_part", F.pmod(F.col("y0"), F.lit(64)))
-    few = good.withColumn("patch", F.row_number().over(W.partitionBy("scene", "_part").orderBy("_u", "y0", "x0"))).where(F.col("patch") <= n)
-    best = few.withColumn("patch", F.row_number().over(W.partitionBy("scene").orderBy("_u", "y0", "x0"))).where(F.col("patch") <= n)
-    centre = lambda c: (F.floor(F.col(c) / 2) - size // 2).cast("bigint")
-    none = share.groupBy("scene", "h", "w").agg(F.count("_u").alias("_n")).where("_n = 0")
-    return best.select("scene", "patch", "y0", "x0", F.lit(True).alias("valid")).unionByName(
-        none.select("scene", F.lit(1).alias("patch"), centre("h").alias("y0"), centre("w").alias("x0"), F.lit(False).alias("valid")))
-
-
 def augment(patches: DataFrame, size: int, seed: int, key: Sequence[str] = ("scene", "y0", "x0")) -> DataFrame:
     """Seeded flips and quarter turns of (pr, pc); the same key turns both resolutions alike."""
     cols = [F.col(k) for k in key]
@@ -489,19 +427,23 @@ def augment(patches: DataFrame, size: int, seed: int, key: Sequence[str] = ("sce
     }).drop("_p", "_q", "_k")
 
 
-def jitter(patches: DataFrame, bands: Sequence[str], seed: int, amount: float = 0.1, key: Sequence[str] = ("scene", "y0", "x0")) -> DataFrame:
-    """Per-band gain in 1 +- amount."""
+def jitter(patches: DataFrame, bands: Sequence[str], seed: int, amount: float = 0.05, key: Sequence[str] = ("scene", "y0", "x0")) -> DataFrame:
+    """Per-band gain in 1 +- amount; the same key gives both resolutions the same gain."""
     cols = [F.col(k) for k in key]
     return patches.withColumns({
         b: F.col(b) * (1 + (2 * seeded(seed, F.lit(b), *cols) - 1) * amount) for b in bands})
 
 
-def cutout(patches: DataFrame, bands: Sequence[str], size: int, hole: int, seed: int, key: Sequence[str] = ("scene", "y0", "x0")) -> DataFrame:
-    """Zero one seeded square hole per patch."""
-    cols = [F.col(k) for k in key]
+def cutout(
+    patches: DataFrame, bands: Sequence[str], size: int, seed: int, fraction: float = 0.1, chance: float = 0.5,
+    key: Sequence[str] = ("scene", "y0", "x0"),
+) -> DataFrame:
+    """Zero one seeded square hole, ``fraction`` of the side wide, in a ``chance`` share of the patches."""
+    cols, hole = [F.col(k) for k in key], int(size * fraction)
     y, x = (F.floor(seeded(seed, F.lit(t), *cols) * (size - hole + 1)) for t in ("cy", "cx"))
     inside = (F.col("pr") >= y) & (F.col("pr") < y + hole) & (F.col("pc") >= x) & (F.col("pc") < x + hole)
-    return patches.withColumns({b: F.when(inside, 0e0).otherwise(F.col(b)) for b in bands})
+    hit = inside & (seeded(seed, F.lit("cut"), *cols) < chance)
+    return patches.withColumns({b: F.when(hit, 0e0).otherwise(F.col(b)) for b in bands})
 
 
 def tile_origins(dims: DataFrame, size: int, overlap: int) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from terraloom.functions.fixed_values import PRIORITY_WEIGHTS, RESISTANCE
 from terraloom.functions.hexgrid import assign_cell, cell_boundary, cell_center, grid_disk, grid_distance, grid_ring, mean_center
-from terraloom.operators import hexgraph as hg, occurrence as oc
+from terraloom.operators import hexgraph as hg, network as nw, occurrence as oc, raster as rs
 from terraloom.plans.registry import query
 from terraloom.scale import materialize
 from terraloom.plans.sqltext import SIZE, SLOPE, YEAR_TESTS, YEARS, d, disk, grid, hexed, occ_cells, trend
@@ -165,15 +166,23 @@ def _(spark, sf):
     return oc.threatened_count(occ(spark, sf), THREATENED)
 
 
-def parts(o: DataFrame) -> DataFrame:
-    """The measured parts of the priority index per occupied cell."""
+def permeability(spark: SparkSession, sf: str) -> DataFrame:
+    """Permeability per cell from the land-cover pixels whose centres lie in it."""
+    px = view(spark, sf, "dem").select(F.col("r").alias("pr"), F.col("c").alias("pc"), "cls")
+    at = assign_cell(px.withColumns({"x": F.col("pc") / 10 + 0.05, "y": F.col("pr") / 10 + 0.05}), "x", "y", SIZE)
+    return rs.permeability(px, at.select("pr", "pc", "q", "r"), ["q", "r"], on=("pr", "pc"))
+
+
+def parts(o: DataFrame, perm: DataFrame | None = None) -> DataFrame:
+    """The measured parts of the priority index per occupied cell; permeability is 50 where nothing is known."""
     g = grid_of(o)
     dv = oc.diversity(o).select("q", "r", F.col("s").alias("richness"), F.col("shannon_h").alias("diversity"))
     conn = hg.connectivity(g, o).select("q", "r", F.col("k1").alias("connectivity"))
-    return (
+    out = (
         dv.join(conn, ["q", "r"], "left").join(oc.threatened_count(o, THREATENED), ["q", "r"])
         .withColumn("co_occurrence", F.col("richness") * (F.col("richness") - 1) / 2e0)
     )
+    return out if perm is None else out.join(perm, ["q", "r"], "left").fillna({"permeability": 50.0})
 
 
 K1 = f""", k1 as (select g.q, g.r, count(oc.q) k1 from grid g cross join {disk(1, 1)} join grid h on h.q=g.q+dq and h.r=g.r+dr
@@ -199,6 +208,21 @@ def _(spark, sf):
     return oc.priority_index(parts(compact(spark, sf)), WEIGHTS)
 
 
+_PERM = ", " + with_views("dem")[len("with recursive "):] + ", lc as (select cls, c/1e1+5e-2 x, r/1e1+5e-2 y from dem), " + hexed("lc") + f""",
+    pm as (select q, r, round(100-sum(case cls {' '.join(f'when {k} then {v}' for k, v in RESISTANCE.items())} else 50 end)/cast(count(*) as double),2) permeability
+        from lc_c where cls between 1 and 10 group by 1,2),
+    six as (select parts.*, coalesce(permeability,50e0) permeability from parts left join pm using(q,r))"""
+_NORM6 = {c: v.replace("from parts", "from six") for c, v in _NORM.items()}
+_NORM6["permeability"] = _NORM["richness"].replace("richness", "permeability").replace("from parts", "from six")
+
+
+@query("priority_index_six_parts", PARTS + _PERM + f""", p0 as (select *, round(0e0+{'+'.join(f'{_NORM6[c]}*{d(w)}' for c, w in PRIORITY_WEIGHTS.items())},4) priority_index from six)
+    select *, case when priority_index>={d(0.7)} then 'CRITICAL' when priority_index>={d(0.5)} then 'HIGH' when priority_index>={d(0.3)} then 'MEDIUM' else 'LOW' end tier,
+        row_number() over(order by priority_index desc, q, r) priority_rank from p0""")
+def _(spark, sf):
+    return oc.priority_index(parts(compact(spark, sf), permeability(spark, sf)), PRIORITY_WEIGHTS)
+
+
 @query("spearman_matrix", PARTS + f""", rk as (select {', '.join(f'rank() over(order by {c})+(count(*) over(partition by {c})-1)/2e0 {c}' for c in WEIGHTS)} from parts)
     """ + " union all ".join(f"select '{a}' a, '{b}' b, round(corr({a},{b}),4) rho from rk"
                              for i, a in enumerate(WEIGHTS) for b in list(WEIGHTS)[i:]))

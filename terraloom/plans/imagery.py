@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terraloom.functions import scalars as sc
 from terraloom.functions.fixed_values import ALBEDO_WEIGHTS, RESISTANCE
-from terraloom.operators import metrics as mt, raster as rs
+from terraloom.operators import grids as gr, metrics as mt, raster as rs
 from terraloom.plans.registry import query
 from terraloom.plans.sqltext import d
 from terraloom.sources.fixtures import view, with_views
@@ -142,6 +142,41 @@ def _(spark, sf):
     return rd(rs.resample(img, "b1", 3, "cubic", ["scene"]), ["b1"], 8)
 
 
+# pixels of 3 m from (500000, 9200000); targets of 10/3 m (and 7.5 m) from an origin 1.7 m off
+_NEAR = "case when x>=-5e-1 and x<5e-1 then 1e0 else 0e0 end"
+_LINEAR = "greatest(1-abs(x),0e0)"
+_GRIDS = {"nearest": (10 / 3, _NEAR, 1), "bilinear": (7.5, _LINEAR, 3), "cubic": (10 / 3, _cubic("abs(x)"), 3)}
+
+
+def _axis_sql(axis: str, size: float, kernel: str, reach: int, sign: str, n: str) -> str:
+    """Weights (scene, <axis> of the source, target index, w) along one axis."""
+    s, low = ("-3e0", "9200000e0") if sign == "-" else ("3e0", "500000e0")
+    t = f"({sign}{d(size)})"
+    stretch = "1e0" if kernel == _NEAR else f"greatest({t}/{s},1e0)"
+    return f"""(select scene, src {axis}, i t{axis}, w from (select scene, i, src, ({kernel}) w from (
+        select scene, i, src, (p-src)/{stretch} x from (select scene, i, p, cast(floor(p) as bigint)+k.range-{reach} src from (
+            select scene, n, i.range i, i.range*({t}/{s})+(({low}{sign}{d(1.7)}+{t}/2-{low})/{s}-5e-1) p from (select scene, {n} n from dm) cross join range(60) i)
+        cross join range({2 * reach + 2}) k where i<floor(n*3e0/{d(size)}) and p>=-5e-1 and p<n-5e-1))) where w<>0)"""
+
+
+for _how, (_size, _kern, _reach) in _GRIDS.items():
+    def _onto(spark, sf, how=_how, size=_size):
+        img = view(spark, sf, "img").select("scene", "r", "c", (F.col("b1") * 0.7390851332).alias("b1"), F.when(
+            F.col("b2") > 0.2, F.col("b2") * 0.7390851332).alias("b2"))
+        dims = gr.image_size(img)
+        grid = lambda x, y, d, n: dims.select(
+            "scene", F.lit(x).alias("x0"), F.lit(y).alias("y0"), F.lit(d).alias("dx"), F.lit(-d).alias("dy"), n("w").alias("width"), n("h").alias("height"))
+        src = grid(500000e0, 9200000e0, 3e0, F.col)
+        dst = grid(500000e0 + 1.7, 9200000e0 - 1.7, size, lambda c: F.floor(F.col(c) * 3e0 / size))
+        return rd(gr.resample_to(img, ["b1", "b2"], src, dst, how), ["b1", "b2"], 8)
+
+    query(f"resample_onto_grid_{_how}", with_views("img") + f""", dm as (select scene, max(r)+1 h, max(c)+1 w from img group by 1),
+        wr as {_axis_sql('r', _size, _kern, _reach, '-', 'h')}, wc as {_axis_sql('c', _size, _kern, _reach, '+', 'w')}
+        select scene, tr r, tc c, round(sum(wr.w*wc.w*(b1*{d(0.7390851332)}))/nullif(sum(wr.w*wc.w) filter(b1 is not null),0),8) b1,
+            round(sum(wr.w*wc.w*(b2*{d(0.7390851332)})) filter(b2>2e-1)/nullif(sum(wr.w*wc.w) filter(b2>2e-1),0),8) b2
+        from img join wr using(scene,r) join wc using(scene,c) group by 1,2,3""")(_onto)
+
+
 _SHADOW = with_views("img") + f""", f as (select scene, r, c, b1>75e-2 cloud, b2<3e-1 dark, cast(scene*37%360 as double) az from img),
     st as (select distinct scene, r-cast(floor(i.range*sin(radians(90-az))+5e-1) as bigint) r, c+cast(floor(i.range*cos(radians(90-az))+5e-1) as bigint) c from f cross join range(1,21) i where cloud),
     fl as (select f.*, case when cloud or (dark and st.r is not null) then 1 else 0 end flag from f left join st on st.scene=f.scene and st.r=f.r and st.c=f.c),
@@ -325,14 +360,18 @@ _PATCH = with_views("img") + _HR + """, dm as (select scene, max(r)+1 h, max(c)+
     hv as (select o.scene, y0, x0, sum(cast(b1<>0 as int)+cast(b2<>0 as int))/1800e0 hr_valid from o join hr on hr.scene=o.scene and hr.r>=y0*3 and hr.r<y0*3+30 and hr.c>=x0*3 and hr.c<x0*3+30 group by 1,2,3)"""
 
 
-@query("extract_patches", _PATCH + f" select scene, y0, x0, round(lr_valid,6) lr_valid, round(hr_valid,6) hr_valid from lv join hv using(scene,y0,x0) where lr_valid>={d(0.9)} and hr_valid>={d(0.9)}")
-def _(spark, sf):
+def image_pair(spark, sf):
+    """An image and its version with pixels three times smaller and more missing values."""
     img = view(spark, sf, "img").select("scene", "r", "c", "b1", "b2")
     three = F.sequence(F.lit(0), F.lit(2))
-    hr = img.withColumn("i", F.explode(three)).withColumn("j", F.explode(three)).select(
+    return img, img.withColumn("i", F.explode(three)).withColumn("j", F.explode(three)).select(
         "scene", (F.col("r") * 3 + F.col("i")).alias("r"), (F.col("c") * 3 + F.col("j")).alias("c"), "b1",
         F.when((F.col("r") + F.col("c")) % 17 == 0, 0e0).otherwise(F.col("b2")).alias("b2"))
-    return rd(rs.extract_patches(img, hr, ["b1", "b2"], size=10, scale=3, stride=5), ["lr_valid", "hr_valid"])
+
+
+@query("extract_patches", _PATCH + f" select scene, y0, x0, round(lr_valid,6) lr_valid, round(hr_valid,6) hr_valid from lv join hv using(scene,y0,x0) where lr_valid>={d(0.9)} and hr_valid>={d(0.9)}")
+def _(spark, sf):
+    return rd(gr.extract_patches(*image_pair(spark, sf), ["b1", "b2"], size=10, scale=3, stride=5), ["lr_valid", "hr_valid"])
 
 
 _ORIG = ", og as (select distinct scene, cast(floor(r/10e0)*10 as bigint) y0, cast(floor(c/10e0)*10 as bigint) x0 from img)"
@@ -368,17 +407,15 @@ def _(spark, sf):
     return rs.augment(patch_table(spark, sf).drop("b2"), 10, 5)
 
 
-@query("jitter", with_views("img") + _PP + f" select scene, y0, x0, pr, pc, round(b1*(1+(2*{_u(5, repr('b1'), *_KEY)}-1)*{d(0.1)}),6) b1, round(b2*(1+(2*{_u(5, repr('b2'), *_KEY)}-1)*{d(0.1)}),6) b2 from pp")
+@query("jitter", with_views("img") + _PP + f" select scene, y0, x0, pr, pc, round(b1*(1+(2*{_u(5, repr('b1'), *_KEY)}-1)*{d(0.05)}),6) b1, round(b2*(1+(2*{_u(5, repr('b2'), *_KEY)}-1)*{d(0.05)}),6) b2 from pp")
 def _(spark, sf):
     return rd(rs.jitter(patch_table(spark, sf), ["b1", "b2"], 5), ["b1", "b2"])
 
 
-@query("cutout", with_views("img") + _PP + f""", h as (select *, floor({_u(5, "'cy'", *_KEY)}*8) y, floor({_u(5, "'cx'", *_KEY)}*8) x from pp)
-    select scene, y0, x0, pr, pc, case when pr>=y and pr<y+3 and pc>=x and pc<x+3 then 0e0 else b1 end b1 from h""")
+@query("cutout", with_views("img") + _PP + f""", h as (select *, floor({_u(5, "'cy'", *_KEY)}*8) y, floor({_u(5, "'cx'", *_KEY)}*8) x, {_u(5, "'cut'", *_KEY)}<5e-1 hit from pp)
+    select scene, y0, x0, pr, pc, case when hit and pr>=y and pr<y+3 and pc>=x and pc<x+3 then 0e0 else b1 end b1 from h""")
 def _(spark, sf):
-    return rs.cutout(patch_table(spark, sf).drop("b2"), ["b1"], 10, 3, 5)
-
-
+    return rs.cutout(patch_table(spark, sf).drop("b2"), ["b1"], 10, 5, fraction=0.3)
 
 
 @query("random_patches", with_views("img") + f""", dm as (select scene, max(r)+1 h, max(c)+1 w from img group by 1 having max(r)+1>16 and max(c)+1>16),
@@ -390,7 +427,35 @@ def _(spark, sf):
     select scene, patch, y0, x0, true "valid" from rk where patch<=5
     union all select scene, 1, cast(h//2-8 as bigint), cast(w//2-8 as bigint), false from dm where scene not in (select scene from sh)""")
 def _(spark, sf):
-    return rs.random_patches(view(spark, sf, "img").select("scene", "r", "c", "b1", "b2"), ["b1", "b2"], size=16, n=5, seed=42)
+    return gr.random_patches(view(spark, sf, "img").select("scene", "r", "c", "b1", "b2"), ["b1", "b2"], size=16, n=5, seed=42)
+
+
+_RUN = "sum({k}) over(partition by scene, {by} order by {on} range between current row and {n} following)"
+
+
+@query("random_patch_pairs", with_views("img") + f""", dm as (select scene, max(r)+1 h, max(c)+1 w from img group by 1 having max(r)+1>16 and max(c)+1>16),
+    ok as (select scene, r, c, cast(b1<>0 as int)+cast(b2<>0 as int) l, 9*(cast(b1<>0 as int)+cast((r+c)%17<>0 and b2<>0 as int)) h from img),
+    rw as (select scene, r, c, {_RUN.format(k='l', by='r', on='c', n=15)} l, {_RUN.format(k='h', by='r', on='c', n=15)} h from ok),
+    cl as (select scene, r, c, {_RUN.format(k='l', by='c', on='r', n=15)} l, {_RUN.format(k='h', by='c', on='r', n=15)} h from rw),
+    sh as (select scene, r y0, c x0 from cl join dm using(scene) where r<=dm.h-16 and c<=dm.w-16 and l/512e0>={d(0.9)} and cl.h/4608e0>={d(0.9)}),
+    rk as (select *, cast(row_number() over(partition by scene order by {_u(42, "'o'", *_KEY)}, y0, x0) as int) patch from sh)
+    select scene, patch, y0, x0, true "valid" from rk where patch<=5
+    union all select scene, 1, cast(h//2-8 as bigint), cast(w//2-8 as bigint), false from dm where scene not in (select scene from sh)""")
+def _(spark, sf):
+    return gr.random_patch_pairs(*image_pair(spark, sf), ["b1", "b2"], size=16, n=5, seed=42)
+
+
+@query("random_crop", with_views("img") + _PP + f""", o as (select *, cast(floor({_u(5, "'top'", *_KEY)}*7) as int) t, cast(floor({_u(5, "'left'", *_KEY)}*7) as int) l from pp),
+    hr as (select o.* exclude(pr,pc), cast(pr*3+a.range as int) pr, cast(pc*3+b.range as int) pc from o cross join range(3) a cross join range(3) b)
+    select 'lr' side, scene, y0, x0, pr-t pr, pc-l pc, b1 from o where pr>=t and pr<t+4 and pc>=l and pc<l+4
+    union all select 'hr', scene, y0, x0, pr-3*t, pc-3*l, b1 from hr where pr>=3*t and pr<3*t+12 and pc>=3*l and pc<3*l+12""")
+def _(spark, sf):
+    lr = patch_table(spark, sf).drop("b2")
+    three = F.sequence(F.lit(0), F.lit(2))
+    hr = lr.withColumn("i", F.explode(three)).withColumn("j", F.explode(three)).withColumns(
+        {"pr": F.col("pr") * 3 + F.col("i"), "pc": F.col("pc") * 3 + F.col("j")}).drop("i", "j")
+    a, b = gr.random_crop(lr, hr, size=10, crop=12, seed=5)
+    return a.withColumn("side", F.lit("lr")).unionByName(b.withColumn("side", F.lit("hr")))
 
 
 def _wt(p: str) -> str:
@@ -485,6 +550,28 @@ def _(spark, sf):
     return rd(mt.ssim(p, BANDS), ["ssim"])
 
 
+def _ssim_mixed_sql() -> str:
+    def one(b: str) -> str:
+        u = lambda k: f"({k}{b}/cast(n as double))"
+        vx, vy, vxy = (f"(n/(n-1e0))*({u(k)}-{u(p)}*{u(q)})" for k, p, q in (("aa", "a", "a"), ("bb", "b", "b"), ("ab", "a", "b")))
+        return f"avg((2*{u('a')}*{u('b')}+pow(1e-2*s{b},2))*(2*{vxy}+pow(3e-2*s{b},2))/(({u('a')}*{u('a')}+{u('b')}*{u('b')}+pow(1e-2*s{b},2))*({vx}+{vy}+pow(3e-2*s{b},2))))"
+    sums = ", ".join(f"sum(q.p{b}) a{b}, sum(q.t{b}) b{b}, sum(q.p{b}*q.p{b}) aa{b}, sum(q.t{b}*q.t{b}) bb{b}, sum(q.p{b}*q.t{b}) ab{b}" for b in BANDS)
+    return f""", pm as (select scene*100+(r//9)*10+c//9 scene, r%9 r, c%9 c, pr.* exclude(scene,r,c) from pr where r%9<2+(scene+r//9)%8 and c%9<3+(scene*2+c//9)%7),
+    sn as (select scene, greatest(least((least(max(r),max(c)))//2,3),1) half, {', '.join(f'max(t{b})-min(t{b}) s{b}' for b in BANDS)} from pm group by 1),
+    wn as (select w.scene, w.r, w.c, any_value(half) half, count(*) n, {sums} from pm w join sn using(scene) cross join {square(3)} join pm q on q.scene=w.scene and q.r=w.r+dr and q.c=w.c+dc
+        where abs(dr)<=half and abs(dc)<=half group by 1,2,3)
+    select scene, round(({'+'.join(one(b) for b in BANDS)})/4,6) ssim from wn join sn using(scene) where n=(2*wn.half+1)*(2*wn.half+1) group by 1"""
+
+
+@query("ssim_small_images", _PAIR + _ssim_mixed_sql())
+def _(spark, sf):
+    p = mt.pair(view(spark, sf, "img_pred"), view(spark, sf, "img"), BANDS)
+    tr, tc = F.floor(F.col("r") / 9), F.floor(F.col("c") / 9)
+    small = p.where((F.col("r") % 9 < 2 + (F.col("scene") + tr) % 8) & (F.col("c") % 9 < 3 + (F.col("scene") * 2 + tc) % 7)).withColumns(
+        {"scene": F.col("scene") * 100 + tr * 10 + tc, "r": F.col("r") % 9, "c": F.col("c") % 9})
+    return rd(mt.ssim(small, BANDS, None), ["ssim"])
+
+
 _EVAL = _PAIR + _ssim_sql("s{b}") + f", ev as (select scene, {_PSNR} psnr, {_SAM} sam, {_ERGAS} ergas from pr group by 1), al as (select * from ev join ss using(scene))"
 
 

@@ -10,7 +10,7 @@ from terraloom.functions import geometry as geo, scalars as sc
 from terraloom.functions.fixed_values import PRIORITY_WEIGHTS
 from terraloom.functions.hexgrid import assign_cell, cell_boundary
 from terraloom.operators import (
-    hexgraph as hg, irrigation as ir, joins as jn, models as md, network as nw, occurrence as oc, raster as rs, spatial as sp, tables as tb,
+    grids as gr, hexgraph as hg, irrigation as ir, joins as jn, models as md, network as nw, occurrence as oc, raster as rs, spatial as sp, tables as tb,
 )
 from terraloom.scale import materialize
 from terraloom.sources.layers import LayerStore, write_csv, write_stats_json
@@ -176,21 +176,19 @@ def water_performance(daily: DataFrame, dates: DataFrame, store: LayerStore, zon
 
 def patch_preparation(
     lr: DataFrame, hr: DataFrame, bands: Sequence[str], path: str, size: int = 64, scale: int = 3, stride: int | None = None,
-    val: float = 0.1, test: float = 0.1, seed: int = 42, how: str | None = "percentile", hr_factor: int = 1,
+    val: float = 0.1, test: float = 0.1, seed: int = 42, how: str | None = "percentile",
+    grids: tuple[DataFrame, DataFrame] | None = None, resampling: str = "cubic",
 ) -> DataFrame:
     """Scene split, band statistics and valid patch origins (split, scene, y0, x0).
 
-    ``hr`` is brought onto the LR-aligned grid when ``hr_factor`` > 1; values are
-    normalized per scene and band before validity is tested, unless ``how`` is None.
+    ``grids``: the grids of both images; ``hr`` is then brought onto the LR grid with
+    pixels ``scale`` times smaller.  Values are normalized per scene and band before
+    validity is tested, unless ``how`` is None.
     """
     for name, px in (("lr", lr), ("hr", hr)):
         write_stats_json(rs.global_band_stats(px, bands), f"{path}/stats_{name}")
-    if hr_factor > 1:
-        grown = None
-        for b in bands:
-            one = rs.resample(hr.select("scene", "r", "c", b), b, hr_factor, "bilinear", ["scene"])
-            grown = one if grown is None else grown.join(one, ["scene", "r", "c"])
-        hr = grown
+    if grids is not None:
+        hr = gr.resample_to(hr, bands, grids[1], sc.target_grid(grids[0], scale), resampling)
     if how:
         def scaled(px: DataFrame) -> DataFrame:
             long = rs.normalize(rs.unstack_bands(px, bands, ["scene", "r", "c"]), how)
@@ -199,7 +197,7 @@ def patch_preparation(
         lr, hr = scaled(lr), scaled(hr)
     scenes = lr.select("scene").distinct().join(hr.select("scene").distinct(), "scene")
     parts = tb.split(materialize(scenes), ["scene"], val, test, seed, at_least_one=True)
-    return rs.extract_patches(lr, hr, bands, size, scale, stride).join(parts, "scene")
+    return gr.extract_patches(lr, hr, bands, size, scale, stride).join(parts, "scene")
 
 
 # --- suitability -------------------------------------------------------------------------

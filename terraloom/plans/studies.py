@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terraloom.functions.hexgrid import assign_cell
 from terraloom.functions.scalars import derive_climate
-from terraloom.operators import occurrence as oc
+from terraloom.operators import grids as gr, occurrence as oc
 from terraloom.plans import jobs
 from terraloom.plans.ecology import COMMON, THREATENED, WEIGHTS, _SUMMARY, compact, parts
 from terraloom.plans.imagery import _INT, rd
@@ -131,7 +131,9 @@ def _(spark, sf):
 @query("patch_preparation")
 def _(spark, sf):
     img = view(spark, sf, "img").select("scene", "r", "c", "b1", "b2")
-    return jobs.patch_preparation(img, img, ["b1", "b2"], f"{work_dir(spark)}/{uuid.uuid4().hex}", size=10, scale=3, stride=5, hr_factor=3)
+    grid = gr.image_size(img).select(
+        "scene", F.lit(5e5).alias("x0"), F.lit(9.2e6).alias("y0"), F.lit(10e0).alias("dx"), F.lit(-10e0).alias("dy"), F.col("w").alias("width"), F.col("h").alias("height"))
+    return jobs.patch_preparation(img, img, ["b1", "b2"], f"{work_dir(spark)}/{uuid.uuid4().hex}", size=10, scale=3, stride=5, grids=(grid, grid))
 
 
 @query("suitability_study")

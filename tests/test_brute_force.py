@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from terraloom.functions import geometry as geo, scalars as sc
 from terraloom.functions.hexgrid import assign_cell, cell_center, offsets
 from terraloom.operators import (
-    classify as cl, hexgraph as hg, irrigation as ir, joins as jn, network as nw, occurrence as oc, raster as rs, spatial as sp, tables as tb,
+    classify as cl, grids as gr, hexgraph as hg, irrigation as ir, joins as jn, network as nw, occurrence as oc, raster as rs, spatial as sp, tables as tb,
 )
 
 
@@ -249,8 +249,8 @@ def test_random_patches_are_valid_and_repeatable(spark):
     rng = np.random.default_rng(6)
     v = (rng.random((40, 40)) > 0.08).astype(float)
     px = spark.createDataFrame(pd.DataFrame([(0, r, c, v[r, c]) for r in range(40) for c in range(40)], columns=["scene", "r", "c", "b"]))
-    a = rs.random_patches(px, ["b"], 8, 6, seed=9).collect()
-    assert a == rs.random_patches(px, ["b"], 8, 6, seed=9).collect() and len(a) == 6
+    a = gr.random_patches(px, ["b"], 8, 6, seed=9).collect()
+    assert a == gr.random_patches(px, ["b"], 8, 6, seed=9).collect() and len(a) == 6
     for p in a:
         share = v[p.y0:p.y0 + 8, p.x0:p.x0 + 8].mean()
         assert share >= 0.9 or (p.y0, p.x0) == (16, 16)
