@@ -27,5 +27,10 @@ CLOUD_PROBABILITY = 40
 DARK_NIR = 0.15
 WATER_CLASS = 6
 
-# Band names per sensor.
+# Band names per sensor, and the bands that sensors share.
 S2_TO_FOUR_BAND = {"B02": "blue", "B03": "green", "B04": "red", "B08": "nir"}
+EIGHT_BANDS = ["coastal_blue", "blue", "green_i", "green", "yellow", "red", "red_edge", "nir"]
+SIX_OF_EIGHT = ["coastal_blue", "blue", "green", "red", "red_edge", "nir"]
+LANDSAT_8_9 = {"SR_B2": "blue", "SR_B3": "green", "SR_B4": "red", "SR_B5": "nir", "SR_B6": "swir1", "SR_B7": "swir2"}
+LANDSAT_5_7 = {"SR_B1": "blue", "SR_B2": "green", "SR_B3": "red", "SR_B4": "nir", "SR_B5": "swir1", "SR_B7": "swir2"}
+S2_SIX = {"B2": "blue", "B3": "green", "B4": "red", "B8": "nir", "B11": "swir1", "B12": "swir2"}

@@ -114,6 +114,17 @@ def select_bands(df: DataFrame, names: Mapping[str, str], band: str = "band") ->
     return df.where(F.col(band).isin(*names)).withColumn(band, F.element_at(F.create_map(*pairs), F.col(band)))
 
 
+def numbered_bands(order: Sequence[str], wanted: Sequence[str] | None = None) -> dict[int, str]:
+    """Position (from 0) -> name of the wanted bands of a file whose bands come in ``order``."""
+    return {order.index(b): b for b in wanted or order}
+
+
+def rename_bands(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
+    """Wide pixel table with a sensor's band columns under shared names; its other listed columns stay."""
+    keep = [c for c in df.columns if c not in names]
+    return df.select(*keep, *[F.col(a).alias(b) for a, b in names.items()])
+
+
 def target_grid(scenes: DataFrame, factor: int) -> DataFrame:
     """Same origin, pixels ``factor`` times smaller."""
     return scenes.withColumns({

@@ -13,7 +13,7 @@ from terraloom.operators import (
     grids as gr, hexgraph as hg, irrigation as ir, joins as jn, models as md, network as nw, occurrence as oc, raster as rs, spatial as sp, tables as tb,
 )
 from terraloom.scale import materialize
-from terraloom.sources.layers import LayerStore, write_csv, write_stats_json
+from terraloom.sources.layers import LayerStore, filter_collection, write_csv, write_stats_json
 
 CELL = ["q", "r"]
 
@@ -103,6 +103,32 @@ def validation_tables(occ: DataFrame, priority: DataFrame, path: str, since: int
 
 # --- irrigation --------------------------------------------------------------------------
 
+def clear_series(
+    images: DataFrame, probability: DataFrame, others: Sequence[DataFrame], bands: Sequence[str], bbox: Sequence[float],
+    date_from: str, date_to: str, max_cloud: float = 60, max_steps: int = 20, step: float = 1.0, erode: int = 2, dilate: int = 5,
+) -> DataFrame:
+    """Pixels (r, c, dt, bands) of several sensors in one series, NULL under clouds and shadows.
+
+    ``images``: scene, r, c, dt, x0, y0, x1, y1, cloud (percent of the scene), azimuth,
+    scene_class and bands; scenes outside the box, the half-open dates or the cloud limit
+    go.  Each pixel takes its first ``probability`` row (scene, r, c, product, probability);
+    pixels without any go.  Clouds, and dark pixels that are not water in the direction of
+    a cloud's shadow, are masked after the flag has shrunk and grown.  ``others``: r, c, dt,
+    qa bits and bands as digital numbers, masked by their bits and scaled.
+    """
+    near = filter_collection(images, bbox, date_from, date_to, max_cloud)
+    known = jn.first_match_join(near, probability, ["scene", "r", "c"], ["product"])
+    cloud, dark = sc.cloud_shadow_flags(F.col("probability"), F.col("nir"), F.col("scene_class"))
+    flagged = known.select("scene", "r", "c", "dt", "azimuth", *bands, cloud.alias("cloud"), dark.alias("dark"))
+    masked = rs.project_shadow(flagged, F.col("azimuth"), max_steps, step, erode, dilate)
+    clear = [rs.apply_mask(masked, bands).select("r", "c", "dt", *bands)]
+    start, end = (F.lit(day).cast("date") for day in (date_from, date_to))
+    for px in others:
+        inside = px.where((F.col("dt") >= start) & (F.col("dt") < end))
+        clear.append(sc.scale_reflectance(sc.mask_clouds(inside, bands, "qa"), bands).select("r", "c", "dt", *bands))
+    return tb.merge_collections(*clear)
+
+
 def transplanting_dates(
     px: DataFrame, zones: DataFrame, key: Sequence[str], flood: tuple[str, str], peak: tuple[str, str],
     step_days: int = 8, cropland: DataFrame | None = None, zone: str = "norec",

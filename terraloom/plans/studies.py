@@ -11,12 +11,12 @@ from terraloom.functions.scalars import derive_climate
 from terraloom.operators import grids as gr, occurrence as oc
 from terraloom.plans import jobs
 from terraloom.plans.ecology import COMMON, THREATENED, WEIGHTS, _SUMMARY, compact, parts
-from terraloom.plans.imagery import _INT, rd
+from terraloom.plans.imagery import _INT, rd, square
 from terraloom.plans.registry import query
-from terraloom.plans.sqltext import YEARS, disk, grid, hexed
+from terraloom.plans.sqltext import YEARS, d, disk, grid, hexed
 from terraloom.plans.vector import HEX, sat, zone
-from terraloom.plans.water import CLIMATE, _ET0, _BLOCK, _REL, WEEK
-from terraloom.scale import work_dir
+from terraloom.plans.water import CLIMATE, _BLOCK, _CLIP, _ET0, _REL, _ST, WEEK
+from terraloom.scale import materialize, work_dir
 from terraloom.sources.fixtures import view, with_views
 from terraloom.sources.layers import LayerStore
 
@@ -98,6 +98,52 @@ def _(spark, sf):
     return jobs.transplanting_dates(ts, z, ["pix"], ("2024-01-01", "2024-01-20"), ("2024-01-08", "2024-04-01"))
 
 
+def collections(spark, sf):
+    """Images with their cloud probabilities, and images of a second sensor two days later."""
+    img = view(spark, sf, "img")
+    day = F.expr("date_add(date'2024-01-01', cast(scene * 5 as int))")
+    one = img.select(
+        "scene", "r", "c", day.alias("dt"), F.lit(0e0).alias("x0"), F.lit(0e0).alias("y0"), F.lit(1e0).alias("x1"), F.lit(1e0).alias("y1"),
+        (F.col("scene") * 37 % 100).cast("double").alias("cloud"), (F.col("scene") * 37 % 360).cast("double").alias("azimuth"),
+        F.floor(F.col("b2") * 10).cast("int").alias("scene_class"), (F.col("b3") * 3e3).alias("red"), (F.col("b4") * 3e3).alias("nir")
+    ).withColumn("green", (F.col("nir") + F.col("red")) / 2e0)
+    prob = img.where("r < 48").select("scene", "r", "c", F.explode(F.array(*[F.struct(
+        F.lit(n).alias("product"), (F.col("b1") * k).alias("probability")) for n, k in ((2, 0e0), (1, 6e1))])).alias("p")).select("scene", "r", "c", "p.*")
+    two = img.select("r", "c", F.date_add(day, 2).alias("dt"), F.floor(F.col("b1") * 1e2).cast("int").alias("qa"),
+                     (F.col("b2") * 4e4).alias("red"), (F.col("b3") * 4e4).alias("nir")).withColumn("green", (F.col("nir") + F.col("red")) / 2e0)
+    return one, prob, [two]
+
+
+_DN = lambda v: f"({v}*{d(0.0000275)}+{d(-0.2)})"
+_CLEAR = with_views("img") + f""", f as (select scene, r, c, cast(date '2024-01-01'+cast(scene*5 as int) as date) dt, b1*6e1>40 cloud,
+        b4*3e3<15e2 and cast(floor(b2*10) as int)<>6 dark, cast(scene*37%360 as double) az, b3*3e3 red, b4*3e3 nir from img where r<48 and scene*37%100<=60 and scene*5<200),
+    ca as (select distinct scene, r-cast(floor(i.range*sin(radians(90-az))+5e-1) as bigint) r, c+cast(floor(i.range*cos(radians(90-az))+5e-1) as bigint) c from f cross join range(1,7) i where cloud),
+    fl as (select f.*, case when cloud or (dark and ca.r is not null) then 1 else 0 end flag from f left join ca on ca.scene=f.scene and ca.r=f.r and ca.c=f.c),
+    er as (select a.scene, a.r, a.c, min(b.flag) flag from fl a cross join {square(1)} join fl b on b.scene=a.scene and b.r=a.r+dr and b.c=a.c+dc where dr*dr+dc*dc<=1 group by 1,2,3),
+    di as (select a.scene, a.r, a.c, max(b.flag) flag from er a cross join {square(2)} join er b on b.scene=a.scene and b.r=a.r+dr and b.c=a.c+dc where dr*dr+dc*dc<=4 group by 1,2,3),
+    l9 as (select r, c, cast(date '2024-01-01'+cast(scene*5+2 as int) as date) dt, cast(floor(b1*1e2) as int)&24=0 ok, {_DN('b2*4e4')} red, {_DN('b3*4e4')} nir from img where scene*5+2<200),
+    clear as (select r, c, dt, case when di.flag=0 then red end red, case when di.flag=0 then nir end nir from fl join di using(scene,r,c)
+        union all select r, c, dt, case when ok then red end, case when ok then nir end from l9)"""
+_BOUNDS = ((0.0, 0.0, 1.0, 1.0), "2024-01-01", "2024-07-19")
+
+
+@query("clear_series", _CLEAR + " select r, c, dt, round(red,6) red, round(nir,6) nir from clear")
+def _(spark, sf):
+    one, prob, rest = collections(spark, sf)
+    px = jobs.clear_series(one, prob, rest, ["green", "red", "nir"], *_BOUNDS, max_steps=6, erode=1, dilate=2)
+    return rd(px, ["red", "nir"]).drop("green")
+
+
+@query("transplanting_from_scenes", _CLEAR + ", px_ts as (select r*50+c pix, dt, red, nir from clear)" + _TD[_TD.index(", sp as (select min(dt)"):].replace(
+    "ob as (select pix, dt, nir, red from px_ts)", "ob as (select pix, dt, nir, red from px_ts where nir is not null)").replace("2024-01-20", "2024-02-20").replace("(nir+red)/2e0", "red"))
+def _(spark, sf):
+    one, prob, rest = collections(spark, sf)  # the second index reads red as green, as the SQL does
+    px = materialize(jobs.clear_series(one, prob, rest, ["green", "red", "nir"], *_BOUNDS, max_steps=6, erode=1, dilate=2))
+    px = px.select((F.col("r") * 50 + F.col("c")).alias("pix"), "dt", F.col("red").alias("green"), "red", "nir")
+    z = px.select("pix").distinct().withColumn("norec", F.floor(F.col("pix") / 5))
+    return jobs.transplanting_dates(px, z, ["pix"], ("2024-01-01", "2024-02-20"), ("2024-01-08", "2024-04-01"))
+
+
 @query("block_et0_series", CLIMATE + f", e as (select cast(floor(k/100e0) as bigint) norec, dt, {_ET0} et0 from c2) select norec, dt, round(avg(et0),6) et0 from e group by 1,2")
 def _(spark, sf):
     w = view(spark, sf, "weather")
@@ -128,6 +174,36 @@ def _(spark, sf):
     return jobs.water_performance(view(spark, sf, "block_daily"), view(spark, sf, "block_dates"), store(spark))
 
 
+def _long(layer: str, key: str, cols: list[str], src: str) -> str:
+    return " union all ".join(f"select '{layer}' layer, cast({key} as varchar) \"key\", '{c}' measure, round(cast({c} as double),6) \"value\" from {src}" for c in cols)
+
+
+_MEASURES = {
+    "weekly_uniformity": ("year_week", ["mean_si", "std_si", "block_count", "uniformity"], "un"),
+    "block_uniformity": ("norec", ["mean_si", "std_si", "week_count", "min_si", "max_si", "deviation", "uniformity"], "bun"),
+    "reliability": ("norec", ["mean_si", "total_weeks", "weeks_above", "reliability"], "rel"),
+    "block_map": ("norec", ["mean_si", "uniformity", "reliability"], "bm"),
+    "summary": ("'all'", ["overall_mean", "week_mean", "block_mean", "reliability_mean"], "sm"),
+}
+
+
+@query("water_performance_values", WEEK + _BLOCK + _REL + f""", un0 as (select year_week, {_ST}, count(si) block_count from wk group by 1), un as (select *, {_CLIP} uniformity from un0),
+    bm as (select norec, bun.mean_si, uniformity, reliability from bun join rel using(norec)),
+    sm as (select (select o from ov) overall_mean, (select avg(uniformity) from un) week_mean, (select avg(uniformity) from bun) block_mean, (select avg(reliability) from rel) reliability_mean)
+    """ + " union all ".join(_long(name, *how) for name, how in _MEASURES.items()))
+def _(spark, sf):
+    s = store(spark)
+    zones = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").cast("int").alias("norec"), F.col("c_mktsegment").alias("zone"))
+    jobs.water_performance(view(spark, sf, "block_daily"), view(spark, sf, "block_dates"), s, zones)
+    out = None
+    for name, (key, cols, _) in _MEASURES.items():
+        key = F.lit("all") if key.startswith("'") else F.col(key).cast("string")
+        long = s.read_layer(name).select(key.alias("key"), *[F.col(c).cast("double").alias(c) for c in cols]).unpivot("key", cols, "measure", "value")
+        long = long.select(F.lit(name).alias("layer"), "key", "measure", F.round("value", 6).alias("value"))
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
 @query("patch_preparation")
 def _(spark, sf):
     img = view(spark, sf, "img").select("scene", "r", "c", "b1", "b2")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from terraloom.functions import scalars as sc
-from terraloom.functions.fixed_values import S2_TO_FOUR_BAND, WORLD_COVER
+from terraloom.functions.fixed_values import EIGHT_BANDS, LANDSAT_5_7, LANDSAT_8_9, S2_SIX, S2_TO_FOUR_BAND, SIX_OF_EIGHT, WORLD_COVER
 from terraloom.functions.hexgrid import assign_cell
 from terraloom.operators import joins as jn, tables as tb
 from terraloom.operators.occurrence import species_years
@@ -243,6 +243,25 @@ def _(spark, sf):
     return sc.select_bands(long, {k: v for k, v in S2_TO_FOUR_BAND.items() if k in ("B02", "B04")})
 
 
+@query("select_six_of_eight", with_views("img") + " union all ".join(
+    (" " if i == 0 else "") + f"select scene, r, c, '{b}' band, b{1 + EIGHT_BANDS.index(b) % 4} \"value\" from img" for i, b in enumerate(SIX_OF_EIGHT)))
+def _(spark, sf):
+    eight = view(spark, sf, "img").select("scene", "r", "c", *[F.col(f"b{1 + i % 4}").alias(str(i)) for i in range(8)])
+    long = eight.unpivot(["scene", "r", "c"], [str(i) for i in range(8)], "band", "value")
+    return sc.select_bands(long, {str(i): b for i, b in sc.numbered_bands(EIGHT_BANDS, SIX_OF_EIGHT).items()})
+
+
+@query("rename_bands_across_sensors", with_views("px") + """ select 's2' sensor, r, c, blue, green, red, nir, swir1, swir2 from px
+    union all select 'l9', r, c, blue, green, red, nir, swir1, swir2 from px union all select 'l7', r, c, blue, green, red, nir, swir1, swir2 from px""")
+def _(spark, sf):
+    px = view(spark, sf, "px").drop("cls")
+    out = []
+    for sensor, names in (("s2", S2_SIX), ("l9", LANDSAT_8_9), ("l7", LANDSAT_5_7)):
+        own = px.select(F.lit(sensor).alias("sensor"), "r", "c", *[F.col(b).alias(a) for a, b in names.items()])
+        out.append(sc.rename_bands(own, names))
+    return tb.merge_collections(*out)
+
+
 # --- joins -----------------------------------------------------------------------------
 
 @query("left_join_fill", """select c_custkey, c_name, coalesce(n,0) n from customer left join (select o_custkey c_custkey, count(*) n from orders where o_orderstatus='P' group by 1) using(c_custkey)""")

@@ -9,10 +9,12 @@ from pyspark.sql.types import DoubleType
 from terraloom.functions import geometry as geo
 from terraloom.functions.hexgrid import assign_cell, cell_boundary
 from terraloom.functions.scalars import project_utm, to_srid
-from terraloom.operators import classify as cl, hexgraph as hg, models as md, network as nw, spatial as sp, tables as tb
+from terraloom.operators import classify as cl, hexgraph as hg, models as md, network as nw, occurrence as oc, spatial as sp, tables as tb
+from terraloom.plans.ecology import K1
 from terraloom.plans.imagery import rd
 from terraloom.plans.registry import query
 from terraloom.plans.sqltext import d, disk, grid, occ_cells
+from terraloom.scale import materialize
 from terraloom.sources.fixtures import table, view, with_views
 
 
@@ -380,6 +382,21 @@ def _(spark, sf):
     return rd(g.withColumn("node", nw.cell_id()).join(b, "node").select("q", "r", "betweenness"), ["betweenness"], 8)
 
 
+@query("corridor_gaps_with_betweenness", _BTW + ", empty as (select q, r from grid anti join oc using(q,r))" + K1 + f""",
+    nr as (select g.q, g.r, sum(case when ring<=2 then richness else 0 end) k2r, min(ring) dist from empty g cross join {disk(3, 1)} join oc h on h.q=g.q+dq and h.r=g.r+dr group by 1,2),
+    z as (select q, r, coalesce(k1,0) k1, cast(coalesce(k2r,0) as bigint) k2_richness, coalesce(dist,-1) dist, coalesce(x,0e0)/((select count(*) from v)-1)/((select count(*) from v)-2) b
+        from empty join v using(q,r) left join bt using(n) left join k1 using(q,r) left join nr using(q,r)),
+    zz as (select *, k1*3+k2_richness*5e-1+b*10 s from z)
+    select * exclude(s,b), round(b,6) betweenness, cast(k1>=2 as int) candidate, 0 connects_priority_cells, round(s,2) score,
+        case when s>5 then 'High' when s>2 then 'Medium' else 'Low' end tier from zz""")
+def _(spark, sf):
+    o = materialize(oc.species_years(assign_cell(view(spark, sf, "occ"), "x", "y", 1.5)))
+    g = materialize(hg.build_grid(o, 1))
+    edges = hg.adjacency(g).select(nw.cell_id().alias("src"), nw.cell_id("nq", "nr").alias("dst"))
+    b = g.withColumn("node", nw.cell_id()).join(nw.betweenness(g.select(nw.cell_id().alias("node")), edges), "node").select("q", "r", "betweenness")
+    return hg.corridor_gaps(g, o, b)
+
+
 # --- classes and models ----------------------------------------------------------------------
 
 _VAL = "(select o_totalprice v from orders)"

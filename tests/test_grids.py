@@ -147,3 +147,27 @@ def test_structural_similarity_of_small_images(spark):
                 each.append((2 * a.mean() * b.mean() + 1e-4) * (2 * cov[0, 1] + 9e-4) / (
                     (a.mean()**2 + b.mean()**2 + 1e-4) * (cov[0, 0] + cov[1, 1] + 9e-4)))
         assert math.isclose(value, np.mean(each), abs_tol=1e-9)
+
+
+def test_clear_series_masks_clouds_shadows_and_other_sensors(spark):
+    from terraloom.plans.jobs import clear_series
+
+    rows = [("a", r, c, "2024-01-05", 10.0, 0.0, 4, 3000.0, 4000.0) for r in range(12) for c in range(12)]
+    rows += [("late", 0, 0, "2024-03-05", 10.0, 0.0, 4, 1.0, 1.0), ("full", 0, 0, "2024-01-06", 80.0, 0.0, 4, 1.0, 1.0)]
+    cols = "scene string, r int, c int, dt string, cloud double, azimuth double, scene_class int, red double, nir double"
+    px = spark.createDataFrame(rows, cols).withColumn("dt", F.col("dt").cast("date")).withColumns(
+        {"x0": F.lit(0e0), "y0": F.lit(0e0), "x1": F.lit(1e0), "y1": F.lit(1e0)})
+    dark = px.withColumn("nir", F.when((F.col("r") < 6) & (F.col("c") == 5), 100.0).otherwise(F.col("nir")))
+    prob = px.where("not (r = 11 and c = 11)").select("scene", "r", "c", F.lit(2).alias("product"), F.lit(99e0).alias("probability")).unionByName(
+        px.where("not (r = 11 and c = 11)").select("scene", "r", "c", F.lit(1).alias("product"), F.when(
+            F.col("r").between(6, 8) & F.col("c").between(4, 6), 90e0).otherwise(0e0).alias("probability")))
+    other = spark.createDataFrame([(0, 0, "2024-01-07", 0, 20000.0, 20000.0), (0, 1, "2024-01-07", 8, 1.0, 1.0), (0, 2, "2024-05-07", 0, 1.0, 1.0)],
+                                  "r int, c int, dt string, qa int, red double, nir double").withColumn("dt", F.col("dt").cast("date"))
+    got = clear_series(dark, prob, [other], ["red", "nir"], (0, 0, 1, 1), "2024-01-01", "2024-02-01", max_steps=4, erode=0, dilate=0).toPandas()
+    day = got["dt"].astype(str)
+    image, rest = got[day == "2024-01-05"], got[day == "2024-01-07"].sort_values("c")
+    masked = {(x.r, x.c) for x in image.itertuples() if np.isnan(x.red)}
+    cloud = {(r, c) for r in (6, 7, 8) for c in (4, 5, 6)}
+    assert masked == cloud | {(r, 5) for r in (2, 3, 4, 5)}  # sun in the north: dark pixels within four steps of a cloud
+    assert len(image) == 143  # the pixel without a probability is gone, like the late and the cloudy scene
+    assert math.isclose(rest.red.iloc[0], 20000 * 0.0000275 - 0.2) and np.isnan(rest.red.iloc[1]) and len(rest) == 2
