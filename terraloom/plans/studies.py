@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from terraloom.functions.hexgrid import assign_cell
 from terraloom.functions.scalars import derive_climate
-from terraloom.operators import grids as gr, occurrence as oc
+from terraloom.operators import grids as gr, hexgraph as hg, occurrence as oc
 from terraloom.plans import jobs
-from terraloom.plans.ecology import COMMON, THREATENED, WEIGHTS, _SUMMARY, compact, parts
+from terraloom.plans.ecology import COMMON, THREATENED, WEIGHTS, _SUMMARY, compact, occ, parts
 from terraloom.plans.imagery import _INT, rd, square
-from terraloom.plans.registry import query
+from terraloom.plans.registry import ORACLES, query
 from terraloom.plans.sqltext import YEARS, d, disk, grid, hexed
 from terraloom.plans.vector import HEX, sat, zone
 from terraloom.plans.water import CLIMATE, _BLOCK, _CLIP, _ET0, _REL, _ST, WEEK
@@ -80,6 +80,73 @@ def _(spark, sf):
     return out
 
 
+def measures(layers, sources, keys):
+    """Long form (layer, key, measure, value) of tables: ``layers`` maps a layer to its number columns, ``sources`` to its table."""
+    out = None
+    for name, cols in layers.items():
+        key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys[name]])
+        long = sources(name).select(key.alias("key"), *[F.col(c).cast("double").alias(c) for c in cols]).unpivot("key", cols, "measure", "value")
+        long = long.select(F.lit(name).alias("layer"), "key", "measure", F.round("value", 6).alias("value"))
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
+def measures_sql(layers, oracles, keys) -> str:
+    """The same from the SQL of the single queries."""
+    ctes = ", ".join(f"t_{name} as materialized ({ORACLES[oracles[name]]})" for name in layers)
+    rows = [f"select '{name}' layer, concat_ws('|',{','.join(f'cast({k} as varchar)' for k in keys[name])}) \"key\", '{c}' measure, round(cast({c} as double),6) \"value\" from t_{name}"
+            for name, cols in layers.items() for c in cols]
+    return f"with {ctes} " + " union all ".join(rows)
+
+
+_VALUES = {
+    "all_cells": ["k1", "k2", "species_k2", "eco_score"], "richness_summary": ["total_records"],
+    "diversity": ["s", "n", "shannon_h", "simpson_d", "pielou_j", "berger_parker", "trend_slope"],
+    "priority": ["richness", "connectivity", "threatened", "co_occurrence", "priority_index", "priority_rank"],
+    "temporal_traj": ["first_detected", "last_detected", "years_detected", "colonisations", "extinctions", "mean_beta", "species_ever"],
+    "temporal_matrix": ["total_records", "years_with_data"],
+    "chao1": ["n", "s_obs", "f1", "f2", "chao1", "completeness_pct", "undetected", "years_surveyed"],
+    "corridor_gaps": ["k1", "k2_richness", "dist", "candidate", "score"],
+    "isolation_risk": ["richness", "direct", "gaps", "extra", "total", "priority_index"],
+    "survey_gaps": ["k1", "k2", "k1_richness", "k2_richness", "dist_km", "candidate", "score"],
+}
+_SINGLE = {
+    "all_cells": "connectivity", "richness_summary": "cell_summary", "diversity": "diversity_by_cell", "priority": "priority_index",
+    "temporal_traj": "temporal_turnover", "chao1": "chao1_by_cell"}
+_CELLS = dict.fromkeys(_VALUES, ("q", "r"))
+
+
+@query("grid_analyses_values", measures_sql(_VALUES, {n: _SINGLE.get(n, n) for n in _VALUES}, _CELLS))
+def _(spark, sf):
+    src, out = store(spark), store(spark)
+    o = occ(spark, sf)
+    src.write_layers({"occurrences": o, "cells": hg.build_grid(compact(spark, sf)), "aoi": aoi(spark, sf)})
+    jobs.grid_analyses(src, out, None, [], THREATENED, centrality=False, common=COMMON, weights=WEIGHTS, recent_from=2000)
+    return measures(_VALUES, out.read_layer, _CELLS)
+
+
+_TABLES = {
+    "chao1_per_period": ["n", "s_obs", "f1", "f2", "chao1", "completeness_pct", "coverage"],
+    "chao1_comparison": ["n", "s_obs", "f1", "f2", "chao1", "completeness_pct"],
+    "spearman_trends": ["rho", "p_value"], "effort_per_period": ["records", "n_species", "n_cells", "n_methods"], "cpi_correlation_matrix": ["rho"],
+}
+_ROWS = {"chao1_per_period": ("yr",), "chao1_comparison": ("dataset",), "spearman_trends": ("species",), "effort_per_period": ("yr",),
+         "cpi_correlation_matrix": ("least(a,b)", "greatest(a,b)")}
+
+
+@query("validation_tables_values", measures_sql(_TABLES, {n: {"spearman_trends": "spearman_trend", "cpi_correlation_matrix": "spearman_matrix"}.get(n, n) for n in _TABLES}, _ROWS))
+def _(spark, sf):
+    pri = oc.priority_index(parts(compact(spark, sf)), WEIGHTS)
+    made = jobs.validation_tables(occ(spark, sf), pri, f"{work_dir(spark)}/{uuid.uuid4().hex}", 1999, COMMON)
+    keys = {**_ROWS, "cpi_correlation_matrix": ("lo", "hi")}
+
+    def read(name):
+        df = spark.read.csv(made[name], header=True)
+        return df.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}) if "rho" in df.columns and "a" in df.columns else df
+
+    return measures(_TABLES, read, keys)
+
+
 _TD = _INT + """,
     ix as (select pix, dt, dayofyear(dt) doy, case when (nir-red)/nullif(nir+red,0)>-1e-1 then (nir-red)/nullif(nir+red,0) end ndvi,
         case when ((nir+red)/2e0-nir)/nullif((nir+red)/2e0+nir,0)<1e-1 then ((nir+red)/2e0-nir)/nullif((nir+red)/2e0+nir,0) end ndwi from interp),
