@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from terraloom.functions.fixed_values import RESISTANCE, RESISTANCE_DEFAULT, VALID_CLASSES
+from terraloom.functions.scalars import seeded
 from terraloom.scale import exact_percentiles
 
 TILE = 256
@@ -50,13 +51,15 @@ def neighbours(px: DataFrame, value: str, k: int = 1, keys: Sequence[str] = (),
 
 
 def focal(
-    px: DataFrame, cols: Sequence[str], radius: int, how: str, keys: Sequence[str] = (), shape: str = "square", tile: int = TILE
+    px: DataFrame, cols: Sequence[str], radius: int, how: str | Sequence[str], keys: Sequence[str] = (), shape: str = "square", tile: int = TILE
 ) -> DataFrame:
-    """Moving-window min, max, mean, sum or count of the valid pixels within ``radius``."""
+    """Moving-window min, max, mean, sum or count of the valid pixels within ``radius``; several from one placement in tiles."""
+    hows = [how] if isinstance(how, str) else list(how)
     along, down = _axes(keys)
     t = tiled(px, radius, keys, tile)
     widths = {d: radius if shape == "square" else int(math.sqrt(radius * radius - d * d)) for d in range(-radius, radius + 1)}
-    parts = {"min": ["min"], "max": ["max"], "sum": ["sum"], "count": ["count"], "mean": ["sum", "count"]}[how]
+    parts = {"min": ["min"], "max": ["max"], "sum": ["sum"], "count": ["count"], "mean": ["sum", "count"]}
+    parts = list(dict.fromkeys(p for h in hows for p in parts[h]))
     fns = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
     t = t.withColumns({
         f"_h_{p}_{c}_{w}": fns[p](c).over(along.rangeBetween(-w, w)) for c in cols for p in parts for w in set(widths.values())})
@@ -71,11 +74,9 @@ def focal(
         return sum((F.coalesce(h, F.lit(0)) for h in hits), F.lit(0))
 
     out = t.withColumns({f"_v_{p}_{c}": vertical(c, p) for c in cols for p in parts})
-    final = {
-        c: F.try_divide(F.col(f"_v_sum_{c}"), F.col(f"_v_count_{c}").cast("double")) if how == "mean" else F.col(f"_v_{how}_{c}")
-        for c in cols
-    }
-    out = out.withColumns({f"{how}_{c}": v for c, v in final.items()})
+    out = out.withColumns({
+        f"{h}_{c}": F.try_divide(F.col(f"_v_sum_{c}"), F.col(f"_v_count_{c}").cast("double")) if h == "mean" else F.col(f"_v_{h}_{c}")
+        for h in hows for c in cols})
     return untile(out.drop(*[c for c in out.columns if c.startswith(("_h_", "_v_"))]), tile)
 
 
@@ -87,10 +88,24 @@ def _gradient(df: DataFrame, cell: float) -> DataFrame:
     return df.withColumns({"_gx": gx, "_gy": gy})
 
 
-def slope(dem: DataFrame, value: str = "z", cell: float = 30.0, percent: bool = False, keys: Sequence[str] = ()) -> DataFrame:
+def terrain(
+    dem: DataFrame, layers: Sequence[str], value: str = "z", cell: float = 30.0, azimuth: float = 315.0, altitude: float = 45.0,
+    z_factor: float = 1.0, keys: Sequence[str] = (),
+) -> DataFrame:
+    """Any of slope (degrees), slope_pct and hillshade (illumination 0..255), from one gradient."""
     g = _gradient(neighbours(dem, value, 1, keys), cell)
     rise = F.sqrt(F.col("_gx") * F.col("_gx") + F.col("_gy") * F.col("_gy"))
-    return g.withColumn("slope", rise * 100 if percent else F.degrees(F.atan(rise))).drop("nb", "_gx", "_gy")
+    gx, gy = F.col("_gx") * z_factor, F.col("_gy") * z_factor
+    zenith, az = math.radians(90 - altitude), math.radians(360 - azimuth + 90)
+    s = F.atan(F.sqrt(gx * gx + gy * gy))
+    shade = math.cos(zenith) * F.cos(s) + math.sin(zenith) * F.sin(s) * F.cos(az - F.atan2(gy, -gx))
+    made = {"slope": F.degrees(F.atan(rise)), "slope_pct": rise * 100, "hillshade": F.greatest(shade, F.when(shade.isNotNull(), 0e0)) * 255}
+    return g.withColumns({name: made[name] for name in layers}).drop("nb", "_gx", "_gy")
+
+
+def slope(dem: DataFrame, value: str = "z", cell: float = 30.0, percent: bool = False, keys: Sequence[str] = ()) -> DataFrame:
+    name = "slope_pct" if percent else "slope"
+    return terrain(dem, [name], value, cell, keys=keys).withColumnRenamed(name, "slope")
 
 
 def hillshade(
@@ -98,13 +113,7 @@ def hillshade(
     keys: Sequence[str] = (),
 ) -> DataFrame:
     """Illumination 0..255 of the surface."""
-    g = _gradient(neighbours(dem, value, 1, keys), cell)
-    gx, gy = F.col("_gx") * z_factor, F.col("_gy") * z_factor
-    zenith, az = math.radians(90 - altitude), math.radians(360 - azimuth + 90)
-    s = F.atan(F.sqrt(gx * gx + gy * gy))
-    aspect = F.atan2(gy, -gx)
-    shade = math.cos(zenith) * F.cos(s) + math.sin(zenith) * F.sin(s) * F.cos(az - aspect)
-    return g.withColumn("hillshade", F.greatest(shade, F.when(shade.isNotNull(), 0e0)) * 255).drop("nb", "_gx", "_gy")
+    return terrain(dem, ["hillshade"], value, cell, azimuth, altitude, z_factor, keys)
 
 
 def _weights(factor: int, child: int, how: str) -> dict[int, float]:
@@ -406,12 +415,6 @@ def patch_pixels(px: DataFrame, patches: DataFrame, size: int, scale: int = 1) -
     return cells.join(px, ["scene", "r", "c"])
 
 
-def seeded(seed: int, *key: Column) -> Column:
-    """Repeatable uniform number in [0, 1) from the key."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key])
-    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
-
-
 def augment(patches: DataFrame, size: int, seed: int, key: Sequence[str] = ("scene", "y0", "x0")) -> DataFrame:
     """Seeded flips and quarter turns of (pr, pc); the same key turns both resolutions alike."""
     cols = [F.col(k) for k in key]

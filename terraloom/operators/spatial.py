@@ -10,7 +10,7 @@ before any join; crowded tiles are left to adaptive skew handling.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -378,8 +378,8 @@ KERNELS = {
 }
 
 
-def heatmap(points: DataFrame, radius: Column | float, cell: float, kernel: str = "quartic", weight: Column | None = None) -> DataFrame:
-    """Kernel density per pixel (r, c).
+def heatmap(points: DataFrame, radius: Column | float, cell: float, kernel: str | Sequence[str] = "quartic", weight: Column | None = None) -> DataFrame:
+    """Kernel density per pixel (r, c); of several kernels a column each, from one pass.
 
     Points at one place (and radius) are merged, spread to the pixels they reach, and
     partially summed before the shuffle; no pixel-point join is formed.
@@ -391,7 +391,8 @@ def heatmap(points: DataFrame, radius: Column | float, cell: float, kernel: str
     px = spots.withColumn("r", span("y")).withColumn("c", span("x"))
     dx, dy = (F.col("c") + 0.5) * cell - F.col("x"), (F.col("r") + 0.5) * cell - F.col("y")
     u = F.sqrt(dx * dx + dy * dy) / F.col("_r")
-    return px.where(u <= 1).groupBy("r", "c").agg(F.sum(F.col("_w") * KERNELS[kernel](u)).alias("density"))
+    named = {"density": kernel} if isinstance(kernel, str) else {k: k for k in kernel}
+    return px.where(u <= 1).groupBy("r", "c").agg(*[F.sum(F.col("_w") * KERNELS[k](u)).alias(name) for name, k in named.items()])
 
 
 def heatmap_defaults(area: float) -> tuple[float, float]:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from terraloom.functions.scalars import seeded
 from terraloom.scale import global_row_number, running_total
 
 
@@ -44,8 +45,7 @@ def limit_features(df: DataFrame, n: int, keys: Sequence[Column | str]) -> DataF
 
 def random_column(key: Sequence[str], seed: int) -> Column:
     """Uniform number in [0, 1) from a row's key: the same on every run and every retry."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])
-    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
+    return seeded(seed, *[F.col(k) for k in key])
 
 
 def sample(df: DataFrame, key: Sequence[str], fraction: float, seed: int) -> DataFrame:

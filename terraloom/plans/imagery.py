@@ -84,9 +84,7 @@ def _(spark, sf):
 @query("focal_min_max_mean", with_views("dem") + f""" select a.r, a.c, min(floor(b.z)) min_z, max(floor(b.z)) max_z, avg(floor(b.z)) mean_z from dem a cross join {square(2)} join dem b on b.r=a.r+dr and b.c=a.c+dc group by 1,2""")
 def _(spark, sf):
     df = view(spark, sf, "dem").select("r", "c", F.floor("z").cast("double").alias("z"))
-    for how in ("min", "max", "mean"):
-        df = rs.focal(df, ["z"], 2, how, tile=64)
-    return df.drop("z")
+    return rs.focal(df, ["z"], 2, ["min", "max", "mean"], tile=64).drop("z")
 
 
 @query("focal_circle", with_views("dem") + f""" select a.r, a.c, min(b.z) min_z from dem a cross join {square(3)} join dem b on b.r=a.r+dr and b.c=a.c+dc where dr*dr+dc*dc<=9 group by 1,2""")
@@ -104,8 +102,7 @@ _NB = with_views("dem") + ", nb as (select a.r, a.c, " + ", ".join(
 @query("slope", _NB + " select r, c, round(degrees(atan(rise)),6) slope, round(rise*100,6) slope_pct from gs")
 def _(spark, sf):
     dem = view(spark, sf, "dem").select("r", "c", "z")
-    pct = rs.slope(dem, percent=True).select("r", "c", F.col("slope").alias("slope_pct"))
-    return rd(rs.slope(dem).select("r", "c", "slope").join(pct, ["r", "c"]), ["slope", "slope_pct"])
+    return rd(rs.terrain(dem, ["slope", "slope_pct"]).drop("z"), ["slope", "slope_pct"])
 
 
 @query("hillshade", _NB + """ select r, c, round(greatest(case when rise is not null then cos(radians(45))*cos(atan(rise))+sin(radians(45))*sin(atan(rise))*cos(radians(135)-atan2(gy,-gx)) end,

@@ -88,9 +88,12 @@ def _(spark, sf):
         packed = img.groupBy("stem").agg(F.array_sort(F.collect_list(F.struct("r", "c", F.col(band).alias("v")))).alias("p"),
             F.countDistinct("r").alias("h"), F.countDistinct("c").alias("w"))
         vals = F.transform("p", lambda s: s["v"].cast("float"))
-        return packed.select(F.concat(F.lit(f"/{band}/"), "stem", F.lit(".npy")).alias("path"), ly.encode_patch(vals, F.col("h"), F.col("w")).alias("content"))
+        return packed.select("stem", ly.encode_patch(vals, F.col("h"), F.col("w")).alias("content"))
 
-    pairs = ly.pair_patches(ly.decode_patches(files("b1")), ly.decode_patches(files("b2")))
+    path = folder(spark)
+    for band in ("b1", "b2"):
+        ly.write_patches(files(band), f"{path}/{band}").collect()
+    pairs = ly.read_patches(spark, f"{path}/b1", f"{path}/b2")
     add = lambda c: F.round(F.aggregate(c, F.lit(0e0), lambda a, v: a + v.cast("double")), 4)
     return pairs.select("stem", add("lr").alias("lr_sum"), add("hr").alias("hr_sum"), F.size("lr").cast("bigint").alias("n"))
 

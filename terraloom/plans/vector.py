@@ -254,12 +254,8 @@ def _(spark, sf):
 
 @query("heatmap_kernels", _HEAT + " select r, c, round(sum(1-u),6) triangular, round(sum(pow(1-u*u,3)),6) triweight, round(sum(1-u*u),6) epanechnikov from u where u<=1 group by 1,2")
 def _(spark, sf):
-    p = view(spark, sf, "pts")
-    out = None
-    for k in ("triangular", "triweight", "epanechnikov"):
-        one = sp.heatmap(p, 0.8, 0.25, k).withColumnRenamed("density", k)
-        out = one if out is None else out.join(one, ["r", "c"])
-    return rd(out, ["triangular", "triweight", "epanechnikov"])
+    kernels = ["triangular", "triweight", "epanechnikov"]
+    return rd(sp.heatmap(view(spark, sf, "pts"), 0.8, 0.25, kernels), kernels)
 
 
 @query("point_density", _HEAT + " select r, c, round(count(*)/(pi()*8e-1*8e-1),6) density from u where u<=1 group by 1,2")

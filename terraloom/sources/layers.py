@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BinaryType
@@ -190,6 +192,31 @@ def pair_patches(lr: DataFrame, hr: DataFrame) -> DataFrame:
         hr.select("stem", F.col("shape").alias("hr_shape"), F.col("data").alias("hr")), "stem")
 
 
+def write_patches(patches: DataFrame, folder: str) -> DataFrame:
+    """Write each patch to ``folder`` (a URI or path that all executors reach) as ``<stem>.npy``.
+
+    ``patches``: stem, content (bytes).  A file is written under a temporary name and then
+    renamed, so a task that is run again replaces it by the same bytes.  Returns one row:
+    files, n_bytes; nothing is written before it is read.
+    """
+    local = folder.startswith(("/", "file:/"))
+    target = "file:///" + folder.removeprefix("file:").lstrip("/") if local else folder
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, path = fs.FileSystem.from_uri(target)
+        store.create_dir(path, recursive=True)
+        for pdf in batches:
+            for stem, content in zip(pdf["stem"], pdf["content"]):
+                temporary = f"{path}/.{stem}.{uuid.uuid4().hex}"
+                with store.open_output_stream(temporary) as out:
+                    out.write(content)
+                store.move(temporary, f"{path}/{stem}.npy")
+            yield pd.DataFrame({"files": [len(pdf)], "n_bytes": [int(pdf["content"].map(len).sum())]})
+
+    done = patches.select("stem", "content").mapInPandas(write, "files bigint, n_bytes bigint")
+    return done.agg(F.sum("files").alias("files"), F.sum("n_bytes").alias("n_bytes"))
+
+
 def read_patches(spark: SparkSession, lr_dir: str, hr_dir: str) -> DataFrame:
     files = lambda d: spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(d)
     return pair_patches(decode_patches(files(lr_dir)), decode_patches(files(hr_dir)))
