@@ -1,12 +1,12 @@
 """Fingerprints of lessons that can be added and subtracted.
 
-Method: homomorphic multiset hash.  Each paragraph (line) is hashed to a wide vector of
-32-bit lanes and a lesson's fingerprint is the lane-wise sum modulo 2**32, so the order of
-paragraphs does not matter and a paragraph is inserted or deleted by adding or
-subtracting its vector.  Lanes:
+Method: homomorphic multiset hash.  Each paragraph (line, blank ones too) is hashed to a
+wide vector of 32-bit lanes and a lesson's fingerprint is the lane-wise sum modulo 2**32,
+so the order of paragraphs does not matter and a paragraph is inserted or deleted by
+adding or subtracting its vector.  Lanes:
 
 * one counts phrases (up to ``PHRASE`` words in a row, paragraph by paragraph),
-* four sum hashes of (paragraph, phrase): equal only for equal paragraphs,
+* ``2 * HASHES`` sum hashes of the whole paragraphs: equal only for the same paragraphs,
 * ``2 * PAIRS`` count, for one bit each of a hash of the phrase alone, how often it is set.
   Seen as sums of +1 and -1 they estimate the squared distance of two lessons' phrase
   counts, which gives their likeness.
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from terraloom.llm.words import NULL_ID, shuffle_width
 
 PHRASE = 3
+HASHES = 8  # bigints with two paragraph lanes each
 PAIRS = 32  # bigints with two bit-counting lanes each
 MASK = 0xFFFFFFFF
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -32,31 +33,36 @@ _PHRASES = rf"{_WORD}(?:[\x20\x09-\x0D]+{_WORD}){{0,{PHRASE - 1}}}"
 
 
 def _phrase_rows(df: DataFrame, body: str) -> DataFrame:
-    """A row per phrase with two hashes of (paragraph, phrase) and one of the phrase; one empty row for a lesson without words."""
+    """A row per phrase with a hash of it; the first row of a paragraph also has the paragraph's hashes.
+
+    A paragraph without words gives one row, and so does an empty body, which has no paragraph.
+    """
     kept = [c for c in df.columns if c != body]
-    lines = df.select(*kept, F.explode(F.split(F.coalesce(body, F.lit("")), "\n")).alias("_line"))
+    lines = df.select(*kept, F.explode_outer(F.when(F.length(body) > 0, F.split(body, "\n"))).alias("_line"))
     phrases = lines.select(
-        *kept, F.xxhash64("_line").alias("_p"), F.explode_outer(F.regexp_extract_all("_line", F.lit(_PHRASES), F.lit(0))).alias("_phrase"))
+        *kept, "_line", F.posexplode_outer(F.regexp_extract_all("_line", F.lit(_PHRASES), F.lit(0))).alias("_at", "_phrase"))
+    first = F.col("_line").isNotNull() & (F.coalesce("_at", F.lit(0)) == 0)
     return phrases.select(
-        *kept, F.col("_phrase").isNotNull().cast("bigint").alias("_one"), F.xxhash64("_p", "_phrase").alias("_h1"),
-        F.xxhash64("_phrase", "_p").alias("_h2"), F.xxhash64(F.lit(1), "_phrase").alias("_bits"))
+        *kept, F.col("_phrase").isNotNull().cast("bigint").alias("_one"), F.xxhash64(F.lit(1), "_phrase").alias("_bits"),
+        *[F.when(first, F.xxhash64(F.lit(i + 2), "_line")).alias(f"_h{i}") for i in range(HASHES)])
 
 
 def _lanes() -> list[Column]:
-    """Sums over phrases: the count, four hash lanes, and the pairs of bit counts."""
+    """Sums over phrases: their count, the low and high halves of the paragraph hashes, and the pairs of bit counts."""
     one, unset = F.col("_one"), F.lit(0).cast("bigint")
-    live = lambda c: F.when(one == 1, c).otherwise(unset)
     out = [F.sum(one)]
-    for h in ("_h1", "_h2"):
-        out += [F.sum(live(F.col(h).bitwiseAND(MASK))), F.sum(live(F.shiftrightunsigned(h, 32)))]
+    for i in range(HASHES):
+        out += [F.sum(F.coalesce(half, unset)) for half in (F.col(f"_h{i}").bitwiseAND(MASK), F.shiftrightunsigned(f"_h{i}", 32))]
     for j in range(PAIRS):
-        out.append(F.sum(live(F.shiftrightunsigned("_bits", j).bitwiseAND((1 << 32) | 1))))
+        out.append(F.sum(F.when(one == 1, F.shiftrightunsigned("_bits", j).bitwiseAND((1 << 32) | 1)).otherwise(unset)))
     return [c.alias(f"_l{i}") for i, c in enumerate(out)]
 
 
 def _vector() -> Column:
-    """The lanes as one array; hash lanes modulo 2**32."""
-    return F.array(F.col("_l0"), *[F.col(f"_l{i}").bitwiseAND(MASK) for i in range(1, 5)], *[F.col(f"_l{i}") for i in range(5, 5 + PAIRS)])
+    """The lanes as one array; paragraph lanes modulo 2**32, in pairs."""
+    lane = lambda i: F.col(f"_l{i}").bitwiseAND(MASK)
+    hashes = [F.shiftleft(lane(2 * i + 2), 32).bitwiseOR(lane(2 * i + 1)) for i in range(HASHES)]
+    return F.array(F.col("_l0"), *hashes, *[F.col(f"_l{i}") for i in range(1 + 2 * HASHES, 1 + 2 * HASHES + PAIRS)])
 
 
 def as_text(vector: str | Column) -> Column:
@@ -86,7 +92,7 @@ def likeness(a: str | Column, b: str | Column) -> Column:
         high = 2 * (F.shiftrightunsigned(ab["x"], 32) - F.shiftrightunsigned(ab["y"], 32)) - lag
         return acc + (low * low + high * high).cast("double")
 
-    pairs = F.zip_with(F.slice(a, 6, PAIRS), F.slice(b, 6, PAIRS), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    pairs = F.zip_with(F.slice(a, 2 + HASHES, PAIRS), F.slice(b, 2 + HASHES, PAIRS), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     apart = F.aggregate(pairs, F.lit(0.0), squares) / (2.0 * PAIRS)
     return F.when(a == b, 1.0).when(total == 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1.0 - apart / total)))
 

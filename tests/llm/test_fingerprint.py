@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 
 import pytest
 
@@ -55,6 +56,16 @@ def test_order_insertion_and_deletion(spark):
     assert r["near"] > 0.4 and r["far"] < 0.4
 
 
+def test_equal_only_for_the_same_paragraphs(spark):
+    texts = ["\n".join(p) for n in range(1, 5) for p in itertools.product(("", " ", "a", "a b", "b"), repeat=n)]
+    got = fingerprints(lessons(spark, list(enumerate(texts)))).collect()
+    kinds = {}
+    for r in got:
+        paragraphs = tuple(sorted(texts[r["lesson_id"]].split("\n"))) if texts[r["lesson_id"]] else ()
+        kinds.setdefault(paragraphs, set()).add(tuple(r["fingerprint"]))
+    assert all(len(f) == 1 for f in kinds.values()) and len({f for k in kinds.values() for f in k}) == len(kinds)
+
+
 def test_no_python_in_the_plan(spark):
     plan = compare_edits(lessons(spark, [(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
