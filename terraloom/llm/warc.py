@@ -1,7 +1,8 @@
 """Archives of published lesson pages (WARC 1.0, gzip member per record).
 
-Pages are cut into ranges of ``page_id`` of about equal size.  One task writes a range in
-order and rolls to the next file by compressed size.  Headers, record ids and digests are
+Pages are cut into ranges of ``page_id`` of about equal size; an id that fills several
+ranges is spread over them by digest.  One task writes a range in order, as its sorted
+rows stream in, and rolls to the next file by compressed size.  Headers, record ids and digests are
 derived from the page alone, so a task that is run again writes the same bytes; it writes
 under a temporary name and then renames.  What belongs to the archive is said by a
 manifest, written by Spark after all files are there; readers open only files it lists.
@@ -13,9 +14,11 @@ import base64
 import gzip
 import hashlib
 import io
+import itertools
 import math
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -97,45 +100,58 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, ro
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), key.alias("key"), "url", body.alias("html"))
     shards = max(w.shuffle_width(pages), math.ceil(w.text_bytes(rows, "html") / shard_bytes))
     cuts = rows.agg(F.percentile_approx("key", [i / shards for i in range(shards)], 100 * shards), F.min("key")).first()
-    starts = sorted({*(cuts[0] or []), *([] if cuts[1] is None else [cuts[1]])}) or [0]
-    rows = rows.select("*", range_of(F.col("key"), starts).cast("int").alias("shard"))
-    small = rows.select("page_id", "shard", F.unhex(F.sha1(F.encode("html", "utf-8"))).alias("digest"), F.octet_length("html").alias("size"))
-    small = small.where(F.col("size") >= min_revisit_bytes).groupBy("digest", "shard").agg(F.max("page_id").alias("page_id"))
+    times = Counter(cuts[0] or [])  # an id that fills several ranges is a start as often
+    starts = sorted({*times, *([] if cuts[1] is None else [cuts[1]])}) or [0]
+    spread = [max(1, times[x]) for x in starts]
+    first = [0, *itertools.accumulate(spread)][:-1]
+    at = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("range").cast("int") + 1)
+    rows = rows.select("*", F.unhex(F.sha1(F.encode("html", "utf-8"))).alias("digest"), range_of(F.col("key"), starts).alias("range"))
+    turn = F.when(F.col("key") == at(starts), F.pmod(F.xxhash64("digest"), at(spread))).otherwise(at(spread) - 1)
+    rows = rows.select("page_id", "key", "url", "html", "digest", (at(first) + turn).cast("int").alias("shard"))
+    small = rows.where(F.octet_length("html") >= min_revisit_bytes).groupBy("digest", "shard").agg(F.max("page_id").alias("page_id"))
     best = small.groupBy("digest").agg(F.max("page_id").alias("response"))
-    told = small.select("digest", F.col("shard").alias("to_shard")).join(best, "digest")
+    told = small.select("digest", "shard").join(best, "digest").select(
+        F.col("response").alias("page_id"), F.lit(None).cast("bigint").alias("key"), F.lit(None).cast("string").alias("url"),
+        F.lit(None).cast("string").alias("html"), "digest", "shard")
 
-    def write(key: tuple[pa.Scalar, ...], part: pa.Table, winners: pa.Table) -> pa.Table:
-        shard = key[0].as_py()
-        response = dict(zip(winners["digest"].to_pylist(), winners["response"].to_pylist()))
-        part = part.sort_by([("key", "ascending"), ("url", "ascending"), ("html", "ascending")])
-        out, files, n, seen = io.BytesIO(), [], 0, {}
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, last, response, seen, out, files, n = None, None, {}, {}, io.BytesIO(), 0, 0
 
-        def roll() -> None:
-            nonlocal out, n
-            content, name = out.getvalue(), f"shard-{shard:07d}-{len(files):05d}.warc.gz"
+        def roll() -> pa.RecordBatch:
+            nonlocal out, files, n
+            content, name = out.getvalue(), f"shard-{shard:07d}-{files:05d}.warc.gz"
             _stored(folder, name, content)
-            files.append((shard, name, n, len(content), hashlib.sha256(content).hexdigest()))
-            out, n = io.BytesIO(), 0
-
-        for i in range(part.num_rows):
-            page_id, url = part["page_id"][i].as_py(), part["url"][i].as_py()
-            payload = part["html"][i].as_py().encode()
-            raw = hashlib.sha1(payload).digest()
-            turn = seen[page_id, raw] = seen.get((page_id, raw), -1) + 1
-            to = response.get(raw)
-            revisit = len(payload) >= min_revisit_bytes and (page_id != to or turn > 0)
-            text = record(page_id, url, payload, base64.b32encode(raw).decode(), turn, to, revisit, date)
-            out.write(gzip.compress(text, 6, mtime=0))
-            n += 1
-            if out.tell() >= roll_bytes:
-                roll()
+            row = (shard, name, n, len(content), hashlib.sha256(content).hexdigest())
+            out, files, n = io.BytesIO(), files + 1, 0
+            return pa.RecordBatch.from_arrays(
+                [pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()))], ["shard", "file", "n_records", "n_bytes", "sha256"])
+
+        for batch in batches:
+            page_ids, keys, urls, htmls, digests, places = (batch.column(c) for c in ("page_id", "key", "url", "html", "digest", "shard"))
+            for i in range(batch.num_rows):
+                page_id, raw = page_ids[i].as_py(), digests[i].as_py()
+                if places[i].as_py() != shard:
+                    if n:
+                        yield roll()
+                    shard, last, response, seen, files = places[i].as_py(), None, {}, {}, 0
+                if keys[i].as_py() is None:  # the responses come before the pages of a shard
+                    response[raw] = page_id
+                    continue
+                if keys[i].as_py() != last:
+                    last, seen = keys[i].as_py(), {}
+                payload, to = htmls[i].as_py().encode(), response.get(raw)
+                turn = seen[page_id, raw] = seen.get((page_id, raw), -1) + 1
+                revisit = len(payload) >= min_revisit_bytes and (page_id != to or turn > 0)
+                text = record(page_id, urls[i].as_py(), payload, base64.b32encode(raw).decode(), turn, to, revisit, date)
+                out.write(gzip.compress(text, 6, mtime=0))
+                n += 1
+                if out.tell() >= roll_bytes:
+                    yield roll()
         if n:
-            roll()
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*files) if files else [[]] * 5, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()))],
-                        names=["shard", "file", "n_records", "n_bytes", "sha256"])
+            yield roll()
 
-    written = rows.groupBy("shard").cogroup(told.groupBy("to_shard")).applyInArrow(write, MANIFEST)
-    written.write.parquet(f"{folder}/manifest")
+    placed = rows.unionByName(told).repartition("shard").sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "url", "html")
+    placed.mapInArrow(w.tidy(write), MANIFEST).write.parquet(f"{folder}/manifest")
 
 
 def parse_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -50,6 +50,18 @@ def test_the_same_bytes_again_and_no_leftovers(spark, tmp_path):
     assert text.startswith(b"WARC/1.0\r\nWARC-Type: re") and text.endswith(b"\r\n\r\n")
 
 
+def test_a_hot_id_is_spread(spark, tmp_path):
+    rows = [(i, f"u{i}", f"{i}" * 40) for i in range(100)] + [(None, f"n{i % 3}", f"hot {i % 200} " * 40) for i in range(400)] + [
+        (50, "same", "the same page")] * 100
+    folder, got = run(spark, tmp_path, rows, shard_bytes=5000)
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "html"]
+    want = sorted((w[0], w[2:], ) for w in brute(rows, 0) if w[0] is not None)
+    assert sorted((r["page_id"], tuple(r[n] for n in names[2:])) for r in got if r["page_id"] is not None) == want
+    assert sum(r["record_type"] == "response" for r in got if r["page_id"] is None) == 200 and len(got) == 600
+    files = spark.read.parquet(f"{folder}/manifest").collect()
+    assert max(f["n_records"] for f in files) <= 150 and len(files) > 8
+
+
 def test_files_outside_the_manifest_are_not_read(spark, tmp_path):
     folder, got = run(spark, tmp_path, ROWS[:5])
     Path(folder.removeprefix("file://"), "data", "shard-9999999-00000.warc.gz").write_bytes(b"of an attempt that was lost")
