@@ -150,7 +150,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, ro
         if n:
             yield roll()
 
-    placed = rows.unionByName(told).repartition("shard").sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "url", "html")
+    placed = rows.unionByName(told).repartition(sum(spread), "shard").sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "url", "html")
     placed.mapInArrow(w.tidy(write), MANIFEST).write.parquet(f"{folder}/manifest")
 
 
