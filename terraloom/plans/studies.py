@@ -279,7 +279,20 @@ def _(spark, sf):
     return jobs.patch_preparation(img, img, ["b1", "b2"], f"{work_dir(spark)}/{uuid.uuid4().hex}", size=10, scale=3, stride=5, grids=(grid, grid))
 
 
-@query("suitability_study")
+_AWAY = [f"abs({a})" for a in ("(c+5e-1)*25e-2-x", "(r+5e-1)*25e-2-y")]
+
+
+@query("suitability_study", with_views("zone", "sites", "pts") + f""", base as (select cast(y0*4+a.range as bigint) r, cast(x0*4+b.range as bigint) c, grp from zone cross join range(4) a cross join range(4) b),
+    t as (select distinct r tr, c tc from base join sites on r=floor(y/25e-2) and c=floor(x/25e-2)),
+    near as (select r, c, sqrt(min((r-tr)*(r-tr)+(c-tc)*(c-tc)))*25e-2 dist from base cross join t group by 1,2),
+    u as (select r, c, sqrt(pow({_AWAY[0]},2)+pow({_AWAY[1]},2)) u from base join pts on {_AWAY[0]}<=1e0 and {_AWAY[1]}<=1e0),
+    heat as (select r, c, sum(pow(1-u*u,2)) dens from u where u<=1 group by 1,2),
+    sc as (select r, c, r*2147483648+c n, ({d(0.4)}*grp+{d(0.35)}*(case when dist<=5e-1 then 5 when dist<=1e0 then 4 when dist<=2e0 then 3 when dist<=4e0 then 2 else 1 end)
+        +{d(0.25)}*(case when coalesce(dens,0)<=5e-1 then 1 when dens<=15e-1 then 2 when dens<=3e0 then 3 when dens<=6e0 then 4 else 5 end))/{d(4.6)}*100 score
+        from base join near using(r,c) left join heat using(r,c)),
+    m as (select * from sc where score>=70), e as materialized (select a.n a, b.n b from m a cross join (values (0,1),(1,0),(0,-1),(-1,0)) o(dr,dc) join m b on b.r=a.r+dr and b.c=a.c+dc),
+    reach as (select n, n m from m union select reach.n, e.b from reach join e on e.a=reach.m), reg as (select n, min(m) region from reach group by 1)
+    select region, count(*) pixels, round(avg(score),6) score from m join reg using(n) group by 1""")
 def _(spark, sf):
     z = zone(spark, sf)
     out = jobs.suitability_study(
